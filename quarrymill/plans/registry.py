@@ -29,7 +29,13 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _load() -> dict[str, Query]:
+    from . import evaluation, events, relational, retrieval, text  # noqa: F401  they register their queries
+
     return REGISTRY
 
 

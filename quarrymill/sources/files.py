@@ -1,0 +1,178 @@
+"""File sources: listing with exclusions, decoding, type detection, notebooks, documents, secrets."""
+
+from __future__ import annotations
+
+import fnmatch
+import io
+import re
+import xml.etree.ElementTree as ET
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.scalars import newlines
+
+
+def list_files(spark: SparkSession, root: str, extensions: list[str], exclude: list[str] = (), skip_hidden: bool = True, max_mb: float = 50.0) -> DataFrame:
+    """(path, size, modified, content, skipped): a recursive listing; too large files have a reason instead of content (SRC-01, SRC-02)."""
+    base = root.rstrip("/")
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(re.sub("^file:/+", "/", base)) + "/", "")
+    ext = F.lower(F.regexp_extract(rel, r"(\.[^./]+)$", 1))
+    df = df.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content").filter(ext.isin([e.lower() for e in extensions]))
+    df = df.filter(~excluded(F.col("path"), exclude, skip_hidden))
+    big = F.col("size") > int(max_mb * (1 << 20))
+    return df.withColumn("skipped", F.when(big, F.lit("too large"))).withColumn("content", F.when(~big, F.col("content")))
+
+
+def excluded(path: Column, patterns, skip_hidden: bool = True) -> Column:
+    """A pattern without a slash matches any component, one with a slash the whole path; hidden components may be dropped."""
+    out, parts = F.lit(False), F.split(path, "/")
+    for p in patterns:
+        regex = "^" + re.sub(r"\\[Zz]$", "", fnmatch.translate(p)) + "$"
+        out = out | (path.rlike(regex) if "/" in p else _any_part(parts, regex))
+    return out | F.exists(parts, lambda c: c.startswith(".")) if skip_hidden else out
+
+
+def _any_part(parts: Column, regex: str) -> Column:
+    return F.exists(parts, lambda c: c.rlike(regex))
+
+
+def decode_text(content: Column) -> Column:
+    """UTF-8 with or without a mark, else CP1251, else Latin-1; line ends become \\n (SRC-03, SRC-04)."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(b):
+            if b is None:
+                return None
+            for name in ("utf-8-sig", "cp1251"):
+                try:
+                    return bytes(b).decode(name)
+                except UnicodeDecodeError:
+                    continue
+            return bytes(b).decode("latin-1")
+
+        return s.map(one)
+
+    return newlines(run(content))
+
+
+def detect_type(content: Column) -> Column:
+    """Extension by magic bytes; null for executables and other refused kinds (SRC-16). ZIP members decide between .docx and refusal."""
+    head = F.hex(F.substring(content, 1, 8))
+
+    @F.pandas_udf("boolean")
+    def is_docx(s: pd.Series) -> pd.Series:
+        def one(b):
+            try:
+                return "word/document.xml" in zipfile.ZipFile(io.BytesIO(b)).namelist()
+            except (zipfile.BadZipFile, TypeError):
+                return False
+
+        return s.map(one)
+
+    return (
+        F.when(head.startswith("89504E47"), ".png")
+        .when(head.startswith("FFD8FF"), ".jpg")
+        .when(head.startswith("25504446"), ".pdf")
+        .when(head.startswith("504B0304") & is_docx(content), ".docx")
+        .when(head.startswith("504B0304") | head.startswith("4D5A") | head.startswith("7F454C46") | head.startswith("474946"), F.lit(None))
+        .when(F.instr(F.hex(F.substring(content, 1, 1024)), "0000") > 0, F.lit(None))
+        .otherwise(".txt")
+    )
+
+
+NOTEBOOK = T.StructType([
+    T.StructField("cells", T.ArrayType(T.StructType([
+        T.StructField("cell_type", T.StringType()),
+        T.StructField("execution_count", T.IntegerType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("outputs", T.StringType()),
+    ]))),
+])
+
+
+def notebook_cells(notebooks: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, cell, cell_type, execution_count, source, output): cells of .ipynb texts, from 1 (SRC-08).
+
+    Sources and outputs are lists of lines or one string; both forms are joined.
+    """
+    cells = notebooks.select(path, F.posexplode(F.from_json(text, NOTEBOOK)["cells"]).alias("_p", "c"))
+    joined = lambda c: F.coalesce(F.array_join(F.from_json(c, "array<string>"), ""), c)
+    outs = F.from_json("c.outputs", "array<struct<output_type:string,text:string,ename:string,evalue:string,data:map<string,string>>>")
+    one = lambda o: F.concat_ws("", joined(o["text"]), joined(F.try_element_at(o["data"], F.lit("text/plain"))), F.when(o["ename"].isNotNull(), F.concat_ws(": ", o["ename"], o["evalue"])))
+    output = F.nullif(F.array_join(F.filter(F.transform(outs, one), lambda x: x != ""), "\n"), F.lit(""))
+    return cells.select(path, (F.col("_p") + 1).alias("cell"), "c.cell_type", "c.execution_count", joined(F.col("c.source")).alias("source"), output.alias("output"))
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_items(data: bytes, most: int = 200 << 20) -> list[tuple[int, int, str]]:
+    """(ord, heading level or 0, text) of paragraphs and table rows; a bomb or a broken file gives none (SRC-10)."""
+    try:
+        z = zipfile.ZipFile(io.BytesIO(data))
+        info = z.getinfo("word/document.xml")
+        if info.file_size > most:
+            return []
+        body = ET.fromstring(z.read(info)).find(f"{_W}body")
+    except (zipfile.BadZipFile, KeyError, ET.ParseError):
+        return []
+    out = []
+    for el in body if body is not None else ():
+        if el.tag == f"{_W}p":
+            style = el.find(f"{_W}pPr/{_W}pStyle")
+            m = re.match(r"(?i)heading\s*(\d)", style.get(f"{_W}val", "")) if style is not None else None
+            text = "".join(t.text or "" for t in el.iter(f"{_W}t"))
+            if text.strip():
+                out.append((len(out), int(m[1]) if m else 0, text))
+        elif el.tag == f"{_W}tbl":
+            for row in el.iter(f"{_W}tr"):
+                cells = ["".join(t.text or "" for t in c.iter(f"{_W}t")) for c in row.iter(f"{_W}tc")]
+                out.append((len(out), 0, " | ".join(cells)))
+    return out
+
+
+def docx_documents(files: DataFrame) -> DataFrame:
+    """(path, ord, level, text) of .docx contents."""
+
+    @F.pandas_udf("array<struct<ord:int,level:int,text:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: [{"ord": o, "level": n, "text": t} for o, n, t in docx_items(bytes(b))] if b is not None else [])
+
+    return files.select("path", F.explode(run("content")).alias("i")).select("path", "i.*")
+
+
+#: Secret and private-path patterns of the line scanner (fixed values).
+SECRET_PATTERNS = {
+    "openai_key": r"sk-[A-Za-z0-9]{20,}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "assigned": r"(?i)(api_?key|secret|token|password)\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{16,}",
+    "home_path": r"(/home/[a-z][a-z0-9_-]+/|C:\\Users\\[A-Za-z0-9._-]+\\)",
+}
+
+
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", allow: list[str] = ()) -> DataFrame:
+    """(key, line_no, kind, masked): line-level findings with all but the first four characters masked (SRC-26)."""
+    row = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_p", "line"))
+    found = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract("line", p, 0).alias("value")) for k, p in SECRET_PATTERNS.items()))
+    hits = row.filter(F.col("line").rlike("|".join(f"(?:{p})" for p in SECRET_PATTERNS.values()))).select(key, (F.col("_p") + 1).alias("line_no"), F.explode(F.filter(found, lambda x: x["value"] != "")).alias("h"))
+    for a in allow:
+        hits = hits.filter(~F.col("h.value").contains(a))
+    return hits.select(key, "line_no", "h.kind", F.concat(F.substring("h.value", 1, 4), F.lit("****")).alias("masked"))
+
+
+def survey_file(spark: SparkSession, path: str) -> dict:
+    """Schema, row count and three rows of a delimited, JSON or Parquet file (SRC-24)."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    readers = {"csv": lambda: spark.read.csv(path, header=True), "tsv": lambda: spark.read.csv(path, header=True, sep="\t"), "json": lambda: spark.read.json(path), "jsonl": lambda: spark.read.json(path), "parquet": lambda: spark.read.parquet(path), "orc": lambda: spark.read.orc(path)}
+    if kind not in readers:
+        return {"path": path, "error": f"unsupported: {kind}"}
+    df = readers[kind]()
+    return {"path": path, "schema": df.dtypes, "rows": df.count(), "preview": [r.asDict() for r in df.limit(3).collect()]}
