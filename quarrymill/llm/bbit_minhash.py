@@ -32,7 +32,8 @@ WORDS = 5
 BANDS, ROWS, BITS = 40, 5, 4
 #: Estimates below are dropped: 0.15 under the threshold is over 4.5 standard deviations at K = 200.
 SLACK = 0.15
-BLOCK = 512
+#: Members in one block: packed signatures are small, full sets are not.
+SIGNATURE_BLOCK, SET_BLOCK = 4_096, 512
 CACHE = 500_000
 _LANES = np.uint64(0x1111111111111111)
 _MUL = [np.uint64(int.from_bytes(hashlib.blake2b(f"shingle {i}".encode(), digest_size=8).digest(), "little") | 1) for i in range(WORDS)]
@@ -154,14 +155,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
-def _blocks(df: DataFrame, key: str, size: str, member: str) -> DataFrame:
-    """Deal each group's members into blocks of about BLOCK and give a row for each pair of blocks that a member belongs to."""
-    n = F.greatest(F.lit(1), F.ceil(F.col(size) / F.lit(BLOCK)).cast("int"))
+def _blocks(df: DataFrame, key: str, size: str, member: str, block: int) -> DataFrame:
+    """Deal each group's members into blocks of about `block` and give a row for each pair of blocks that a member belongs to.
+
+    `_own` is the member's block, `_one` whether the pair is a block with itself.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.col(size) / F.lit(block)).cast("int"))
     df = df.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64(F.lit(7), member), F.col("_n")).cast("int"))
     meets = F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))
     df = df.withColumn("_other", F.explode(meets))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
-    return df.withColumn("_pair", F.xxhash64(key, low, high)).drop("_n", "_other")
+    return df.withColumn("_pair", F.xxhash64(key, low, high)).withColumn("_one", F.col("_own") == F.col("_other")).drop("_n", "_other")
+
+
+def _meeting(at: np.ndarray, d: int, own: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Of places whose row and the d-th after it share a pair of blocks, those that meet in this pair and no other."""
+    return at[one[at] | (own[at] != own[at + d])]
 
 
 def _runs(batches, key: str, most: int = 1 << 15):
@@ -190,12 +199,13 @@ def loose_links(nodes: DataFrame, k: int, cutoff: float) -> DataFrame:
     entries = nodes.select("node", F.explode("bands").alias("band"))
     crowded = entries.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = entries.join(crowded, "band")
-    dealt = _blocks(shared, "band", "size", "node").join(nodes.select("node", "n_shingles", "bits"), "node")
-    dealt = dealt.select("_pair", "node", "n_shingles", "bits").repartition("_pair").sortWithinPartitions("_pair", "node")
+    dealt = _blocks(shared, "band", "size", "node", SIGNATURE_BLOCK).join(nodes.select("node", "n_shingles", "bits"), "node")
+    dealt = dealt.select("_pair", "node", "_own", "_one", "n_shingles", "bits").repartition("_pair").sortWithinPartitions("_pair", "node")
 
     def run(batches):
         for t in _runs(batches, "_pair"):
             key, node, n = t.column("_pair").to_numpy(), t.column("node").to_numpy(), t.column("n_shingles").to_numpy()
+            own, one = t.column("_own").to_numpy(), t.column("_one").to_numpy(zero_copy_only=False)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
             left, right = [], []
             at = np.arange(len(key) - 1)
@@ -204,7 +214,8 @@ def loose_links(nodes: DataFrame, k: int, cutoff: float) -> DataFrame:
                 at = at[key[at] == key[at + d]]
                 if not len(at):
                     break
-                near = at[(4 * np.minimum(n[at], n[at + d]) >= 3 * np.maximum(n[at], n[at + d])) & (node[at] != node[at + d])]
+                near = _meeting(at, d, own, one)
+                near = near[(4 * np.minimum(n[near], n[near + d]) >= 3 * np.maximum(n[near], n[near + d])) & (node[near] != node[near + d])]
                 near = near[estimate(bits[near], bits[near + d], k) >= cutoff]
                 left.append(node[near])
                 right.append(node[near + d])
@@ -247,7 +258,7 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: i
     intersects full sets only where the two nodes are not connected yet.
     """
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    members = _blocks(clusters.join(sizes, "root"), "root", "size", "node").select("_pair", "node", "_own")
+    members = _blocks(clusters.join(sizes, "root"), "root", "size", "node", SET_BLOCK).select("_pair", "node", "_own", "_one")
     members = members.join(nodes.select("node", "print", "n_shingles", "bits"), "node")
     wanted = nodes.join(clusters.select("node"), "node", "left_semi").select(F.col("node").alias("doc_id"), F.col("print").alias("_print"))
 
@@ -261,11 +272,12 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     full = texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(sets, "node long, print binary, shingles binary").dropDuplicates(["node", "print"])
     full = materialize(full, "sets")
-    dealt = members.join(full, ["node", "print"]).select("_pair", "node", "_own", "n_shingles", "bits", "shingles").repartition("_pair").sortWithinPartitions("_pair", "node")
+    dealt = members.join(full, ["node", "print"]).select("_pair", "node", "_own", "_one", "n_shingles", "bits", "shingles").repartition("_pair").sortWithinPartitions("_pair", "node")
 
     def run(batches):
         for t in _runs(batches, "_pair", 2048):
             key, node, n = t.column("_pair").to_numpy(), t.column("node").to_numpy(), t.column("n_shingles").to_numpy()
+            own, one = t.column("_own").to_numpy(), t.column("_one").to_numpy(zero_copy_only=False)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
             column = t.column("shingles").combine_chunks()
             set_of = lambda i: np.frombuffer(column[i].as_buffer(), dtype=np.uint64)
@@ -276,7 +288,8 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: i
                 at = at[key[at] == key[at + d]]
                 if not len(at):
                     break
-                near = at[100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d])]
+                near = _meeting(at, d, own, one)
+                near = near[100 * np.minimum(n[near], n[near + d]) >= percent * np.maximum(n[near], n[near + d])]
                 e = estimate(bits[near], bits[near + d], k)
                 good = e >= cutoff
                 left.append(near[good])
