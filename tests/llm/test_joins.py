@@ -1,0 +1,210 @@
+"""Operators 4, 6, 7, 8 and the pipeline: brute-force twins and defined edge cases."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarrymill.llm import bbit_minhash as mh
+from quarrymill.llm import credential_linking as cred
+from quarrymill.llm import prefix_forest as pf
+from quarrymill.llm import spaced_seed as seeds
+
+SF = "/root/testdata/sf0.001"
+
+
+def frame(spark, texts, start=0):
+    df = spark.createDataFrame([(start + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return df.withColumn("node", F.lit(1)).withColumn("print", F.lit("x")).withColumn("h", F.lit(0)).withColumn("row", F.lit(5)).withColumn("item_id", F.lit(4))
+
+
+def _links(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [len(s) for s in sets], [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(rng.randint(1, 120))) for _ in range(12)]
+    texts = [None, "", " \t\n", "one two", "One TWO", "one two three", "É é", "É É"]
+    for b in base:
+        texts.append(b)
+        for _ in range(8):
+            w = b.split()
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = rng.choice("xyz")
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    texts += ["long " * 30_000, "long " * 30_000]
+    n, roots = _links(texts)
+    old = mh.SIGNATURE_BLOCK, mh.SET_BLOCK
+    for blocks in (old, (4, 3)):
+        mh.SIGNATURE_BLOCK, mh.SET_BLOCK = blocks
+        try:
+            got = {r.doc_id: r for r in mh.near_duplicates(frame(spark, texts)).collect()}
+        finally:
+            mh.SIGNATURE_BLOCK, mh.SET_BLOCK = old
+        assert [got[i].n_shingles for i in range(len(texts))] == n
+        assert [got[i].component_id for i in range(len(texts))] == roots
+        assert all(got[i].kept == (roots[i] == i) for i in got)
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (2, "u v w x y z"), (3, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in mh.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True)]
+    assert mh.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_estimates(spark):
+    rng = np.random.default_rng(0)
+    mul, add = mh._hash_parameters(mh.BANDS * mh.ROWS)
+    shared = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    a, b = np.append(shared, rng.integers(0, 1 << 63, 150).astype(np.uint64)), np.append(shared, rng.integers(0, 1 << 63, 150).astype(np.uint64))
+    bits = [mh.packed_bits(mh.minima(x, mul, add))[None] for x in (a, b)]
+    assert abs(mh.estimate(*bits, len(mul))[0] - 0.75) < 0.13 and mh.estimate(bits[0], bits[0], len(mul))[0] == 1
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (7, 7), (20, 10), (10, 15)], "a long, b long")
+    got = {r.node: r.root for r in mh.components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 10: 10, 15: 10, 20: 10}
+    path = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.root for r in mh.components(path).collect()} == {0}
+
+
+def test_search_recall_and_scores(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(32).tolist()) for i in range(600)]
+    rows += [(600, None), (601, [0.0] * 32), (602, [float("nan")] * 32), (603, [1.0, None] + [0.0] * 30), (None, [1.0] * 32), (604, []), (605, rows[0][1]), (650, rows[0][1]), (700, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("n", F.lit(1))
+    got = pf.neighbours_query(df).collect()
+    usable = {i: np.array(v, dtype=np.float32).astype(float) for i, v in rows if i is not None and v and len(v) == 32 and None not in v and np.isfinite(v).all() and any(v)}
+    found = total = 0
+    for q in [i for i in usable if i % 50 == 0]:
+        cos = {i: float(v @ usable[q] / np.sqrt((v @ v) * (usable[q] @ usable[q]))) for i, v in usable.items() if i != q}
+        best = sorted(cos, key=lambda i: (-round(cos[i], 12), i))[:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, *_ in mine] == [1, 2, 3, 4, 5] and all(abs(cos[i] - s) < 1e-9 for _, i, s in mine)
+        found, total = found + len(set(best) & {i for _, i, _ in mine}), total + 5
+    assert found / total >= 0.9
+    top = {r.query_id: r.vec_id for r in got if r.rank == 1}
+    assert top[0] == 605 and top[650] == 0
+    assert pf.neighbours_query(df.limit(0)).count() == 0 and pf.neighbours_query(df.filter("vec_id % 50 <> 0")).count() == 0
+    assert pf.neighbours_query(df.filter("vec_id in (0, 605)")).count() == 1
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def _secret_sha(t):
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found)).encode()).hexdigest()
+
+
+def test_secrets_match_brute_force(spark):
+    rng = random.Random(1)
+    pieces = ["password=", "token: ", "secret==", "API_KEY = '", "apikey\"", ":", "abcdefgh12", "short", "AKIA", "AKIAABCDEFGHIJ12", "0123456789abcdef" * 2, "ff", " ", "\n", "é😀", "token=token:abcdefghij", "."]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(150)]
+    df = frame(spark, texts)
+    rows = {r.doc_id: r for r in cred.secrets_query(df).collect()}
+    assert all(rows[i].base_sha256 == _secret_sha(t) for i, t in enumerate(texts))
+
+
+def test_linked_parts(spark):
+    blob = "q9Xk2Lm8Vb4Zr7Tw1Yp5Ns3Gd6"
+    texts = [f"value {blob} alone", f"client_id: svc-42 and {blob} at https://api.host.test/v1", f"client_id: svc-42 {'x' * 900} {blob}", "see https://api.host.test/v1 only", None, ""]
+    df = frame(spark, texts)
+    got = {r.doc_id: r.spans for r in cred.secrets_query(df.unionByName(df.filter("doc_id = 1"))).collect()}
+    assert got[0] == got[2] == got[3] == got[4] == got[5] == ""
+    assert [x.split(":")[0] for x in got[1].split(",")] == ["identifier", "opaque", "endpoint"]
+    assert cred.secrets_query(df.limit(0)).count() == 0
+    assert cred.secrets_query(df.unionByName(df)).count() == 2 * len(texts)
+
+
+def _mask_hits(doc, item):
+    return any(
+        all(doc[i + k] == item[j + k] for k, b in enumerate(m) if b == "1")
+        and _equal(doc, item, i, j)
+        for m in seeds.MASKS
+        for i in range(len(doc) - seeds.SPAN + 1)
+        for j in range(len(item) - seeds.SPAN + 1)
+    )
+
+
+def _equal(doc, item, i, j):
+    back = min(i, j, seeds.AROUND)
+    n = back + min(len(doc) - i, len(item) - j, seeds.SPAN + seeds.AROUND)
+    same = sum(doc[i - back + k] == item[j - back + k] for k in range(n))
+    return same >= seeds.EQUAL and same >= seeds.SHARE * n
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("uvwxyz")
+    items = [[word() for _ in range(30)] for _ in range(6)] + [["tiny", "item", "of", "six", "short", "words"], ["too", "short"]]
+    docs = []
+    for k in range(60):
+        d = [word() for _ in range(rng.randint(0, 60))]
+        if k % 3 == 0:
+            copy = list(items[k % 6])
+            for _ in range(rng.randint(0, 8)):
+                copy[rng.randrange(len(copy))] = "changed"
+            d[len(d) // 2 : len(d) // 2] = copy
+        docs.append(d)
+    docs += [["before", *items[6], "after"], ["too", "short"], [], items[0] * 3]
+    bench = spark.createDataFrame([(i, " ".join(t).upper() + "!") for i, t in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string").withColumn("h", F.lit(1))
+    df = frame(spark, [", ".join(d) for d in docs] + [None]).drop("item_id")
+    want = {(a, b) for a, d in enumerate(docs) for b, t in enumerate(items[:6]) if _mask_hits(d, t)} | {(60, 6)}
+    old = seeds.SLICE
+    for size in (old, 40):
+        seeds.SLICE = size
+        try:
+            got = [(r.doc_id, r.item_id) for r in seeds.overlaps(df.unionByName(df.filter("doc_id = 0")), bench).collect()]
+        finally:
+            seeds.SLICE = old
+        assert len(got) == len(set(got)) and set(got) == want
+    assert seeds.overlaps(df.limit(0), bench).count() == 0 and seeds.overlaps(df, bench.limit(0)).count() == 0
+    assert not [n for n in ("Python", "Pandas", "Arrow") if n in seeds.overlaps(df, bench)._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in cp.STAGES]
+    assert names == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
+    before = docs
+    for name, stage in cp.STAGES[:-1]:
+        after = cp.materialize(stage(spark, before, SF), f"test-{name}")
+        assert after.columns == docs.columns
+        if name == "near_duplicates":
+            texts = [r.text for r in before.orderBy("doc_id").collect()]
+            ids = [r.doc_id for r in before.orderBy("doc_id").collect()]
+            _, roots = _links(texts)
+            assert {r.doc_id for r in after.select("doc_id").collect()} == {ids[r] for r in roots}
+        before = after
+    assert before.filter(F.col("text").rlike(r"[a-z]+@[a-z]+\.[a-z]+")).count() == 0
+    pieces = cp.STAGES[-1][1](spark, before, SF)
+    assert pieces.select("doc_id").distinct().count() == before.count()
