@@ -164,3 +164,50 @@ def page_title(html: Column) -> Column:
 def relevance_verdict(best: Column, low: float = 0.02, high: float = 0.5) -> Column:
     """Three-way verdict on the best relevance score (FLT-19)."""
     return F.when(best >= high, "correct").when(F.coalesce(best, F.lit(0.0)) < low, "incorrect").otherwise("ambiguous")
+
+
+def location_label(path: Column, page: Column, section: Column, cell: Column, line_start: Column, line_end: Column) -> Column:
+    """`path, page p, section, cell c, lines a-b` of the parts that are there (PRJ-03)."""
+    lines = F.when(line_start.isNotNull(), F.format_string("lines %d-%d", line_start, F.coalesce(line_end, line_start)))
+    return F.concat_ws(", ", path, F.when(page.isNotNull(), F.format_string("page %d", page)), F.nullif(section, F.lit("")), F.when(cell.isNotNull(), F.format_string("cell %d", cell)), lines)
+
+
+def defang_markdown(text: Column) -> Column:
+    """Images and links made inert, so that showing the text asks for nothing (PRJ-12).
+
+    Code spans stay as they are: the text is cut at them, and only the pieces between change.
+    """
+    spans = F.regexp_extract_all(text, F.lit(r"(?s)```.*?```|`[^`\n]*`"), F.lit(0))
+    between = F.split(text, r"(?s)```.*?```|`[^`\n]*`", -1)
+
+    def inert(p: Column) -> Column:
+        p = F.regexp_replace(p, r"!\[([^\]]*)\]\(\s*<?([^)\s>]+)>?[^)]*\)", "[image: $1] `$2`")
+        p = F.regexp_replace(p, r"(?<!!)\[([^\]]+)\]\(\s*<?([^)\s>]+)>?[^)]*\)", "$1 (`$2`)")
+        return F.regexp_replace(p, r"(?<![`\w])(https?://[^\s<>()`]+)", "`$1`")
+
+    return F.array_join(F.flatten(F.zip_with(between, spans, lambda b, c: F.array(inert(b), F.coalesce(c, F.lit(""))))), "")
+
+
+def held_out(path: Column, share: float) -> Column:
+    """Deterministic split (PRJ-18): SHA-1 of the path, modulo 1000, below share * 1000.
+
+    The 160-bit digest is reduced ten hexadecimal digits at a time.
+    """
+    digest = F.sha1(path)
+    rest = F.lit(0).cast("long")
+    for i in range(0, 40, 10):
+        part = F.conv(F.substring(digest, i + 1, 10), 16, 10).cast("long")
+        rest = (rest * (16**10 % 1000) + part % 1000) % 1000
+    return rest < int(share * 1000)
+
+
+def wants(question: Column, kind: str) -> Column:
+    """Intent gates on a question (FLT-18)."""
+    patterns = {
+        "web": r"(?iu)\b(google|search the web|on the internet|latest news)\b|в интернете|загугли|свежие новости",
+        "code": r"(?iu)\b(write|fix|refactor|implement|run)\b.*\b(code|function|script|test)|напиши код|исправь|запусти",
+        "overview": r"(?iu)summar|overview|main idea|о\s+ч[её]м|кратк|суть|резюм",
+        "image": r"(?iu)\b(draw|picture|image of)\b|нарисуй|картинк",
+        "video": r"(?iu)\b(animate|video of)\b|оживи|видео",
+    }
+    return F.coalesce(question.rlike(patterns[kind]), F.lit(False))

@@ -233,3 +233,32 @@ def touching_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with either end among `nodes` (JOIN-22): two equi-joins, since an OR would be a nested loop."""
     ids = nodes.select(F.col("node_id").alias("_id")).distinct()
     return edges.join(ids, F.col("src") == F.col("_id"), "left_semi").union(edges.join(ids, F.col("dst") == F.col("_id"), "left_semi")).distinct()
+
+
+def update_nodes(nodes: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Columns of `changes` replace those of the same rows where they are not null (SNK-05)."""
+    new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in changes.columns if c != key))
+    joined = nodes.join(new, key, "left")
+    return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c != key and c in changes.columns else F.col(c) for c in nodes.columns))
+
+
+def problems(files: DataFrame) -> DataFrame:
+    """Files with an error or warnings, by status descending and path (FLT-17)."""
+    return files.filter((F.col("status") != "ok") | (F.size("warnings") > 0)).orderBy(F.desc("status"), "path")
+
+
+def experiment_summary(experiments: DataFrame, metrics: DataFrame, hyperparameters: DataFrame) -> DataFrame:
+    """Each experiment with its metrics and hyperparameters as sorted arrays (AGG-22, JOIN-01)."""
+    m = metrics.groupBy("experiment_id").agg(F.array_sort(F.collect_list(F.struct("name", "split", "value"))).alias("metrics"))
+    h = hyperparameters.groupBy("experiment_id").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("hyperparameters"))
+    return experiments.join(m, experiments["id"] == m["experiment_id"], "left").drop("experiment_id").join(h, experiments["id"] == h["experiment_id"], "left").drop("experiment_id")
+
+
+def nodes_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """Fragments at places (place_id, file_path, cell, line_start, line_end) (FLT-03): with a cell, its fragments that are no
+    output, within the lines if given; without one, only fragments that have no cell."""
+    n, p = nodes.alias("n"), places.alias("p")
+    lines = F.col("p.line_start").isNull() | ((F.col("n.line_start") <= F.coalesce("p.line_end", "p.line_start")) & (F.col("n.line_end") >= F.col("p.line_start")))
+    in_cell = F.col("p.cell").isNotNull() & (F.col("n.cell") == F.col("p.cell")) & (F.col("n.node_type") != "output") & (lines | F.col("n.line_start").isNull())
+    plain = F.col("p.cell").isNull() & F.col("n.cell").isNull() & lines
+    return p.join(n, (F.col("n.file_path") == F.col("p.file_path")) & F.coalesce(in_cell | plain, F.lit(False))).select("p.place_id", "n.node_id", "n.ord")

@@ -177,3 +177,113 @@ def out_of_order(cells: DataFrame, key: str, ord_: str, count: str) -> DataFrame
     w = Window.partitionBy(key).orderBy(ord_)
     fell = F.coalesce(F.lag(count).over(w) > F.col(count), F.lit(False))
     return cells.filter(F.col(count).isNotNull()).withColumn("_f", fell).groupBy(key).agg(F.max(F.col("_f").cast("int")).alias("out_of_order"))
+
+
+def syntax_error(path: str, content: str) -> str | None:
+    """Why a .py, .json or .ipynb text cannot be read; None if it can, or for other kinds (AST-07)."""
+    import json
+
+    try:
+        if path.endswith(".py"):
+            ast.parse(content)
+        elif path.endswith((".json", ".ipynb")):
+            data = json.loads(content)
+            if path.endswith(".ipynb") and "cells" not in data:
+                return "no cells"
+    except (SyntaxError, ValueError) as e:
+        return str(e)
+    return None
+
+
+def interfaces(symbols: DataFrame, most: int = 200) -> DataFrame:
+    """(file_path, outline): public signatures of each file in line order (AST-08)."""
+    public = symbols.filter(~F.col("name").startswith("_") | (F.col("name") == "__init__"))
+    rows = F.slice(F.array_sort(F.collect_list(F.struct("line_start", "signature"))), 1, most)
+    return public.groupBy("file_path").agg(F.array_join(F.transform(rows, lambda r: r["signature"]), "\n").alias("outline"))
+
+
+def source_chunks(source: str, limit: int = 1800, window: int = 60, overlap: int = 10) -> list[dict]:
+    """Chunks of a Python source along its definitions (CHK-02..04).
+
+    Statements, each with the decorators and comment lines above it, are taken together while
+    their visible characters fit the limit. A class that does not fit becomes a header and its
+    members, anything else that does not fit becomes line windows. A text that is no Python
+    gives line windows throughout.
+    """
+    lines = source.split("\n")
+    visible = [len("".join(x.split())) for x in lines]
+    out: list[dict] = []
+
+    def emit(start: int, end: int, title: str, kind: str, context: str) -> None:
+        out.append({"start": start, "end": end, "title": title[:150], "kind": kind, "context": context})
+
+    def windows(start: int, end: int, title: str, kind: str, context: str, again: str) -> None:
+        n, step = end - start + 1, max(window - overlap, 1)
+        begins = [a for a in range(0, n, step) if a == 0 or a + overlap < n]
+        for k, a in enumerate(begins, 1):
+            emit(start + a, min(start + a + window, start + n) - 1, f"{title} (part {k}/{len(begins)})", kind, context if k == 1 else "\n".join(filter(None, (context, again))))
+
+    def units(body: list[ast.stmt], after: int):
+        for node in body:
+            start = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
+            while start - 1 > after and lines[start - 2].strip().startswith("#"):
+                start -= 1
+            yield start, node.end_lineno, node
+            after = node.end_lineno
+
+    def named(node: ast.stmt, owner: str) -> tuple[str, str]:
+        if isinstance(node, ast.ClassDef):
+            return f"class {owner}{node.name}", "class"
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            return f"{owner}{node.name}", "function"
+        return "module code", "code"
+
+    def pack(body: list[ast.stmt], after: int, owner: str, context: str) -> None:
+        held: list[tuple[int, int, ast.stmt]] = []
+        room = limit
+
+        def flush() -> None:
+            nonlocal held, room
+            if held:
+                labels = [named(n, owner) for *_, n in held]
+                kinds = {k for _, k in labels}
+                emit(held[0][0], held[-1][1], ", ".join(dict.fromkeys(t for t, _ in labels)), kinds.pop() if len(kinds) == 1 else "code", context)
+            held, room = [], limit
+
+        for start, end, node in units(body, after):
+            size = sum(visible[start - 1 : end])
+            if size > room:
+                flush()
+            if size <= limit:
+                held.append((start, end, node))
+                room -= size
+                continue
+            title, kind = named(node, owner)
+            if kind != "class":
+                windows(start, end, title, "code", context, _signature(node) if kind == "function" else "")
+                continue
+            members = [n for n in node.body if named(n, "")[1] != "code"]
+            inner = node.body[node.body.index(members[0]) :] if members else []
+            first = next(units(inner, start), (end + 1,))[0]
+            emit(start, first - 1, title, "class", context)
+            doc = (ast.get_docstring(node) or "").strip().split("\n")[0]
+            pack(inner, start, f"{owner}{node.name}.", "\n".join(filter(None, (context, _signature(node) + (f": {doc}" if doc else "")))))
+        flush()
+
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError):
+        windows(1, len(lines), "lines", "code", "", "")
+        return out
+    pack(tree.body, 0, "", "")
+    return out
+
+
+def chunked_sources(files: DataFrame, path: str = "path", source: str = "source", limit: int = 1800) -> DataFrame:
+    """(path, ord, start, end, title, kind, context) of Python sources, in Arrow batches."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,title:string,kind:string,context:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: source_chunks(x or "", limit))
+
+    return files.select(path, F.posexplode(run(source)).alias("ord", "c")).select(path, "ord", "c.*")
