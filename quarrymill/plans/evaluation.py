@@ -48,7 +48,7 @@ def paired_bootstrap(s, d):
     return s.createDataFrame([tuple(r[k] for k in ("n", "diff", "low", "high", "p"))], "n long, diff double, low double, high double, p double")
 
 
-@register("overthinking_share", """WITH p AS (SELECT doc_id, quality - toxic AS gain, n_chars AS extra FROM labels JOIN documents USING (doc_id)) SELECT sum(CASE WHEN gain <= 0 THEN extra ELSE 0 END) AS wasted, sum(extra) AS extra, round(sum(CASE WHEN gain <= 0 THEN extra ELSE 0 END)::DOUBLE / nullif(sum(extra), 0), 6) AS share FROM p""")
+@register("overthinking_share", """WITH p AS (SELECT doc_id, quality - toxic AS gain, n_chars AS extra FROM labels JOIN documents USING (doc_id)) SELECT CAST(sum(CASE WHEN gain <= 0 THEN extra ELSE 0 END) AS BIGINT) AS wasted, CAST(sum(extra) AS BIGINT) AS extra, round(sum(CASE WHEN gain <= 0 THEN extra ELSE 0 END)::DOUBLE / nullif(sum(extra), 0), 6) AS share FROM p""")
 def overthinking_share(s, d):
     p = read(s, d, "labels").join(read(s, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("quality") - F.col("toxic")).alias("gain"), F.col("n_chars").alias("extra"))
     wasted = F.sum(F.when(F.col("gain") <= 0, F.col("extra")).otherwise(0))

@@ -39,15 +39,15 @@ _sql("sql_like", "SELECT count(*) AS n FROM {part} WHERE lower(p_type) LIKE '%a%
 _sql("sql_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 _sql("sql_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
 _sql("sql_except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
-_sql("sql_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) AS g FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
+_sql("sql_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS INT) AS g FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
 _sql("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("sql_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 _sql("sql_having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey HAVING count(*) >= 12")
-_sql("sql_windows", """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before,
+_sql("sql_windows", """SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS rn, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before,
 round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running FROM {orders}""")
-_sql("sql_top_per_group", "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM {orders}) t WHERE rank <= 3")
+_sql("sql_top_per_group", "SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM {orders}) t WHERE rank <= 3")
 _sql("sql_recursive_levels", """WITH RECURSIVE e AS (SELECT n_nationkey AS node, n_nationkey - 5 AS above FROM {nation} WHERE n_nationkey >= 5), r AS (SELECT n_nationkey AS node, 0 AS level FROM {nation} WHERE n_nationkey < 5 UNION ALL SELECT e.node, level + 1 FROM r JOIN e ON e.above = r.node) SELECT node, max(level) AS level FROM r GROUP BY node""")
-_sql("sql_case_pivot", "SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o FROM {orders} GROUP BY o_custkey")
+_sql("sql_case_pivot", "SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o FROM {orders} GROUP BY o_custkey")
 _sql("sql_cte_chain", "WITH a AS (SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM {lineitem} GROUP BY l_suppkey), m AS (SELECT max(revenue) AS most FROM a) SELECT s_suppkey, s_name, round(revenue, 2) AS revenue FROM {supplier} JOIN a ON s_suppkey = l_suppkey JOIN m ON revenue >= most * 0.95")
 _sql("sql_cross_join_small", "SELECT a.r_name AS left_name, b.r_name AS right_name FROM {region} a CROSS JOIN {region} b")
 _sql("sql_lateral", "SELECT c_custkey, t.o_orderkey FROM {customer} c JOIN LATERAL (SELECT o_orderkey FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t ON true", "SELECT o_custkey AS c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM {orders}) WHERE r = 1")

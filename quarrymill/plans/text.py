@@ -27,7 +27,7 @@ def line_windows(s, d):
 
 @register("paragraph_islands", f"""WITH l AS (SELECT doc_id, unnest({LINES}) AS line, unnest(range(1, len({LINES}) + 1)) AS no FROM documents),
 g AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS grp FROM l WHERE trim(line, ' ') <> ''),
-p AS (SELECT doc_id, min(no) AS line_start, max(no) AS line_end, sum(length(line)) AS size FROM g GROUP BY doc_id, grp)
+p AS (SELECT doc_id, min(no) AS line_start, max(no) AS line_end, CAST(sum(length(line)) AS BIGINT) AS size FROM g GROUP BY doc_id, grp)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_start) AS para, line_start, line_end, size FROM p""")
 def paragraph_islands(s, d):
     p = K.paragraphs(read(s, d, "documents"))
@@ -191,7 +191,7 @@ def last_n_turns(s, d):
     return c.withColumn("n", n).filter("n <= 6").select("conv_id", "turn", "role", F.left("text", F.lit(1500)).alias("text"))
 
 
-@register("dialog_summary", """SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, max(turn) AS last_turn, sum(length(text)) AS n_chars FROM conversations GROUP BY 1""")
+@register("dialog_summary", """SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1""")
 def dialog_summary(s, d):
     return read(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("n_chars"))
 
