@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bbit_minhash import near_duplicates
-from .common import table
+from .common import spread, table
 from .credential_linking import secrets_query
 from .gam_quality import quality_query
 from .mil_toxicity import toxicity_query
@@ -30,7 +30,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    docs = lambda s, d: table(s, d, "documents")
+    docs = lambda s, d: spread(table(s, d, "documents"))
     return {
         "op1_quality": lambda s, d: quality_query(docs(s, d), table(s, d, "labels")),
         "op2_language": lambda s, d: language_query(docs(s, d)),
