@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, materialize
+from .common import counted, kept_by_worker, materialize
 
 WORDS = 5
 #: Bands and rows: a pair at similarity 0.75 misses every band with probability 2e-5; K = BANDS * ROWS.
@@ -260,7 +260,7 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: i
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     members = _blocks(clusters.join(sizes, "root"), "root", "size", "node", SET_BLOCK).select("_pair", "node", "_own", "_one")
     members = members.join(nodes.select("node", "print", "n_shingles", "bits"), "node")
-    wanted = nodes.join(clusters.select("node"), "node", "left_semi").select(F.col("node").alias("doc_id"), F.col("print").alias("_print"))
+    wanted = nodes.join(clusters.select("node"), "node", "left_semi").select(F.col("node").alias("doc_id")).distinct()
 
     def sets(batches):
         hash_of = kept_by_worker("word_hashes", _WordHashes).__getitem__
@@ -269,7 +269,7 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: i
             prints = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(prints, pa.binary()), pa.array([shingle_set(w, hash_of).tobytes() for w in words], pa.binary())], names=["node", "print", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(counted(wanted, "wanted"), "doc_id", "left_semi")
     full = texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(sets, "node long, print binary, shingles binary").dropDuplicates(["node", "print"])
     full = materialize(full, "sets")
     dealt = members.join(full, ["node", "print"]).select("_pair", "node", "_own", "_one", "n_shingles", "bits", "shingles").repartition("_pair").sortWithinPartitions("_pair", "node")
@@ -349,4 +349,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
 def keep_representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     """`docs`, all columns, without the documents whose component has a smaller id."""
     gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(counted(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

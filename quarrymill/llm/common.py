@@ -56,6 +56,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids of one broadcast set, about 30 MB as a hashed relation.
+BROADCAST_IDS = 500_000
+
+
+def counted(ids: DataFrame, name: str) -> DataFrame:
+    """One column of distinct ids, written and counted; broadcast up to BROADCAST_IDS, joined by a shuffle beyond.
+
+    A set that may be broadcast spares the shuffle of the texts it selects.
+    """
+    ids = materialize(ids, name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def drop_scratch() -> None:
     """Delete what `materialize` wrote so far; results that still read it must be done."""
     while _SCRATCH:

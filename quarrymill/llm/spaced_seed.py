@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import counted
+
 #: Two masks of span 12 and weight 8 that share few shifted positions (fixed values).
 MASKS = ("110110010111", "111010011011")
 SPAN = len(MASKS[0])
@@ -91,4 +93,4 @@ def _confirmed(hits: DataFrame) -> DataFrame:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs`, all columns, without the documents that overlap an item."""
     gone = overlaps(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(counted(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
