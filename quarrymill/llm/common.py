@@ -131,11 +131,16 @@ def share(spark: SparkSession, model):
 
 
 def kept_by_worker(key: str, make):
-    """What `make` gives, once per Python worker: workers are reused by later tasks, code is not."""
+    """What `make` gives, kept by a Python worker from task to task: workers are reused, code is sent anew.
+
+    A worker keeps one thing at a time, so that a pipeline's stages don't add up in its memory.
+    """
     home = sys.modules.setdefault("_quarrymill_worker", types.ModuleType("_quarrymill_worker"))
-    if not hasattr(home, key):
-        setattr(home, key, make())
-    return getattr(home, key)
+    held = home.__dict__.setdefault("held", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
 
 
 def span_digest(spans, kinds):

@@ -29,7 +29,7 @@ MIN_DOCS = 5
 #: Lengths of the prefixes that count as stems; a "*" marks them among the features.
 STEMS = (4, 5, 6, 7)
 #: Word weights that a worker remembers before it starts anew.
-CACHE = 500_000
+CACHE = 250_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
