@@ -107,6 +107,7 @@ def notebook_prompt(cells: DataFrame, limit: int) -> DataFrame:
     """(file_path, prompt): cells in order, each cut to its share of the limit, 400 characters at least (CHK-17)."""
     share = F.greatest(F.lit(400), F.floor(F.lit(limit) / F.count("*").over(Window.partitionBy("file_path"))).cast("int"))
     cut = cells.withColumn("_s", share)
+    # The two headings are fixed values of the format.
     head = F.format_string("[ячейка %d · %s]\n%s", F.col("cell"), F.coalesce("cell_type", F.lit("output")), F.left("source", F.col("_s")))
     out = F.when(F.coalesce("output", F.lit("")) != "", F.format_string("\n\n[вывод ячейки %d]\n%s", F.col("cell"), F.left("output", F.col("_s")))).otherwise("")
     blocks = F.array_sort(F.collect_list(F.struct("cell", F.concat(head, out).alias("b"))))

@@ -28,17 +28,25 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return rank_by(scored, ["query_id"], [F.desc("score"), F.asc("node_id")]).filter(F.col("rank") <= k)
 
 
+def against_all(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Every row of a stated query set beside every row of `rows`: the set is dealt into blocks by a hash of `key`.
+
+    Up to BROADCAST_ROWS, counted first, the set is broadcast; beyond, both sides meet by block.
+    """
+    n = asked.count()
+    blocks = max(1, -(-n // BLOCK))
+    q = asked.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    v = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return v.join(F.broadcast(q) if n <= BROADCAST_ROWS else q, "_block").drop("_block")
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
     """Cosine top-k of each query (query_id, vector) among (node_id, vector) (RET-01, JOIN-16).
 
     Filters on `vectors` belong below this call, so that they apply before the top-k.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    q = queries.select("query_id", normalised(F.col("vector")).alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
-    v = vectors.select("node_id", normalised(F.col("vector")).alias("_v"))
-    v = v.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))) if blocks > 1 else v.withColumn("_block", F.lit(0).cast("long"))
-    pairs = v.join(F.broadcast(q) if n <= BROADCAST_ROWS else q, "_block")
+    q = queries.select("query_id", normalised(F.col("vector")).alias("_q"))
+    pairs = against_all(q, vectors.select("node_id", normalised(F.col("vector")).alias("_v")), "query_id")
     if exclude_self:
         pairs = pairs.filter(F.col("query_id") != F.col("node_id"))
     return top_k(pairs.select("query_id", "node_id", dot(F.col("_q"), F.col("_v")).alias("score")), k).select("query_id", "node_id", "score", "rank")
@@ -74,8 +82,7 @@ def max_similarity(query_tokens: DataFrame, item_vectors: DataFrame, k: int = 10
     """Late interaction (JOIN-24): sum over a query's token vectors of the largest dot product in an item."""
     q = query_tokens.select("query_id", F.col("token").alias("_t"), normalised(F.col("vector")).alias("_q"))
     i = item_vectors.select("node_id", normalised(F.col("vector")).alias("_v"))
-    small = query_tokens.count() <= BROADCAST_ROWS
-    pairs = i.withColumn("_one", F.lit(1)).join((F.broadcast(q) if small else q).withColumn("_one", F.lit(1)), "_one")
+    pairs = against_all(q, i, "_t")
     best = pairs.groupBy("query_id", "node_id", "_t").agg(F.max(dot(F.col("_q"), F.col("_v"))).alias("m"))
     return top_k(best.groupBy("query_id", "node_id").agg(F.sum("m").alias("score")), k).select("query_id", "node_id", "score", "rank")
 
