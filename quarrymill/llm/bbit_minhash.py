@@ -137,22 +137,41 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>, bits binary")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of edges that span the graph of edges (a, b)."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = list(range(len(nodes)))
-    keep = []
-    for i, (x, y) in enumerate(zip(flat[: len(a)].tolist(), flat[len(a) :].tolist(), strict=True)):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        while root[y] != y:
-            root[y] = root[root[y]]
-            y = root[y]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.array(keep, dtype=np.int64)
+class Joined:
+    """Which nodes of a batch are connected so far: a label for each place, and the edges that span it."""
+
+    def __init__(self, node: np.ndarray):
+        self.node = node
+        ids, self.place = np.unique(node, return_inverse=True)
+        self.label = np.arange(len(ids))
+        self.edges: tuple[list, list] = ([], [])
+
+    def apart(self, at: np.ndarray, d: int) -> np.ndarray:
+        """Of places, those whose d-th next row is not connected to them yet."""
+        return at[self.label[self.place[at]] != self.label[self.place[at + d]]]
+
+    def add(self, at: np.ndarray, d: int) -> None:
+        """Connect rows to their d-th next ones; an edge is kept only if it connects anything."""
+        if not len(at):
+            return
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        x, y = self.label[self.place[at]].tolist(), self.label[self.place[at + d]].tolist()
+        for i, u, v in zip(at.tolist(), x, y, strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                self.edges[0].append(int(self.node[i]))
+                self.edges[1].append(int(self.node[i + d]))
+        new = np.arange(len(self.label))
+        moved = list(root)
+        new[moved] = [find(m) for m in moved]
+        self.label = new[self.label]
 
 
 def _blocks(df: DataFrame, key: str, size: str, member: str, block: int) -> DataFrame:
@@ -207,22 +226,18 @@ def loose_links(nodes: DataFrame, k: int, cutoff: float) -> DataFrame:
             key, node, n = t.column("_pair").to_numpy(), t.column("node").to_numpy(), t.column("n_shingles").to_numpy()
             own, one = t.column("_own").to_numpy(), t.column("_one").to_numpy(zero_copy_only=False)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
-            left, right = [], []
+            joined = Joined(node)
             at = np.arange(len(key) - 1)
             for d in range(1, len(key)):
                 at = at[: np.searchsorted(at, len(key) - d)]
                 at = at[key[at] == key[at + d]]
                 if not len(at):
                     break
-                near = _meeting(at, d, own, one)
-                near = near[(4 * np.minimum(n[near], n[near + d]) >= 3 * np.maximum(n[near], n[near + d])) & (node[near] != node[near + d])]
-                near = near[estimate(bits[near], bits[near + d], k) >= cutoff]
-                left.append(node[near])
-                right.append(node[near + d])
-            a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
-            if len(a):
-                keep = forest(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+                near = joined.apart(_meeting(at, d, own, one), d)
+                near = near[4 * np.minimum(n[near], n[near + d]) >= 3 * np.maximum(n[near], n[near + d])]
+                joined.add(near[estimate(bits[near], bits[near + d], k) >= cutoff], d)
+            if joined.edges[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined.edges], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
 
