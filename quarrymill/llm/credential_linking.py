@@ -30,7 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 IDENTIFIER = r"""(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}"""
 ENDPOINT = r"(?:https?|ftp|ssh|jdbc|postgres|mysql|mongodb|redis)://[A-Za-z0-9.:@/_-]{4,200}"
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_=-])"
+#: A run of any length, after = too, with base64 padding; what has = and more after it is a name, not a value.
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ROLES = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
 SPAN = "struct<kind:string,start:bigint,end:bigint,base:boolean>"
 
