@@ -9,6 +9,10 @@ reliability and each candidate's probability without any label; a logistic class
 and context features is then trained on those probabilities and decides. Base spans, which
 are a contract, are always reported.
 
+Both are fitted on every candidate of every document. What they see of a candidate is a pattern
+of few values (kind, votes, length up to 60, digit share in steps of 1/16, neighbours up to 4),
+so patterns are counted where the texts are, and only patterns with their counts are fitted.
+
 Defined cases: null texts count as empty; offsets are code points, ends exclusive; rows stay
 one to one with the documents.
 """
@@ -16,6 +20,7 @@ one to one with the documents.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +32,8 @@ from .common import digest_columns, share
 
 KINDS = ("email", "ip", "card", "phone")
 WEAK_KINDS = ("email_words", "account", "identity", "phone_local", "person")
-#: Documents whose candidates the voters and the classifier are fitted on, about; and how many candidates of each.
-SAMPLE_DOCS, SAMPLE_SPANS = 4_000, 32
+#: Steps of what the classifier sees of a candidate: its length, its share of digits, its neighbours.
+LENGTHS, SHARES, NEAR = 60, 16, 4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -166,11 +171,29 @@ def votes(text: str, span: tuple[str, int, int], near: int) -> list[int]:
     return [pattern, checksum, gazetteer, context, negative, 1 if near else -1, shape]
 
 
-def features(text: str, span: tuple[str, int, int], near: int) -> list[float]:
+def pattern(text: str, span: tuple[str, int, int], near: int) -> int:
+    """All that the fit and the classifier see of a candidate, as one number."""
     kind, a, b = span
-    v = votes(text, span, near)
     value = text[a:b]
-    return [*(float(kind == k) for k in (*KINDS, *WEAK_KINDS)), *(float(x == 1) for x in v), *(float(x == 0) for x in v), min(len(value), 60) / 60, sum(c.isdigit() for c in value) / len(value), float(min(near, 4)), 1.0]
+    key = (*KINDS, *WEAK_KINDS).index(kind)
+    for v in votes(text, span, near):
+        key = key * 3 + v + 1
+    key = key * (LENGTHS + 1) + min(len(value), LENGTHS)
+    key = key * (SHARES + 1) + round(SHARES * sum(c.isdigit() for c in value) / len(value))
+    return key * (NEAR + 1) + min(near, NEAR)
+
+
+def unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, features) of each pattern."""
+    rest, near = np.divmod(keys, NEAR + 1)
+    rest, digits = np.divmod(rest, SHARES + 1)
+    rest, length = np.divmod(rest, LENGTHS + 1)
+    v = np.zeros((len(keys), len(VOTERS)), dtype=np.int64)
+    for j in reversed(range(len(VOTERS))):
+        rest, v[:, j] = np.divmod(rest, 3)
+    v -= 1
+    kinds = rest[:, None] == np.arange(len(KINDS) + len(WEAK_KINDS))
+    return v, np.column_stack([kinds, v == 1, v == 0, length / LENGTHS, digits / SHARES, near, np.ones(len(keys))]).astype(float)
 
 
 @dataclass
@@ -182,26 +205,27 @@ class SpanModel:
     def keep(self, text: str, spans: list[tuple[str, int, int]], near: list[int], threshold: float) -> list[tuple[str, int, int]]:
         if not spans:
             return []
-        x = np.array([features(text, s, n) for s, n in zip(spans, near, strict=True)])
+        x = unpacked(np.array([pattern(text, s, n) for s, n in zip(spans, near, strict=True)], dtype=np.int64))[1]
         p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
         return [s for s, q in zip(spans, p, strict=True) if q >= threshold]
 
 
-def aggregate_votes(v: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float, np.ndarray]:
-    """Expectation-maximisation: (reliabilities, prior, probability of each candidate).
+def aggregate_votes(v: np.ndarray, rounds: int = 50, count: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+    """Expectation-maximisation: (reliabilities, prior, probability of each candidate); a row stands for `count` candidates.
 
     It starts from the share of votes for; counts are smoothed towards voters that are right
     more often than not, which also fixes which of the two classes is which.
     """
-    said = v >= 0
+    said, count = v >= 0, np.ones(len(v)) if count is None else count
     q = np.where(said.any(1), (np.where(said, v, 0).sum(1) + 0.5) / (said.sum(1) + 1), 0.5) if len(v) else np.zeros(0)
     theta, prior = np.full((v.shape[1], 2), 0.5), 0.5
     for _ in range(rounds):
-        prior = float((q.sum() + 1) / (len(q) + 2))
+        prior = float(((count * q).sum() + 1) / (count.sum() + 2))
+        yes, no = count * q, count * (1 - q)
         for j in range(v.shape[1]):
             s = said[:, j]
-            theta[j, 0] = ((q[s] * v[s, j]).sum() + 4) / (q[s].sum() + 5)  # P(vote 1 | span, votes)
-            theta[j, 1] = (((1 - q[s]) * v[s, j]).sum() + 1) / ((1 - q[s]).sum() + 5)  # P(vote 1 | none, votes)
+            theta[j, 0] = ((yes[s] * v[s, j]).sum() + 4) / (yes[s].sum() + 5)  # P(vote 1 | span, votes)
+            theta[j, 1] = ((no[s] * v[s, j]).sum() + 1) / (no[s].sum() + 5)  # P(vote 1 | none, votes)
         log = np.full(len(q), np.log(prior) - np.log1p(-prior))
         for j in range(v.shape[1]):
             one, zero = np.log(theta[j, 0] / theta[j, 1]), np.log((1 - theta[j, 0]) / (1 - theta[j, 1]))
@@ -210,16 +234,30 @@ def aggregate_votes(v: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float,
     return theta, prior, q
 
 
-def fit_classifier(x: np.ndarray, q: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> np.ndarray:
-    """Logistic regression on soft targets, by Newton steps."""
+def fit_classifier(x: np.ndarray, q: np.ndarray, count: np.ndarray, l2: float = 4.0) -> np.ndarray:
+    """Logistic regression on soft targets, by Newton steps that are halved while they gain nothing.
+
+    A row stands for `count` candidates. The penalty is on their sum, not their mean: the weight
+    of a rare kind is not held down the more the larger the corpus is.
+    """
     w = np.zeros(x.shape[1])
-    for _ in range(25):
+
+    def loss(w):
+        z = x @ w
+        return float((count * (np.logaddexp(0, z) - q * z)).sum() + l2 / 2 * w @ w)
+
+    least = loss(w)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x.T * (p * (1 - p))) @ x / max(1, len(x)) + l2 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (q - p) / max(1, len(x)) - l2 * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        h = (x.T * (count * p * (1 - p))) @ x + l2 * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (count * (q - p)) - l2 * w)
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) > least:
+            size /= 2
+        if size <= 1e-4 or np.abs(step).max() < 1e-8:
             break
+        w += size * step
+        least = loss(w)
     return w
 
 
@@ -228,31 +266,31 @@ def neighbours(spans: list[tuple[str, int, int]], others: list[tuple[str, int, i
     return [int(np.searchsorted(starts, b + WINDOW) - np.searchsorted(starts, a - WINDOW)) - 1 for _, a, b in spans]
 
 
-def fit_spans(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SpanModel:
-    """Fit voters and classifier on candidates of about `sample_docs` documents, drawn by a hash of the id."""
-    n = docs.count()
-    slots = 1_000_000
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < min(slots, int(slots * sample_docs / max(1, n)) + 1)).select("text")
+def count_patterns(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns of all candidates of all documents, in order, and how many candidates have each."""
 
     def run(batches):
+        found: Counter[int] = Counter()
         for b in batches:
-            v, x = [], []
             for t in b.column("text").to_pylist():
-                if not t:
-                    continue
-                base = base_spans(t)
-                spans = [*base, *weak_spans(t, base)]
-                for s, k in list(zip(spans, neighbours(spans, spans), strict=True))[:SAMPLE_SPANS]:
-                    v.append(votes(t, s, k))
-                    x.append(features(t, s, k))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.int64())), pa.array(x, pa.list_(pa.float64()))], names=["v", "x"])
-
-    rows = sample.mapInArrow(run, "v array<long>, x array<double>").toArrow()
-    v = np.array(rows.column("v").to_pylist(), dtype=np.int64).reshape(-1, len(VOTERS))
-    x = np.array(rows.column("x").to_pylist(), dtype=np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, len(KINDS) + len(WEAK_KINDS) + 2 * len(VOTERS) + 4))
-    order = np.lexsort(np.hstack([v, x]).T) if len(v) else slice(None)  # sums in one order, whatever the tasks' order was
-    theta, prior, q = aggregate_votes(v[order])
-    return SpanModel(theta, prior, fit_classifier(x[order], q))
+                if t:
+                    base = base_spans(t)
+                    spans = [*base, *weak_spans(t, base)]
+                    found.update(pattern(t, s, k) for s, k in zip(spans, neighbours(spans, spans), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = rows.column("pattern").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def fit_spans(docs: DataFrame) -> SpanModel:
+    """Fit voters and classifier on the counted patterns of all candidates."""
+    keys, n = count_patterns(docs)
+    v, x = unpacked(keys)
+    theta, prior, q = aggregate_votes(v, count=n)
+    return SpanModel(theta, prior, fit_classifier(x, q, n))
 
 
 def find_spans(text: str, model: SpanModel, threshold: float) -> tuple[list, list]:

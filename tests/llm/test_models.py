@@ -220,3 +220,28 @@ def test_votes_find_the_reliable():
     v[rng.random(v.shape) < 0.2] = -1
     theta, prior, q = pii.aggregate_votes(v)
     assert ((q > 0.5) == truth).mean() > 0.85 and theta[0, 0] - theta[0, 1] > theta[2, 0] - theta[2, 1]
+
+
+def test_voters_are_fitted_on_all_candidates(spark):
+    """A kind in one document of 2,500, behind 40 base spans, is counted and weighted."""
+    many = " ".join(f"u{i}@mail.example" for i in range(40))
+    texts = ["write to a@b.com"] * 9_996 + [f"{many} ssn 123-45-678{i}" for i in range(4)]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    keys, n = pii.count_patterns(docs)
+    v, x = pii.unpacked(keys)
+    kinds = (*pii.KINDS, *pii.WEAK_KINDS)
+    of = {k: int(n[x[:, i] == 1].sum()) for i, k in enumerate(kinds)}
+    assert of == {**dict.fromkeys(kinds, 0), "email": 9_996 + 160, "identity": 4}
+    assert pii.fit_spans(docs).weights[kinds.index("identity")] != 0
+    t, span = texts[-1], pii.find_spans(texts[-1], pii.fit_spans(docs), 0.0)[1][0]
+    v, x = pii.unpacked(np.array([pii.pattern(t, span, 3)]))
+    assert v[0].tolist() == pii.votes(t, span, 3) and x[0, kinds.index("identity")] == 1 and x[0, -2] == 3
+
+
+def test_counted_rows_fit_as_repeated_rows():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-1, 2, (40, 4))
+    x, n = np.column_stack([v == 1, v == 0, np.ones(40)]).astype(float), rng.integers(1, 9, 40)
+    once, again = pii.aggregate_votes(v, count=n), pii.aggregate_votes(np.repeat(v, n, axis=0))
+    assert np.allclose(once[0], again[0]) and np.allclose(np.repeat(once[2], n), again[2])
+    assert np.allclose(pii.fit_classifier(x, once[2], n), pii.fit_classifier(np.repeat(x, n, axis=0), again[2], np.ones(n.sum())))
