@@ -8,8 +8,11 @@ along the hit's diagonal, and enough equal tokens confirm an overlap in spite of
 The hashes of the benchmark are broadcast in slices of a fixed number of rows: a larger
 benchmark takes more passes over the texts, never more memory. The texts are not shuffled.
 
-Defined cases: items shorter than a mask are sought whole and unchanged, from SHORTEST tokens
-on, and still shorter ones never; null and empty texts have no tokens; a (document, item) pair
+Short items get lighter masks too and are compared whole: an item of 5 to 16 tokens is found
+wherever PART of its tokens, rounded up, stand in their places, whichever the others are.
+
+Defined cases: items of fewer than SHORTEST tokens are never sought; null and empty texts have
+no tokens; a (document, item) pair
 is reported once, with its best overlap, however often the row or the passage repeats.
 """
 
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import counted
 
-#: Two masks of span 12 and weight 8 that share few shifted positions (fixed values).
-MASKS = ("110110010111", "111010011011")
+#: Masks of span 12, two of weight 8 that share few shifted positions and two of weight 6 (fixed values).
+MASKS = ("110110010111", "111010011011", "110010001011", "101001100101")
 SPAN = len(MASKS[0])
-SHORTEST = 5
-#: Tokens compared on each side of a hit; equal tokens that confirm it, and their least share.
-AROUND, EQUAL, SHARE = 8, 12, 0.5
+#: Items of SHORTEST tokens, but fewer than WHOLE, get these as well. Whichever tokens of an item of up to 16 are
+#: changed, one of these is left untouched if PART of the tokens is (tested for all choices).
+LIGHT = ("11101", "100111", "1101001", "11000101", "1010011", "1111", "11011", "10111")
+SHORTEST, WHOLE = 5, 24
+#: Tokens compared on each side of a hit; equal tokens that confirm it, their part of a shorter item, and their least share.
+AROUND, EQUAL, PART, SHARE = 8, 12, 0.7, 0.5
 #: Rows of benchmark hashes in one broadcast, about 30 MB.
 SLICE = 250_000
 
@@ -50,7 +56,9 @@ def benchmark_seeds(benchmark: DataFrame, families: list[tuple[int, str]]) -> Da
     items = benchmark.select("item_id", hashes(F.col("text")).alias("other")).filter(F.size("other") >= SHORTEST)
     rows = []
     for family, mask in families:
-        fit = F.size("other") >= SPAN if family < len(MASKS) else F.size("other") == len(mask)
+        fit = F.size("other") >= len(mask)
+        if family >= len(MASKS):
+            fit &= F.size("other") < WHOLE
         at = items.filter(fit).select("item_id", "other", F.explode(F.sequence(F.lit(0), F.size("other") - len(mask))).alias("j"))
         rows.append(at.select(seed(family, mask, F.col("other"), F.col("j")).alias("seed"), "item_id", "j", "other"))
     return reduce(DataFrame.unionByName, rows)
@@ -59,10 +67,11 @@ def benchmark_seeds(benchmark: DataFrame, families: list[tuple[int, str]]) -> Da
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, equal, compared, doc_at, item_at): one row for each pair with a confirmed overlap."""
     sizes = F.size(tokens(F.col("text")))
-    known = benchmark.select(sizes.alias("n"), F.col("item_id")).agg(F.sum(F.greatest("n", F.lit(0))).alias("all"), F.collect_set(F.when((F.col("n") >= SHORTEST) & (F.col("n") < SPAN), F.col("n"))).alias("short")).first()
-    families = [*enumerate(MASKS), *((len(MASKS) + k, "1" * n) for k, n in enumerate(sorted(known["short"])))]
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    known = benchmark.select(sizes.alias("n")).agg(count(F.col("n") >= SPAN).alias("all"), count(F.col("n").between(SHORTEST, WHOLE - 1)).alias("short")).first()
+    families = [*enumerate(MASKS), *((len(MASKS) + k, m) for k, m in enumerate(LIGHT) if known["short"])]
     least = min(len(m) for _, m in families)
-    slices = max(1, -(-len(MASKS) * (known["all"] or 0) // SLICE))
+    slices = max(1, -(-(len(MASKS) * known["all"] + len(LIGHT) * known["short"]) // SLICE))
     h, i = F.col("h"), F.col("i")
     runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes(F.col("text")).alias("h"))
     runs = runs.select("doc_id", "h", F.explode(F.when(F.size("h") >= least, F.sequence(F.lit(0), F.size("h") - least))).alias("i"))
@@ -79,14 +88,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _confirmed(hits: DataFrame) -> DataFrame:
     """Hits whose surroundings hold enough equal tokens at equal places."""
-    back = F.least("i", "j", F.lit(AROUND))
-    ahead = F.least(F.size("h") - F.col("i"), F.size("other") - F.col("j"), F.lit(SPAN + AROUND))
+    whole = F.size("other") < WHOLE
+    back = F.least("i", "j", F.when(whole, WHOLE).otherwise(AROUND))
+    ahead = F.least(F.size("h") - F.col("i"), F.size("other") - F.col("j"), F.when(whole, WHOLE).otherwise(SPAN + AROUND))
     hits = hits.withColumn("doc_at", F.col("i") - back).withColumn("item_at", F.col("j") - back).withColumn("compared", back + ahead)
     # Only the surroundings leave the join, not the text; explode keeps the optimizer from moving the slice past it.
     hits = hits.select("doc_id", "item_id", "compared", "doc_at", "item_at", "other", F.explode(F.array(F.slice("h", F.col("doc_at") + 1, F.col("compared")))).alias("mine"))
     same = F.zip_with("mine", F.slice("other", F.col("item_at") + 1, F.col("compared")), lambda a, b: (a == b).cast("int"))
     hits = hits.withColumn("equal", F.aggregate(same, F.lit(0), lambda acc, x: acc + x))
-    enough = (F.col("equal") >= F.least(F.lit(EQUAL), F.size("other"))) & (F.col("equal") >= SHARE * F.col("compared"))
+    enough = (F.col("equal") >= F.least(F.lit(EQUAL), F.ceil(F.lit(PART) * F.size("other")))) & (F.col("equal") >= SHARE * F.col("compared"))
     return hits.filter(enough).select("doc_id", "item_id", "equal", "compared", "doc_at", "item_at")
 
 

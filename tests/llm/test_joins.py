@@ -1,6 +1,8 @@
 """Operators 4, 6, 7, 8 and the pipeline: brute-force twins and defined edge cases."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -202,6 +204,32 @@ def test_decontamination_matches_brute_force(spark):
     assert not [n for n in ("Python", "Pandas", "Arrow") if n in seeds.overlaps(df, bench)._jdf.queryExecution().executedPlan().toString()]
 
 
+def test_light_masks_leave_no_short_item_out():
+    for n in range(seeds.SHORTEST, 17):
+        need = min(seeds.EQUAL, math.ceil(round(seeds.PART * n, 6)))
+        for kept in itertools.combinations(range(n), need):
+            assert any(all(j + k in kept for k, b in enumerate(m) if b == "1") for m in seeds.LIGHT for j in range(n - len(m) + 1)), kept
+
+
+def test_changed_short_items_are_found(spark):
+    rng = random.Random(8)
+    items, docs, want = [], [], set()
+    for n in [*range(seeds.SHORTEST, 17)] * 2:
+        item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        spare = n - min(seeds.EQUAL, math.ceil(round(seeds.PART * n, 6)))
+        for changes in (0, spare, spare + 1):
+            copy = list(item)
+            for k in rng.sample(range(n), changes):
+                copy[k] = f"x{k}"
+            if changes <= spare:
+                want.add((len(docs), len(items)))
+            docs.append([f"y{rng.randrange(10**6)}" for _ in range(9)] + copy + ["end"])
+        items.append(item)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    df = frame(spark, [" ".join(x) for x in docs]).drop("item_id")
+    assert {(r.doc_id, r.item_id) for r in seeds.overlaps(df, bench).collect()} == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
