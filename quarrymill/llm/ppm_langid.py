@@ -7,6 +7,10 @@ whose tree codes it in the fewest bits. Under frozen counts, the cost of a byte
 on the longest context known, so the trees become one automaton: a transition and one cost
 per language for each state and byte, walked by all segments of a batch in lockstep.
 
+Every language gets a tree, and its contexts do not depend on what other languages there are.
+Languages are dealt into blocks of LANGUAGES_PER_BLOCK, each with an automaton of its own: more
+languages take more walks over a text. One automaton is at work at a time.
+
 Texts are lower-cased and their white space is collapsed first. Defined cases: a text that is
 null or has no letter is `und` with score 0, and so is every text if nothing could be learned;
 ties go to the language that sorts first.
@@ -14,23 +18,25 @@ ties go to the language that sorts first.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_split, share
+from .common import in_split, materialize
 
 ORDER = 4
 #: Sampled documents of a language, about.
 DOCS_PER_LANGUAGE = 1_500
-#: Contexts in the automaton, at most; rarer ones are pruned from the trees.
-MAX_STATES = 12_000
-#: Languages that get a tree, at most: those with the most documents.
-MAX_LANGUAGES = 64
+#: Contexts of a language's tree, at most; rarer ones are pruned from it.
+MAX_STATES = 6_000
+#: Languages of one automaton.
+LANGUAGES_PER_BLOCK = 4
 SEGMENT = 512
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -112,20 +118,20 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
         for n in range(order + 1):
             ctx, inverse = np.unique((counts[k][0] >> 8) & ((1 << 8 * n) - 1), return_inverse=True)
             by_order[k, n] = ctx, np.bincount(inverse, counts[k][1])
-    least = 2
-    while True:
-        kept: dict[tuple[str, int], np.ndarray] = {}
-        for k in languages:
+    kept: dict[tuple[str, int], np.ndarray] = {}
+    for k in languages:
+        least = 2
+        while True:
             kept[k, 0] = by_order[k, 0][0]
             for n in range(1, order + 1):
                 ctx, total = by_order[k, n]
                 ctx = ctx[total >= least]
                 closed = (_lookup(kept[k, n - 1], ctx >> 8) >= 0) & (_lookup(kept[k, n - 1], ctx & ((1 << 8 * (n - 1)) - 1)) >= 0)
                 kept[k, n] = ctx[closed]
-        union = [np.unique(np.concatenate([kept[k, n] for k in languages])) for n in range(order + 1)]
-        if sum(map(len, union)) <= max_states:
-            break
-        least = int(np.ceil(least * 1.3))
+            if sum(len(kept[k, n]) for n in range(order + 1)) <= max_states:
+                break
+            least = int(np.ceil(least * 1.3))
+    union = [np.unique(np.concatenate([kept[k, n] for k in languages])) for n in range(order + 1)]
     first = np.cumsum([0, *map(len, union)])
     n_states = int(first[-1])
     # Transitions: the longest known suffix of context + byte.
@@ -165,19 +171,18 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
     return ByteAutomaton(languages, classes, step.ravel(), cost.reshape(-1, len(languages)), spaces[-1], order)
 
 
-def train_language_trees(docs: DataFrame, train: "F.Column", docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteAutomaton | None:
-    """Count the trees on about `docs_per_language` documents of each language where `train` holds.
+def train_language_trees(docs: DataFrame, train: "F.Column", docs_per_language: int = DOCS_PER_LANGUAGE) -> list:
+    """Broadcast automata, a block of languages each, counted on about `docs_per_language` documents of each language where `train` holds.
 
     The sample is drawn by a hash of the id; grams are counted where the texts are, and only
-    sums over the sample reach the driver.
+    sums over the sample reach the driver, one block at a time.
     """
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return None
+    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     slots = 1_000_000
-    most = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, docs_per_language / n) * slots)))))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < most[F.col("lang")]).select("lang", "text")
+    most = F.floor(F.least(F.lit(1.0), F.lit(docs_per_language) / F.col("_n")) * slots)
+    sample = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < most).select("lang", "text")
 
     def count(batches):
         for b in batches:
@@ -188,29 +193,47 @@ def train_language_trees(docs: DataFrame, train: "F.Column", docs_per_language:
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
-    got = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
-    langs, keys, n = got.column("lang").to_numpy(), got.column("gram").to_numpy(), got.column("n").to_numpy()
-    return build({k: (keys[langs == k], n[langs == k]) for k in sizes})
-
-
-def identify(docs: DataFrame, model: ByteAutomaton | None) -> DataFrame:
+    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    if len(languages) > LANGUAGES_PER_BLOCK:
+        counted = materialize(counted, "grams")
+    sent = []
+    for a in range(0, len(languages), LANGUAGES_PER_BLOCK):
+        block = languages[a : a + LANGUAGES_PER_BLOCK]
+        got = counted.filter(F.col("lang").isin(block)).orderBy("lang", "gram").toArrow()
+        langs, keys, n = got.column("lang").to_numpy(), got.column("gram").to_numpy(), got.column("n").to_numpy()
+        model = build({k: (keys[langs == k], n[langs == k]) for k in block})
+        if model is not None:
+            sent.append(docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model)))
+    return sent
+
+
+def identify(docs: DataFrame, sent: list) -> DataFrame:
     """(doc_id, lang_pred, score): score is the posterior of the language under equal priors."""
-    shared = share(docs.sparkSession, model)
 
     def run(batches):
-        model = shared()
+        def block(s):
+            model = pickle.loads(s.value)
+            s.__dict__.pop("_value", None)  # read again from the executor's file when needed: one block is held at a time
+            return model
+
+        only = [block(sent[0])] if len(sent) == 1 else None
         for b in batches:
             texts = b.column("text").to_pylist()
-            letters = [bool(t and _LETTER.search(t)) and model is not None for t in texts]
+            letters = [bool(t and _LETTER.search(t)) and bool(sent) for t in texts]
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             known = np.flatnonzero(letters)
             if len(known):
-                bits = model.code_lengths([normal_bytes(texts[i]) for i in known])
+                data = [normal_bytes(texts[i]) for i in known]
+                names, parts = [], []
+                for model in only or map(block, sent):
+                    names += model.languages
+                    parts.append(model.code_lengths(data))
+                bits = np.hstack(parts)
                 best = bits.argmin(1)
                 rest = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
                 scores[known] = 1 / rest
                 for i, k in zip(known, best, strict=True):
-                    langs[i] = model.languages[k]
+                    langs[i] = names[k]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -218,5 +241,5 @@ def identify(docs: DataFrame, model: ByteAutomaton | None) -> DataFrame:
 
 def language_query(docs: DataFrame) -> DataFrame:
     held_out = in_split(F.col("doc_id"), 3, 1)
-    model = train_language_trees(docs, ~held_out & F.col("doc_id").isNotNull())
-    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    sent = train_language_trees(docs, ~held_out & F.col("doc_id").isNotNull())
+    return identify(docs, sent).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

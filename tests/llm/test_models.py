@@ -139,6 +139,25 @@ def test_languages(spark, odd, empty):
     assert ppm.language_query(empty).count() == 0
 
 
+def test_every_language_gets_a_tree(spark):
+    """70 languages, the last of them with fewer documents than any other."""
+    words = lambda k: [chr(97 + k % 26) + chr(97 + k // 26) + c + chr(97 + (k * 7) % 26) for c in "aeiou"]
+    rows = [(100 * k + i, " ".join(np.random.default_rng(100 * k + i).choice(words(k), 30)), f"l{k:02d}") for k in range(70) for i in range(8 - (k == 69))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = ppm.language_query(docs).filter("held_out").join(docs, "doc_id").collect()
+    assert {r.lang for r in got} == {r.lang_pred for r in got} and "l69" in {r.lang for r in got}
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.97
+
+
+def test_trees_do_not_depend_on_other_languages():
+    rng = np.random.default_rng(4)
+    texts = {k: bytes(rng.choice(list(letters.encode()), 4000)) for k, letters in (("a", "abcd "), ("b", "efgh "), ("c", "ijkl "))}
+    counts = {k: np.unique(ppm.grams(t), return_counts=True) for k, t in texts.items()}
+    alone, among = ppm.build({"a": counts["a"]}, max_states=200), ppm.build(counts, max_states=200)
+    data = [b"abba dab cab", b"efgh abcd", texts["a"][:600]]
+    assert np.allclose(alone.code_lengths(data)[:, 0], among.code_lengths(data)[:, 0], rtol=1e-5)
+
+
 def _unigram(token, lexicon, byte):
     best = [(0.0, 0)]
     for end in range(1, len(token) + 1):
