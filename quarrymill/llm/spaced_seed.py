@@ -101,6 +101,11 @@ def _confirmed(hits: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs`, all columns, without the documents that overlap an item."""
-    gone = overlaps(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(counted(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """`docs`, all columns, without the rows whose texts overlap an item.
+
+    Rows are judged by a hash of their texts, not by their ids: a row without an id goes if its
+    text overlaps, and of rows that share an id only those whose own texts do.
+    """
+    key = F.xxhash64("text")
+    gone = overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(counted(gone, "gone"), key == F.col("_gone"), "left_anti")

@@ -230,6 +230,14 @@ def test_changed_short_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in seeds.overlaps(df, bench).collect()} == want
 
 
+def test_contaminated_rows_go_whatever_their_ids(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, f"a {item} b"), (None, "clean"), (1, f"c {item}"), (1, "clean too"), (2, None), (3, item), (3, item), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = seeds.keep_uncontaminated(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert sorted(got, key=str) == sorted([(None, "clean"), (1, "clean too"), (2, None), (None, None)], key=str)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
