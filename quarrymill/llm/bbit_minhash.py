@@ -342,6 +342,8 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: i
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs` (doc_id, text)."""
     k = bands * rows
+    if percent < 75:
+        raise ValueError("bands and the size filter of loose links hold from 75 percent on")
     cutoff = percent / 100 - SLACK
     rows_ = materialize(signatures(docs, bands, rows), "signatures")
     with_set = rows_.filter("doc_id is not null and print is not null")

@@ -77,6 +77,13 @@ def test_near_duplicates_of_odd_ids(spark):
     assert mh.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_reject_lower_thresholds(spark):
+    df = frame(spark, ["a b c d e f"])
+    for call in (mh.near_duplicates, mh.keep_representatives):
+        with pytest.raises(ValueError):
+            call(df, percent=74)
+
+
 def test_estimates(spark):
     rng = np.random.default_rng(0)
     mul, add = mh._hash_parameters(mh.BANDS * mh.ROWS)
