@@ -213,3 +213,12 @@ def test_policy(spark):
     assert verdict("web_search", None, ["secret_run"], []) == "deny"
     assert verdict("fetch_page", "u", [], ["u"]) == "allow" and verdict("fetch_page", "v", [], ["u"]) == "deny"
     assert verdict("run_code", None, [], [], 0) == "confirm"
+
+
+def test_short_items_in_documents(spark, tmp_path):
+    from quarrymill.plans.text import benchmark_in_documents
+
+    spark.createDataFrame([(1, "one two three four five"), (2, "twofold"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "two"), (2, "two three"), (3, "e two three f"), (4, "three two"), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.item_id, r.doc_id) for r in benchmark_in_documents(spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (3, 1)]
