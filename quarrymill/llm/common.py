@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
+import re
 import sys
 import tempfile
 import types
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Executors get this code with each task, so that a cluster needs no installed copy of it.
@@ -33,12 +38,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset: a temporary one if driver and executors are one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = set_dir.get() if set_dir.isDefined() else None
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -47,13 +54,22 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet into the shared folder and read it again.
 
-    The files outlive lost executors; they go when the driver exits, or by `drop_scratch`.
+    The files outlive lost executors; they go by `release`, by `drop_scratch`, or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quarrymill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what `materialize` wrote for these; whatever read it must be written itself by now."""
+    for df in written:
+        _delete(df.sparkSession, df.scratch_path)
+        _SCRATCH.remove((df.sparkSession, df.scratch_path))
 
 
 #: Ids of one broadcast set, about 30 MB as a hashed relation.
@@ -69,14 +85,16 @@ def counted(ids: DataFrame, name: str) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_scratch() -> None:
     """Delete what `materialize` wrote so far; results that still read it must be done."""
     while _SCRATCH:
-        spark, path = _SCRATCH.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_SCRATCH.pop())
         except Exception:  # the session may be gone at exit; its folder goes with the cluster
             return
 
@@ -118,10 +136,22 @@ def _first_by_hash(rows: DataFrame, n: int, most: int) -> DataFrame:
     return rows.orderBy("_h", "_id").limit(most).select("_id", "label")
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(text, label) of the sampled ids; the sample is bounded, so it may be broadcast."""
-    one = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return one.join(F.broadcast(sample), "_id").select("_id", "text", *(c for c in sample.columns if c != "_id"))
+def labelled_texts(docs: DataFrame, sample: DataFrame, max_chars: int) -> DataFrame:
+    """(_id, text, label, ...) of the sampled ids, written; the sample is bounded, so it may be broadcast.
+
+    An id on several rows counts once, with the text whose hash is smallest. Texts are taken in
+    the order of a hash of their ids while they make at most `max_chars` together, so that the
+    bytes are bounded too; each is taken whole or not at all.
+    """
+    text = F.coalesce("text", F.lit(""))
+    one = docs.select(F.col("doc_id").alias("_id"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(sample.select("_id")), "_id")
+    one = one.groupBy("_id").agg(F.min_by("text", "h").alias("text")).join(F.broadcast(sample), "_id")
+    one = spread(materialize(one.select("_id", "text", *(c for c in sample.columns if c != "_id")), "labelled"))
+    if (one.agg(F.sum(F.length("text"))).first()[0] or 0) <= max_chars:
+        return one
+    order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    fit = one.select("_id", F.length("text").alias("n")).withColumn("n", F.sum("n").over(order)).filter(F.col("n") <= max_chars)
+    return one.join(F.broadcast(fit.select("_id")), "_id")
 
 
 def share(spark: SparkSession, model):
@@ -130,6 +160,50 @@ def share(spark: SparkSession, model):
     return lambda: pickle.loads(sent.value)
 
 
+#: Bytes of text that a worker turns into Python strings at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches, column: str, most: int = SLICE_BYTES):
+    """Record batches of at most about `most` bytes of `column` each (one row at least); memory goes back when all are done.
+
+    Only such a slice is ever turned into Python objects, however many rows a batch has.
+    """
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        if n and batch.schema.field(column).type not in (pa.string(), pa.binary(), pa.large_string()):
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if n else []
+        while at < n:
+            begin = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, begin + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+    give_back()
+
+
+_SPACE = re.compile(r"\s")
+
+
+def cut(text: str, most: int = 1 << 20):
+    """The text in parts of about `most` characters, cut at white space: their words are the text's words."""
+    at = 0
+    while len(text) - at > most and (m := _SPACE.search(text, at + most)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system; it serves other stages later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to ask
+        pass
+
+
 def kept_by_worker(key: str, make):
     """What `make` gives, kept by a Python worker from task to task: workers are reused, code is sent anew.
 

@@ -6,7 +6,10 @@ explain the residual get two-dimensional tables in a second phase. A score is th
 table entries, looked up for whole batches at once.
 
 Defined cases: null and empty texts have all features 0 and get a score like any other text;
-without labels of both classes the score is the share of label 1 (0.5 without any label).
+without labels of both classes the score is the share of label 1 (0.5 without any label); each
+row gets a row, repeated ids and null ids too (a null id is never learned from); an id on several
+rows is learned once; very long texts are read whole; other columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, in_split, labelled_texts, share
+from .common import bounded_labels, in_split, labelled_texts, share, slices
 
 FEATURES = ("words", "word_len", "upper", "symbols", "digits", "marks", "distinct", "top_word", "repeated_lines", "line_words", "packed", "wide", "long_words", "ends")
 #: Labelled rows that a model is fitted on, at most.
 MAX_TRAIN_ROWS = 12_000
+#: Characters of their texts, at most.
+MAX_TRAIN_CHARS = 64_000_000
 _SYMBOLS = re.compile(r"[#$%&*|<>{}\[\]^~=\\@_!]")
 _PACK_BLOCK = 1 << 16
 
@@ -61,7 +66,7 @@ def text_features(text: str) -> list[float]:
 
 
 def feature_batches(batches, keep: tuple[str, ...]):
-    for b in batches:
+    for b in slices(batches, "text"):
         x = np.array([text_features(t or "") for t in b.column("text").to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
         cells = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), cells], names=[*keep, "features"])
@@ -173,7 +178,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, pair_bins: int = 8, rounds
 def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, held_out=None, label: str = "quality") -> AdditiveModel:
     """Fit on at most `max_rows` labelled documents outside `held_out`; only features reach the driver."""
     sample = bounded_labels(labels, label, max_rows, F.lit(False) if held_out is None else held_out)
-    rows = labelled_texts(docs, sample).mapInArrow(lambda it: feature_batches(it, ("_id", "label")), "_id long, label int, features array<double>").orderBy("_id").toArrow()
+    rows = labelled_texts(docs, sample, MAX_TRAIN_CHARS).mapInArrow(lambda it: feature_batches(it, ("_id", "label")), "_id long, label int, features array<double>").orderBy("_id").toArrow()
     x = np.array(rows.column("features").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, rows.column("label").to_numpy().astype(np.float64))
 

@@ -13,7 +13,9 @@ languages take more walks over a text. One automaton is at work at a time.
 
 Texts are lower-cased and their white space is collapsed first. Defined cases: a text that is
 null or has no letter is `und` with score 0, and so is every text if nothing could be learned;
-ties go to the language that sorts first.
+ties go to the language that sorts first; repeated rows and rows without an id get their own
+row each, and the latter are never learned from; very long texts are coded whole, in segments;
+other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_split, materialize
+from .common import in_split, materialize, slices
 
 ORDER = 4
 #: Sampled documents of a language, about.
@@ -38,7 +40,12 @@ MAX_STATES = 6_000
 #: Languages of one automaton.
 LANGUAGES_PER_BLOCK = 4
 SEGMENT = 512
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; signs that only count, as ½ and Ⅷ, are none."""
+    return bool(text) and any(any(map(str.isalpha, m[0])) for m in _WORD.finditer(text))
 
 
 def normal_bytes(text: str) -> bytes:
@@ -185,7 +192,7 @@ def train_language_trees(docs: DataFrame, train: "F.Column", docs_per_language:
     sample = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < most).select("lang", "text")
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             found: dict[str, list[np.ndarray]] = {}
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found.setdefault(lang, []).append(grams(normal_bytes(t)))
@@ -217,9 +224,9 @@ def identify(docs: DataFrame, sent: list) -> DataFrame:
             return model
 
         only = [block(sent[0])] if len(sent) == 1 else None
-        for b in batches:
+        for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
-            letters = [bool(t and _LETTER.search(t)) and bool(sent) for t in texts]
+            letters = [bool(sent) and has_letter(t) for t in texts]
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             known = np.flatnonzero(letters)
             if len(known):

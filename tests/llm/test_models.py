@@ -69,12 +69,18 @@ def test_held_out_quality_and_toxicity(spark):
     q = gam.quality_query(docs, known).join(known, "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in q) / len(q) > 0.95
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in q)
+    t = mil.toxicity_query(docs, known).join(known, "doc_id").filter("held_out and toxic is not null").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in t)
+    toxic, clean = [r for r in t if r.toxic], [r for r in t if not r.toxic]
+    assert toxic and sum(r.predicted for r in toxic) / len(toxic) > 0.85 and sum(r.predicted for r in clean) / len(clean) < 0.03
 
 
 def test_toxicity_locates_sentences():
-    bags = [["the cat sat", "you vile beast"]] * 30 + [["the cat sat", "a calm day"]] * 60 + [["vile"]] * 10
+    texts = ["The cat sat. You vile beast!"] * 30 + ["The cat sat. A calm day."] * 60 + ["vile"] * 10
     y = np.array([1.0] * 30 + [0.0] * 60 + [1.0] * 10)
-    m = mil.fit(bags, y)
+    held = [mil.document_features(t) for t in texts]
+    told = sorted(f for f in set().union(*held) if mil.telling(sum(f in h for h in held[:30] + held[90:]), sum(f in h for h in held[30:90]), 40, 60, 5))
+    m = mil.model_of([(*mil.feature_ids(t, {f: i for i, f in enumerate(told)}), label, 1.0) for t, label in zip(texts, y)], told)
     text = "The cat sat. You vile beast! A calm day."
     spans = mil.sentences(text)
     p = m.scorer()(text, spans)
@@ -139,6 +145,10 @@ def test_languages(spark, odd, empty):
     assert ppm.language_query(empty).count() == 0
 
 
+def test_letters():
+    assert [ppm.has_letter(t) for t in (None, "", "12 ½ ² Ⅷ ① _", "x", "日", "ß1")] == [False, False, False, True, True, True]
+
+
 def test_every_language_gets_a_tree(spark):
     """70 languages, the last of them with fewer documents than any other."""
     words = lambda k: [chr(97 + k % 26) + chr(97 + k // 26) + c + chr(97 + (k * 7) % 26) for c in "aeiou"]
@@ -175,7 +185,16 @@ def test_trie_counts_match_brute_force(spark, odd, empty):
     t.insert(sorted(tokens))
     assert [t.terminals[x] for x in tokens] == [_unigram(x, lexicon, -20.0) for x in tokens]
     fresh = trie.ScoringTrie(lexicon, -20.0)
-    assert [fresh.count(x) for x in tokens] == [t.terminals[x] for x in tokens]
+    assert [fresh.one(x) for x in tokens] == [t.terminals[x] for x in tokens]
+    few = trie.ScoringTrie(lexicon, -20.0)
+    old, trie.CACHE = trie.CACHE, 4
+    try:
+        for a in range(0, len(tokens), 3):  # generations change, counts stay
+            few.know({*tokens[a : a + 3], "▁ab"})
+            assert [few.one(x) for x in tokens] == [t.terminals[x] for x in tokens] and few.count(tokens) == sum(t.terminals[x] for x in tokens)
+    finally:
+        trie.CACHE = old
+    assert trie.pre_tokens(" a  b\n") == ["▁a", "▁b"] and trie.pre_tokens(" \n") == []
     import public_tokenizers as P
 
     rows = trie.count_tokens(odd, P.path("piece_bpe_32k.model")).collect()
@@ -232,6 +251,21 @@ def test_personal_data(spark, odd, empty):
     assert masked.text == "card [CARD] mail [EMAIL] from [IP]" and masked.lang == "en"
 
 
+def test_weak_spans_keep_off_base_spans():
+    text = "123-45-6789." + "1.2.3.4 " * 9
+    assert pii.weak_spans("a123-45-6789 x", []) == []
+    base = [("email", 0, 60), *(("ip", a, a + 2) for a in range(5, 40, 5))]
+    assert pii.weak_spans("x" * 45 + " 123-45-6789 " + "y" * 20, base) == [] and pii.weak_spans(text, pii.base_spans(text)) == [("identity", 0, 11)]
+
+
+def test_long_texts_are_cut_at_white_space():
+    from quarrymill.llm.common import cut
+
+    text = " ".join("abc" * (1 + i % 5) for i in range(999)) + "\x1c tail"
+    for most in (1, 7, 100, 10**6):
+        assert [w for part in cut(text, most) for w in part.split()] == text.split()
+
+
 def test_votes_find_the_reliable():
     rng = np.random.default_rng(3)
     truth = rng.random(2000) < 0.4
