@@ -6,30 +6,37 @@ endpoint. They are reported only when complementary parts stand near them in the
 document: an opaque string near an identifier or an endpoint, an identifier near a secret, an
 endpoint near both.
 
-Near is an interval join over buckets of the distance: for each bucket of a document and each
-role the first and last position are enough to decide it, so that no pairs are made.
+Near is an interval join by a sweep: two parts meet where the gap between their intervals is at
+most the distance. Parts of a document enter at their starts and ask at their ends plus the
+distance; the furthest end of each role that has entered so far decides, so that no pairs are
+made and a document of many parts is only sorted.
 
 Matches are placed in one pass: the text between matches, from a split by the same pattern,
-gives each match's offset. Defined cases: a null text counts as empty; offsets are code
-points, ends exclusive; each row gives one row, repeated rows too.
+gives each match's offset; offsets are summed in blocks, so that a text with very many matches
+is not copied for each of them. Defined cases: a null text counts as empty; offsets are code
+points, ends exclusive; each row gives one row, repeated rows and rows without an id too; very
+long texts are read whole and parts have any length; at equal gaps every part counts; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import digest_columns, materialize
 
 KINDS = ("assign", "access", "hex")
 DISTANCE = 200
+#: Matches whose offsets are summed together.
+BLOCK = 256
 #: kind -> (pattern, group that must be long, its least length): whole matches of the base kinds, then of the weak ones.
 ASSIGN = r"""(?:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is too short fails whichever way it is begun, so the lengths stand in these two patterns.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-IDENTIFIER = r"""(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}"""
-ENDPOINT = r"(?:https?|ftp|ssh|jdbc|postgres|mysql|mongodb|redis)://[A-Za-z0-9.:@/_-]{4,200}"
+IDENTIFIER = r"""(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+ENDPOINT = r"(?:https?|ftp|ssh|jdbc|postgres|mysql|mongodb|redis)://[A-Za-z0-9.:@/_-]{4,}"
 #: A run of any length, after = too, with base64 padding; what has = and more after it is a name, not a value.
 OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ROLES = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
@@ -50,7 +57,15 @@ def located(text: Column, pattern: str, kind: str, base: bool, group: int = 0, l
         spans = F.when(p["tested"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]) if least else F.concat(acc["spans"], F.array(span))
         return F.struct((begin + p["size"]).alias("at"), spans.alias("spans"))
 
-    found = F.aggregate(F.filter(pieces, lambda p: p["size"].isNotNull()), start, add, lambda acc: acc["spans"])
+    def in_blocks(p: Column) -> Column:
+        block = lambda i: F.aggregate(F.slice(p, i * BLOCK + 1, BLOCK), start, add)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), block)
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("lists"))
+        moved = lambda acc, s: F.struct(s["kind"].alias("kind"), (s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["base"].alias("base"))
+        join = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["lists"], F.array(F.transform(x["spans"], lambda s: moved(acc, s)))).alias("lists"))
+        return F.flatten(F.aggregate(blocks, none, join, lambda acc: acc["lists"]))
+
+    found = F.transform(F.array(F.filter(pieces, lambda p: p["size"].isNotNull())), in_blocks)[0]  # bound once, used twice
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -78,13 +93,13 @@ def link(found: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rows = materialize(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "weak"), "parts")
     some = rows.filter(F.size("weak") > 0)
     role = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    every = some.select("row", F.explode(F.concat("base", "weak")).alias("p")).select("row", "p", role[F.col("p.kind")].alias("role"), F.floor(F.col("p.start") / distance).alias("bucket"))
-    reach = every.groupBy("row", "bucket", "role").agg(F.min("p.start").alias("first"), F.max("p.start").alias("last"))
-    weak = every.filter(~F.col("p.base")).withColumn("near", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))))
-    within = (F.col("reach.last") >= F.col("w.p.start") - distance) & (F.col("reach.first") <= F.col("w.p.start") + distance)
-    met = weak.alias("w").join(reach.alias("reach"), (F.col("w.row") == F.col("reach.row")) & (F.col("w.near") == F.col("reach.bucket")) & (F.col("w.role") != F.col("reach.role")) & within)
-    has = lambda r: F.max(F.when(F.col("reach.role") == r, 1).otherwise(0)).alias(r)
-    by_part = met.groupBy(F.col("w.row").alias("row"), F.col("w.p").alias("p"), F.col("w.role").alias("role")).agg(has("identifier"), has("secret"), has("endpoint"))
+    every = some.select("row", F.explode(F.concat("base", "weak")).alias("p")).select("row", "p", role[F.col("p.kind")].alias("role"))
+    enters = every.select("row", F.col("p.start").alias("at"), F.lit(0).alias("turn"), "role", "p")
+    asks = every.filter(~F.col("p.base")).select("row", (F.col("p.end") + distance).alias("at"), F.lit(1).alias("turn"), "role", "p")
+    so_far = Window.partitionBy("row").orderBy("at", "turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    furthest = lambda r: F.max(F.when((F.col("turn") == 0) & (F.col("role") == r), F.col("p.end"))).over(so_far)
+    met = lambda r: F.coalesce((furthest(r) >= F.col("p.start") - distance).cast("int"), F.lit(0)).alias(r)
+    by_part = enters.unionByName(asks).select("row", "turn", "role", "p", met("identifier"), met("secret"), met("endpoint")).filter("turn = 1")
     complete = by_part.filter(
         ((F.col("role") == "secret") & (F.col("identifier") + F.col("endpoint") > 0))
         | ((F.col("role") == "identifier") & (F.col("secret") == 1))
