@@ -14,21 +14,25 @@ of few values (kind, votes, length up to 60, digit share in steps of 1/16, neigh
 so patterns are counted where the texts are, and only patterns with their counts are fitted.
 
 Defined cases: null texts count as empty; offsets are code points, ends exclusive; rows stay
-one to one with the documents.
+one to one with the documents, repeated ones and those without an id too; very long texts are
+read whole; other columns are not read, and `mask` returns them as they are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_columns, share
+from .common import digest_columns, share, slices
 
 KINDS = ("email", "ip", "card", "phone")
 WEAK_KINDS = ("email_words", "account", "identity", "phone_local", "person")
@@ -130,9 +134,10 @@ def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         return []
     out, taken = [], sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
+    furthest = list(accumulate((b for _, b in taken), max))  # where the spans that begin so far end at most
     for k, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
-        i = int(np.searchsorted(starts, b))
-        if (i and any(y > a for _, y in taken[max(0, i - 4) : i])) or (out and out[-1][2] > a):
+        i = bisect_left(starts, b)
+        if (i and furthest[i - 1] > a) or (out and out[-1][2] > a):
             continue
         out.append((k, a, b))
     return out
@@ -271,7 +276,7 @@ def count_patterns(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         found: Counter[int] = Counter()
-        for b in batches:
+        for b in slices(batches, "text"):
             for t in b.column("text").to_pylist():
                 if t:
                     base = base_spans(t)
@@ -309,7 +314,7 @@ def detect(docs: DataFrame, model: SpanModel, threshold: float = 0.5) -> DataFra
     def run(batches):
         model = shared()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-        for b in batches:
+        for b in slices(batches, "text"):
             out = []
             for t in b.column("text").to_pylist():
                 base, more = find_spans(t, model, threshold) if t else ([], [])
@@ -326,7 +331,7 @@ def mask(docs: DataFrame, model: SpanModel, threshold: float = 0.5) -> DataFrame
 
     def run(batches):
         model = shared()
-        for b in batches:
+        for b in slices(batches, "text"):
             texts = []
             for t in b.column(at).to_pylist():
                 if t:
