@@ -7,7 +7,10 @@ gradients flow through the noisy-or to the sentences, which are then located by
 probability.
 
 Defined cases: null or empty texts have no sentence and score 0; without labels every
-sentence gets the weightless prior.
+sentence gets the weightless prior; each row gets a row, repeated ids and null ids too (a null
+id is never learned from); an id on several rows is learned once; very long texts are read
+whole; other columns are not read, and `keep_clean` returns them as they are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, in_split, labelled_texts, share
+from .common import bounded_labels, in_split, labelled_texts, share, slices
 
-MAX_TRAIN_ROWS = 8_000
+#: Labelled documents that a model is fitted on, at most; characters of their texts; features that get a weight.
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS, MAX_FEATURES = 8_000, 48_000_000, 200_000
 #: Words and stems that fewer sampled documents contain get no weight.
 MIN_DOCS = 5
 #: Lengths of the prefixes that count as stems; a "*" marks them among the features.
 STEMS = (4, 5, 6, 7)
-#: Word weights that a worker remembers before it starts anew.
-CACHE = 250_000
+#: Word weights, or counted features, that a worker holds before it starts anew.
+CACHE = 150_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -89,74 +93,100 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def fit(bags, y: np.ndarray, weight: np.ndarray | None = None, epochs: int = 150, rate: float = 0.1, l2: float = 3e-4, min_docs: int = MIN_DOCS) -> InstanceModel:
-    """Adam on the noisy-or likelihood; bags: a list, for each document, of its sentences' word sets."""
-    if not len(bags):
-        return InstanceModel(-6.0, {})
-    df: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, label in zip(bags, y, strict=True):
-        df[int(label == 1)].update({f for w in set().union(*map(str.split, bag)) for f in word_features(w)})
-    n1 = max(1, int((y == 1).sum()))
-    n0 = max(1, len(bags) - n1)
-
-    def tells(f: str) -> bool:
-        """Whether documents of both labels hold it at rates that differ by over 2.5 standard errors."""
-        a, b = df[1][f], df[0][f]
-        mean = (a + b) / (n0 + n1)
-        return a + b >= min_docs and abs(a / n1 - b / n0) > 2.5 * (mean * (1 - mean) * (1 / n0 + 1 / n1)) ** 0.5
-
-    vocabulary = {x: i for i, x in enumerate(sorted(f for f in df[0].keys() | df[1].keys() if tells(f)))}
-    df = (Counter(), Counter())
-    ids, sent, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            known = [vocabulary[f] for w in s.split() for f in word_features(w) if f in vocabulary]
-            ids.append(np.array(known, dtype=np.int32))
-            sent.append(len(known))
-            doc.append(d)
-    ids, sent, doc = np.concatenate([*ids, np.zeros(0, np.int32)]), np.repeat(np.arange(len(sent), dtype=np.int32), sent), np.array(doc, dtype=np.int64)
-    weight = np.ones(len(bags)) if weight is None else weight
+def telling(a, b, n1, n0, least):
+    """Whether a feature's rates among n1 and n0 documents, of which a and b hold it, differ by over 2.5 standard errors. Of columns or arrays."""
+    mean = (a + b) / (n0 + n1)
+    return (a + b >= least) & ((a / n1 - b / n0) * (a / n1 - b / n0) > 6.25 * mean * (1 - mean) * (1 / n0 + 1 / n1))
+
+
+def fit_weights(ids: np.ndarray, sent: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int, epochs: int = 150, rate: float = 0.1, l2: float = 3e-4) -> np.ndarray:
+    """Adam on the noisy-or likelihood; ids: features, sent: the sentence of each, doc: the document of each sentence. The last weight is the bias."""
     weight = weight / weight.sum()
-    params = np.zeros(len(vocabulary) + 1)
+    params = np.zeros(n_features + 1)
     params[-1] = -5.0
     m, v = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, epochs + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(sent, params[ids], len(doc)) + params[-1], -30, 30)))
-        none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags))
+        none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
         any_ = np.maximum(-np.expm1(none), 1e-9)
         # d log-likelihood / d margin of a sentence: p * (y * (1 - P) / P - (1 - y))
         pull = (weight * np.where(y == 1, np.exp(none) / any_, -1.0))[doc] * p
-        grad = np.append(np.bincount(ids, pull[sent], len(vocabulary)), pull.sum())
+        grad = np.append(np.bincount(ids, pull[sent], n_features), pull.sum())
         grad[:-1] -= l2 * params[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 - 0.9 * t / epochs)
-    return InstanceModel(float(params[-1]), {x: float(params[i]) for x, i in vocabulary.items() if abs(params[i]) > 1e-3})
+    return params
+
+
+def feature_ids(text: str, place: dict[str, int]) -> tuple[list[int], list[int]]:
+    """The known features of a text's sentences, one after the other, and how many each sentence has."""
+    ids, sizes = [], []
+    for a, z in sentences(text):
+        known = [place[f] for w in sorted(words(text[a:z])) for f in word_features(w) if f in place]
+        ids += known
+        sizes.append(len(known))
+    return ids, sizes
+
+
+def document_features(text: str) -> set[str]:
+    return {f for w in words(text) for f in word_features(w)}
 
 
-class _Bags:
-    """The sampled documents, read from Arrow one at a time."""
+def model_of(rows: list[tuple[list[int], list[int], float, float]], features: list[str]) -> InstanceModel:
+    """rows: of each document, its features' ids, its sentences' sizes, label and weight."""
+    if not rows:
+        return InstanceModel(-6.0, {})
+    ids = np.concatenate([np.asarray(r[0], dtype=np.int32) for r in rows])
+    sizes = np.concatenate([np.asarray(r[1], dtype=np.int64) for r in rows])
+    sent, doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    params = fit_weights(ids, sent, doc, np.array([r[2] for r in rows], dtype=np.float64), np.array([r[3] for r in rows], dtype=np.float64), len(features))
+    return InstanceModel(float(params[-1]), {x: float(params[i]) for i, x in enumerate(features) if abs(params[i]) > 1e-3})
+
 
-    def __init__(self, column):
-        self.column = column
+def count_features(rows: DataFrame) -> DataFrame:
+    """(feature, n1, n0): how many documents of either label hold each feature; summed up within a task first."""
+
+    def run(batches):
+        found: tuple[Counter, Counter] = (Counter(), Counter())
 
-    def __len__(self):
-        return len(self.column)
+        def batch():
+            names = list(found[0].keys() | found[1].keys())
+            columns = pa.array(names, pa.string()), pa.array([found[1][x] for x in names], pa.int64()), pa.array([found[0][x] for x in names], pa.int64())
+            found[0].clear()
+            found[1].clear()
+            return pa.RecordBatch.from_arrays(list(columns), names=["feature", "n1", "n0"])
 
-    def __iter__(self):
-        return (x.as_py() for x in self.column)
+        for b in slices(batches, "text"):
+            for t, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                found[int(label == 1)].update(document_features(t))
+                if len(found[0]) + len(found[1]) > CACHE:
+                    yield batch()
+        yield batch()
+
+    return rows.select("text", "label").mapInArrow(run, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, held_out=None, label: str = "toxic") -> InstanceModel:
-    """Fit on at most `max_rows` labelled documents outside `held_out`, half of each label where there are so many."""
+    """Fit on at most `max_rows` labelled documents outside `held_out`, half of each label where there are so many, and MAX_TRAIN_CHARS of their texts.
+
+    Features are counted and chosen where the texts are; only the ids of chosen ones reach the driver.
+    """
     sample = bounded_labels(labels, label, max_rows, F.lit(False) if held_out is None else held_out, balanced=True)
+    rows = labelled_texts(docs, sample, MAX_TRAIN_CHARS)
+    n1, n0 = (max(1, n or 0) for n in rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first())
+    told = count_features(rows).filter(telling(F.col("n1"), F.col("n0"), float(n1), float(n0), MIN_DOCS))
+    features = sorted(r["feature"] for r in told.orderBy(F.desc(F.col("n1") + F.col("n0")), "feature").limit(MAX_FEATURES).select("feature").collect())
+    shared = share(docs.sparkSession, {x: i for i, x in enumerate(features)})
 
-    def bag(batches):
-        for b in batches:
-            out = [[" ".join(sorted(words(t[a:z]))) for a, z in sentences(t)] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("label"), b.column("weight"), pa.array(out, pa.list_(pa.string()))], names=["_id", "label", "weight", "bag"])
+    def run(batches):
+        place = shared()
+        for b in slices(batches, "text"):
+            ids, sizes = zip(*(feature_ids(t, place) for t in b.column("text").to_pylist()), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("label"), b.column("weight"), pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], names=["_id", "label", "weight", "ids", "sizes"])
 
-    rows = labelled_texts(docs, sample).mapInArrow(bag, "_id long, label int, weight double, bag array<string>").orderBy("_id").toArrow()
-    return fit(_Bags(rows.column("bag")), rows.column("label").to_numpy().astype(np.float64), rows.column("weight").to_numpy())
+    got = rows.select("_id", "label", "weight", "text").mapInArrow(run, "_id long, label int, weight double, ids array<int>, sizes array<int>").orderBy("_id").toArrow()
+    columns = [got.column(c) for c in ("ids", "sizes", "label", "weight")]
+    return model_of([(i.values, s.values, y.as_py(), w.as_py()) for i, s, y, w in zip(*columns, strict=True)], features)
 
 
 def score_toxicity(docs: DataFrame, model: InstanceModel, threshold: float = 0.3, locate: float = 0.5) -> DataFrame:
@@ -165,7 +195,7 @@ def score_toxicity(docs: DataFrame, model: InstanceModel, threshold: float = 0.3
 
     def run(batches):
         score = shared().scorer()
-        for b in batches:
+        for b in slices(batches, "text"):
             scores, found = [], []
             for t in b.column("text").to_pylist():
                 spans = sentences(t) if t else []
@@ -191,7 +221,7 @@ def keep_clean(docs: DataFrame, model: InstanceModel, threshold: float = 0.3) ->
 
     def run(batches):
         score = shared().scorer()
-        for b in batches:
+        for b in slices(batches, "text"):
             keep = [not t or noisy_or(score(t, sentences(t))) < threshold for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
