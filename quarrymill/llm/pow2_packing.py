@@ -6,7 +6,9 @@ length form one bucket and each piece is a sequence of its own, so that no seque
 documents and none needs padding.
 
 Defined cases: a null text counts as empty and becomes its end id alone, one piece of length
-1; a repeated row is packed again under its own sequence ids; a null doc_id stays null.
+1; a repeated row is packed again under its own sequence ids; a null doc_id stays null;
+very long texts are tokenized part by part, cut at white space, which changes no id; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker
+from .common import cut, kept_by_worker, slices
 
 SEQUENCE = 2048
 END_ID = 1
 #: Words, and pre-tokens of letters, whose ids a worker remembers in a generation; longest kept, in bytes.
-CACHE, CACHED_BYTES = 250_000, 48
+CACHE, CACHED_BYTES = 90_000, 48
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The pre-token pattern of the tokenizer's file, for plain characters in lower case (fixed value).
@@ -99,7 +101,7 @@ class WordIds(_Bounded):
         return self.put(word, self._short(text) if short else self._whole(text))
 
     def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+        return b"".join(b"".join(map(self.__getitem__, part.encode("utf-8", "replace").split())) for part in cut(text))
 
 
 def piece_lengths(n: int, sequence: int = SEQUENCE) -> list[int]:
@@ -118,7 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
 
     def run(batches):
         ids_of, end = kept_by_worker(f"ids:{tokenizer_path}", lambda: WordIds(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in slices(batches, "text"):
             out: tuple[list, ...] = ([], [], [], [], [])
             held = 0
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -129,7 +131,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
                         column.append(x)
                     start += length
                 held += len(ids)
-                if held > 16 << 20:
+                if held > 4 << 20:
                     yield _pieces(out)
                     out, held = ([], [], [], [], []), 0
             yield _pieces(out)
