@@ -10,7 +10,9 @@ their order, as such a file orders pieces by how often they were merged. A chara
 the lexicon costs one piece per UTF-8 byte at the score of the byte pieces.
 
 Defined cases: null and empty texts, and texts of white space alone, have 0 tokens; among
-segmentations of equal score the one with fewer tokens counts.
+segmentations of equal score the one with fewer tokens counts; each row gets a row, repeated ids
+and null ids too; very long texts are counted part by part, cut at white space; other columns are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker
+from .common import cut, kept_by_worker, slices
 
 MARK = "▁"  # stands for the space before a word
-#: Pre-tokens whose counts a worker holds before it starts anew; those of more characters are not kept.
-CACHE, KEPT_CHARS = 500_000, 64
+#: Pre-tokens whose counts a generation holds; those of more characters are not kept.
+CACHE, KEPT_CHARS = 300_000, 64
+#: Bytes of text that are counted together; parts of texts that go into the trie at once.
+SLICE, PARTS = 1 << 20, 1_000
 
 
 def lexicon_from_pieces(path: str) -> tuple[dict[str, float], float]:
@@ -43,6 +47,7 @@ class ScoringTrie:
 
     Pre-tokens are inserted in sorted order, so that the trie's only live branch is the path to
     the last one: the next one keeps the scores of the prefix they share and adds nodes below it.
+    Terminal counts are kept in two generations: what is asked for again outlives a change.
     """
 
     def __init__(self, lexicon: dict[str, float], byte_score: float):
@@ -53,13 +58,13 @@ class ScoringTrie:
             self.pieces.add_word(piece, (len(piece), score))
         if lexicon:
             self.pieces.make_automaton()
-        self.has_pieces, self.byte_score = bool(lexicon), byte_score
+        self.longest = max(map(len, lexicon), default=0)
+        self.byte_score = byte_score
         self.terminals: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def insert(self, tokens: list[str]) -> None:
-        """Store the counts of new pre-tokens, which must be sorted."""
-        if len(self.terminals) + len(tokens) > CACHE:
-            self.terminals.clear()
+        """Store the counts of pre-tokens that have none yet; they must be sorted."""
         last, path = "", [(0.0, 0)]
         for token in tokens:
             shared = 0
@@ -72,33 +77,53 @@ class ScoringTrie:
             self.terminals[token] = -path[-1][1]
             last = token
 
+    def know(self, tokens: set[str]) -> None:
+        """Make sure that the current generation has all of these."""
+        new = tokens - self.terminals.keys()
+        if len(self.terminals) + len(new) > CACHE:
+            self.older, self.terminals, new = self.terminals, {}, tokens
+        again = new & self.older.keys()
+        self.terminals.update((t, self.older[t]) for t in again)
+        self.insert(sorted(new - again))
+
     def _extend(self, token: str, path: list[tuple[float, int]]) -> None:
-        """Add the forward scores (score, minus tokens) of the prefixes that `path` lacks."""
-        known = len(path)
-        for char in token[known - 1 :]:
-            n = 1 if char < "\x80" else len(char.encode("utf-8", "replace"))
-            path.append(n)  # the bytes of this character, until its score is known
-        done = known
-        for end, (size, score) in self.pieces.iter(token) if self.has_pieces else ():
+        """Add the forward scores (score, minus tokens) of the prefixes that `path` lacks.
+
+        A piece that ends in the new part begins at most its length before, so that only that
+        much of the shared prefix is looked at again.
+        """
+        known, byte_score = len(path), self.byte_score
+        fresh = token[known - 1 :]
+        sizes = None if fresh.isascii() else [len(c.encode("utf-8", "replace")) for c in fresh]
+        done, total, add = known, len(token) + 1, path.append
+        score, count = path[-1]
+        for end, (size, gain) in self.pieces.iter(token, max(0, known - self.longest)) if self.longest else ():
             end += 1
             if end < known:
                 continue
             while done <= end:
-                self._by_bytes(path, done)
+                n = 1 if sizes is None else sizes[done - known]
+                score, count = score + n * byte_score, count - n
+                add((score, count))
                 done += 1
             before = path[end - size]
-            way = (before[0] + score, before[1] - 1)
-            if way > path[end]:
-                path[end] = way
-        while done < len(path):
-            self._by_bytes(path, done)
+            way = (before[0] + gain, before[1] - 1)
+            if way > (score, count):
+                score, count = path[end] = way
+        while done < total:
+            n = 1 if sizes is None else sizes[done - known]
+            score, count = score + n * byte_score, count - n
+            add((score, count))
             done += 1
 
-    def _by_bytes(self, path: list, at: int) -> None:
-        n, before = path[at], path[at - 1]
-        path[at] = (before[0] + n * self.byte_score, before[1] - n)
+    def count(self, words: list[str]) -> int:
+        """Tokens of a text's words, all of which are known or too long to be kept."""
+        try:
+            return sum(map(self.terminals.__getitem__, words))
+        except KeyError:
+            return sum(self.one(w) for w in words)
 
-    def count(self, token: str) -> int:
+    def one(self, token: str) -> int:
         if (n := self.terminals.get(token)) is None:
             path = [(0.0, 0)]
             self._extend(token, path)
@@ -106,20 +131,27 @@ class ScoringTrie:
         return n
 
 
-def pre_tokens(text: str) -> list[str]:
-    return [MARK + w for w in text.split()]
-
-
 def count_tokens(docs: DataFrame, pieces_path: str) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of every whole text, in one narrow pass."""
 
     def run(batches):
         trie = kept_by_worker(f"trie:{pieces_path}", lambda: ScoringTrie(*lexicon_from_pieces(pieces_path)))
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            words = [pre_tokens(t) if t else [] for t in texts]
-            trie.insert(sorted({w for ws in words for w in ws if w not in trie.terminals and len(w) <= KEPT_CHARS}))
-            counts = [sum(map(trie.count, ws)) for ws in words]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+        for b in slices(batches, "text", SLICE):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            n, counts = [0] * len(texts), [0] * len(texts)
+            parts = [(i, part) for i, t in enumerate(texts) for part in cut(t)]
+            for at in range(0, len(parts), PARTS):
+                words = [(i, pre_tokens(part)) for i, part in parts[at : at + PARTS]]
+                trie.know({w for _, ws in words for w in set(ws) if len(w) <= KEPT_CHARS})
+                for i, ws in words:
+                    n[i] += len(ws)
+                    counts[i] += trie.count(ws)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+
+
+def pre_tokens(text: str) -> list[str]:
+    """Words, each behind the mark of its space."""
+    words = (MARK + f" {MARK}".join(text.split())).split(" ")
+    return words if words != [MARK] else []
