@@ -25,7 +25,7 @@ from .common import cut, kept_by_worker, slices
 SEQUENCE = 2048
 END_ID = 1
 #: Words, and pre-tokens of letters, whose ids a worker remembers in a generation; longest kept, in bytes.
-CACHE, CACHED_BYTES = 90_000, 48
+CACHE, CACHED_BYTES = 120_000, 48
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The pre-token pattern of the tokenizer's file, for plain characters in lower case (fixed value).
