@@ -137,11 +137,10 @@ def numbers(text: Column) -> Column:
 
 
 def missing_numbers(body: Column, pool: Column) -> Column:
-    """Numbers of two digits or more in `body` that `pool` has in none of three spellings (GRD-05)."""
-    found = F.array_distinct(F.regexp_extract_all(body, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)))
+    """Numbers of two digits or more in `body` that `pool` has neither as written, nor with a decimal point, nor without commas (GRD-05)."""
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0)))
     long_ = F.filter(found, lambda n: F.length(F.regexp_replace(n, r"\D", "")) >= 2)
-    dot_, comma = F.lit("."), F.lit(",")
-    held = lambda n: F.contains(pool, n) | F.contains(pool, F.replace(n, comma, dot_)) | F.contains(pool, F.replace(n, dot_, comma))
+    held = lambda n: F.contains(pool, n) | F.contains(pool, F.replace(n, F.lit(","), F.lit("."))) | F.contains(pool, F.replace(n, F.lit(","), F.lit("")))
     return F.filter(long_, lambda n: ~held(n))
 
 

@@ -142,10 +142,31 @@ def validate_sql(spark: SparkSession, sql: str, tables: set[str], max_rows: int
     return f"SELECT * FROM (\n{text}\n) LIMIT {max_rows + 1}"
 
 
+#: What a statement is made of: comments, quoted texts and names, words, anything else.
+_TOKENS = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|[A-Za-z_]\w*|\s+|.", re.S)
+_OF_SEVERAL = {"max": "greatest", "min": "least"}
+
+
 def translate_dialect(sql: str) -> str:
-    """Where the source dialect gives other results: LIKE ignores case there; scalar max/min of several arguments are greatest/least."""
-    out = re.sub(r"(?i)\bNOT\s+LIKE\b", "NOT ILIKE", sql)
-    return re.sub(r"(?i)(?<![A-Za-z])LIKE\b", "ILIKE", out)
+    """Where the source dialect gives other results: LIKE ignores case there; max and min of several arguments are greatest and least.
+
+    Quoted texts, quoted names and comments stay as they are.
+    """
+    tokens = _TOKENS.findall(sql)
+    opened: list[tuple[int, int]] = []  # of each open bracket: its function's place and how many commas it holds
+    for i, t in enumerate(tokens):
+        if t.lower() == "like":
+            tokens[i] = "ILIKE"
+        elif t == "(":
+            before = next((k for k in range(i - 1, -1, -1) if not tokens[k].isspace()), -1)
+            opened.append((before, 0))
+        elif t == "," and opened:
+            opened[-1] = (opened[-1][0], opened[-1][1] + 1)
+        elif t == ")" and opened:
+            name, commas = opened.pop()
+            if commas and name >= 0 and tokens[name].lower() in _OF_SEVERAL:
+                tokens[name] = _OF_SEVERAL[tokens[name].lower()]
+    return "".join(tokens)
 
 
 @dataclass

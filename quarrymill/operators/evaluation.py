@@ -78,7 +78,7 @@ def mean_with_interval(df: DataFrame, value: str, by: str, order: str, resamples
 
 
 def weighted_bootstrap(df: DataFrame, value: str, by: list[str], resamples: int = 200, seed: int = 0) -> DataFrame:
-    """Interval of the mean for groups of any size: each row draws a Poisson(1) weight per resample from a hash.
+    """Interval of the mean for groups of any size: each row draws a Poisson(1) weight per resample from a hash of its number.
 
     Only sums over (group, resample) are shuffled. It agrees with the resampling interval in
     distribution, not number by number.
@@ -90,7 +90,7 @@ def weighted_bootstrap(df: DataFrame, value: str, by: list[str], resamples: int
         steps.append(total)
         p /= k
     weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_row", F.xxhash64(*df.columns)).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight)
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight)
     means = rows.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
     return means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 

@@ -20,7 +20,7 @@ def signals(rank: Column) -> tuple[Column, Column]:
     return F.when(lost, 1.0).otherwise(1 - 1 / rank), (lost | (rank > 5)).cast("int")
 
 
-def build_canaries(symbols: DataFrame, calls: DataFrame, sections: DataFrame, phrases: DataFrame, least: int = 5) -> DataFrame:
+def build_canaries(symbols: DataFrame, calls: DataFrame, sections: DataFrame, phrases: DataFrame, least: int = 4) -> DataFrame:
     """(id, segment, question, targets) from the catalog, public names only; thin segments go (MON-01, AGG-20/21, JOIN-07)."""
     target = F.struct("file_path", "line_start", "line_end")
     public = symbols.filter(~F.col("name").startswith("_"))

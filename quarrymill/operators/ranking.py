@@ -144,11 +144,13 @@ def word_overlap_scorer(questions: list[str], passages: list[str]) -> list[float
 
 
 def hash_embedding(docs: DataFrame, dims: int = 128) -> DataFrame:
-    """(node_id, vector): L2-normalised counts of words by crc32 modulo `dims` (RET-08)."""
+    """(node_id, vector): L2-normalised counts of words by crc32 modulo `dims` (RET-08); zeros for a text without words."""
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
     counts = docs.select("node_id", words.alias("w")).groupBy("node_id", F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(dims)).cast("int").alias("d")).agg(F.count("*").cast("double").alias("c"))
     as_map = counts.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("d", "c"))).alias("m"))
-    return as_map.select("node_id", normalised(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("vector"))
+    every = docs.select("node_id").distinct().join(as_map, "node_id", "left")
+    counted = normalised(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))))
+    return every.select("node_id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dims)).otherwise(counted).alias("vector"))
 
 
 def search(hits: DataFrame, exact: DataFrame | None, top_k_: int, pool: int, reranked: DataFrame | None = None) -> DataFrame:

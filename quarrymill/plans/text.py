@@ -211,8 +211,8 @@ def answer_pairs_asof(s, d):
 
 
 @register("missing_numbers", """WITH p AS (SELECT conv_id, turn, text, coalesce(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pool, role FROM conversations)
-SELECT conv_id, turn, n AS number FROM (SELECT conv_id, turn, pool, unnest(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?'))) AS n FROM p WHERE role = 'assistant')
-WHERE length(regexp_replace(n, '[^0-9]', '', 'g')) >= 2 AND NOT (contains(pool, n) OR contains(pool, replace(n, ',', '.')) OR contains(pool, replace(n, '.', ',')))""")
+SELECT conv_id, turn, n AS number FROM (SELECT conv_id, turn, pool, unnest(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'))) AS n FROM p WHERE role = 'assistant')
+WHERE length(regexp_replace(n, '[^0-9]', '', 'g')) >= 2 AND NOT (contains(pool, n) OR contains(pool, replace(n, ',', '.')) OR contains(pool, replace(n, ',', '')))""")
 def missing_numbers(s, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     p = read(s, d, "conversations").withColumn("pool", F.array_join(F.collect_list("text").over(w), " ")).filter("role = 'assistant'")

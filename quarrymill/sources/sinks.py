@@ -15,7 +15,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 class GenerationTable:
-    """A table that is rebuilt whole: a new folder is written, then a pointer file is swapped (SNK-07).
+    """A table that is rebuilt whole: a new folder is written, then a pointer file is replaced by one rename (SNK-07).
 
     Readers see the old generation until the pointer names the new one; a lost job leaves the old.
     """
@@ -31,12 +31,20 @@ class GenerationTable:
         w = df.write
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.root}/{folder}")
         fs, target = _fs(self.spark, self._pointer())
-        temporary = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._pointer()}.{uuid.uuid4().hex}")
+        jvm = self.spark.sparkContext._jvm
+        temporary = jvm.org.apache.hadoop.fs.Path(f"{self._pointer()}.{uuid.uuid4().hex}")
         out = fs.create(temporary, True)
         out.write(bytearray(folder.encode()))
         out.close()
-        fs.delete(target, False)
-        fs.rename(temporary, target)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        overwrite = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        context.rename(fs.makeQualified(temporary), fs.makeQualified(target), overwrite)
+
+    def exists(self) -> bool:
+        """Whether any generation was ever written."""
+        fs, target = _fs(self.spark, self._pointer())
+        return fs.exists(target)
 
     def read(self) -> DataFrame:
         folder = self.spark.read.text(self._pointer()).first()[0]

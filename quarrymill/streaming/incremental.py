@@ -55,16 +55,19 @@ def page_hinkley_stream(events: DataFrame, key: str, step: str, value: str, delt
     return events.select(key, step, value).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {step} {kinds[step]}", "n long, mean double, cum double, low double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_files(stream: DataFrame, table, key: str = "path", checkpoint: str | None = None):
-    """Each micro-batch replaces the rows of its files in a GenerationTable (SNK-01 as a stream); the latest version in a batch wins."""
+def upsert_files(stream: DataFrame, table, key: str = "path", checkpoint: str | None = None, version: str | None = None):
+    """Each micro-batch replaces the rows of its files in a GenerationTable (SNK-01 as a stream).
+
+    With `version`, only the rows of a file's latest version in the batch count. A failed read
+    fails the batch, which is tried again; only a table without any generation is empty.
+    """
     from ..operators.catalog import replace_files
 
     def apply(batch: DataFrame, _: int) -> None:
-        try:
-            current = table.read()
-        except Exception:  # no generation yet
-            current = batch.limit(0)
-        table.replace(replace_files(current, batch, key))
+        if version:
+            newest = batch.groupBy(key).agg(F.max(version).alias("_newest"))
+            batch = batch.join(newest, key).filter(F.col(version) == F.col("_newest")).drop("_newest")
+        table.replace(replace_files(table.read(), batch, key) if table.exists() else batch)
 
     w = stream.writeStream.foreachBatch(apply)
     return (w.option("checkpointLocation", checkpoint) if checkpoint else w).trigger(availableNow=True).start()

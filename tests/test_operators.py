@@ -133,7 +133,7 @@ def test_uses_var_edges(spark):
     assert {(r.src, r.dst, r.label) for r in A.uses_var_edges(cells).collect()} == {(2, 4, "pd"), (4, 6, "df"), (1, 6, "score")}
 
 
-@pytest.mark.parametrize("text,v,want", [("auc 0.97777", 0.9778, True), ("97.78 %", 0.9778, True), ("lr=3e-3", 0.003, True), ("0.9925", 0.99, False), ("0.05", 0.5, False), ("x", float("nan"), False)])
+@pytest.mark.parametrize("text,v,want", [("auc 0.97777", 0.9778, True), ("97.78 %", 0.9778, True), ("lr=3e-3", 0.003, True), ("0.9925", 0.99, False), ("0.05", 0.5, False), ("x", float("nan"), False), ("97.78", 0.9778, True), ("0.9778", 0.97777123, False), ("0,9778", 0.9778, True)])
 def test_value_in(text, v, want):
     assert G.value_in(text, v) is want
 
@@ -152,12 +152,36 @@ def test_ground(spark):
 
 def test_citations_and_support():
     assert G.extract_citations("a [1, 2] b [9] `x[3]`", {1, 2, 3}) == ("a [1][2] b  `x[3]`", [1, 2])
-    assert G.mark_unsupported("It is 42 [1]. It is 77.", {1: "42"}) == "It is 42 [1]. It is 77. [?]"
+    assert G.extract_citations("a [1; 2]", {1, 2}) == ("a [1][2]", [1, 2])
+    text, ok, bad = G.mark_unsupported("Последняя версия — scikit-learn 1.9.1 [1]. Она вышла 12 сентября 2026 года [1]. Также вышла версия 2.0 без ссылки.", {1: "scikit-learn 1.9.1 released on 2026-09-10."})
+    assert (ok, bad) == (1, 2) and "числа не найдены в источнике: 12" in text and text.endswith("⚠ *не подтверждено (нет ссылки)*")
+    code = "```\nx = 42000\n```\nShort."
+    assert G.mark_unsupported(code, {}) == (code, 0, 0)
+    table = G.mark_unsupported("| a | b |\n|---|---|\n| 17 [1] | 4321 |", {1: "17"})
+    assert table[1:] == (0, 1) and table[0].endswith("нет в источниках: 4321*") and G.mark_unsupported("| 17 |", {1: "17"})[1:] == (0, 0)
+    assert G.unheld("1,234 and 3.14 and 7", "1234 3.14") == []
 
 
-def test_exact_keys():
-    assert G.exact_keys("что было 14 марта 2025") == ["2025-03-14", "14.03.2025"]
-    assert G.exact_keys("run-414 и ResNet-18") == ["run-414", "ResNet-18"] and G.exact_keys("2 июня") == ["-06-02"] and G.exact_keys("в 2025 году") == []
+def test_exact_keys(spark):
+    asked = {"что было 14 марта 2025": ["2025-03-14", "14.03.2025"], "run-414 и ResNet-18": ["run-414", "ResNet-18"], "2 июня": ["-06-02"], "в 2025 году": [], "5 мая 2024, 2024-05-05, exp_07": ["2024-05-05", "05.05.2024", "exp_07"]}
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", G.exact_keys(F.col("q")).alias("k")).collect()
+    assert {r.q: r.k for r in rows} == asked
+
+
+def test_definitions_and_uses():
+    use = lambda s: A.analyze(s)["uses"]
+    assert use("def f():\n    return df.mean()\nclass C(Base):\n    x = other\ng = lambda: later") == ["Base"]
+    assert use("rows = [x + k for x in df]\nrows += extra\nfrom . import m") == ["df", "extra", "k"] and use("n = 1\nn += 1") == []
+
+
+def test_dialect():
+    assert C.translate_dialect("SELECT 'I like it', max(a, b), MAX(a) FROM t WHERE x not like '%max(1, 2)%' -- like") == "SELECT 'I like it', greatest(a, b), MAX(a) FROM t WHERE x not ILIKE '%max(1, 2)%' -- like"
+    assert C.translate_dialect("min(f(a, b)) , min ((a), b)") == "min(f(a, b)) , least ((a), b)"
+
+
+def test_hash_embedding_keeps_texts_without_words(spark):
+    rows = R.hash_embedding(spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "node_id int, text string"), 8).collect()
+    assert {r.node_id: sum(r.vector) > 0 for r in rows} == {1: True, 2: False, 3: False}
 
 
 def test_detectors():
