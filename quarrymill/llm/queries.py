@@ -1,7 +1,9 @@
 """The queries of this subpackage over the driver's tables, and their SQL where it can express one.
 
-All ten learn, tokenize, hash or search in ways that DuckDB SQL cannot repeat on whole tables;
-they are tested against brute force, exact round trips and held-out accuracy instead.
+Near-duplicates are defined by exact sets, decontamination by masks over tokens: both have SQL.
+The other eight learn models, tokenize, or search by an approximate index, or (secrets) use
+patterns with look-around, which DuckDB lacks; they are tested against brute force, exact round
+trips and held-out accuracy instead.
 """
 
 from __future__ import annotations
@@ -45,5 +47,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Exact sets and links of whole texts, then the smallest id that links reach.
+NEAR_DUPLICATES = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, hash(s_) AS h FROM (SELECT doc_id, s, unnest(s) AS s_ FROM s)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = s.doc_id AS kept FROM s JOIN c USING (doc_id)"""
+
+
+def decontamination_sql() -> str:
+    """Masked tokens at every position of both tables, joined; surroundings compared token by token."""
+    from .spaced_seed import AROUND, EQUAL, LIGHT, MASKS, PART, SHARE, SHORTEST, SPAN, WHOLE
+
+    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r!-/:-@\[-`{-~]+'), lambda x: x <> '')"
+    seeds = lambda m: "array_to_string([" + ", ".join(f"t[i + {k + 1}]" for k, bit in enumerate(m) if bit == "1") + "], ' ')"
+    masks = [(f, m, f"len(t) >= {SHORTEST}" + (f" AND len(t) < {WHOLE}" if f >= len(MASKS) else "")) for f, m in enumerate((*MASKS, *LIGHT))]
+    at = lambda table, key, m, f, also: f"SELECT {key}, t, i, {f} AS f, {seeds(m)} AS s FROM (SELECT {key}, t, unnest(range(0, len(t) - {len(m) - 1})) AS i FROM {table} WHERE len(t) >= {len(m)} AND {also})"
+    docs = " UNION ALL ".join(at("d", "doc_id", m, f, "true") for f, m, _ in masks)
+    items = " UNION ALL ".join(at("b", "item_id", m, f, also) for f, m, also in masks)
+    reach = lambda n: f"CASE WHEN len(b.t) < {WHOLE} THEN {WHOLE} ELSE {n} END"
+    return f"""WITH d AS (SELECT doc_id, {words} AS t FROM documents), b AS (SELECT item_id, {words} AS t FROM benchmark), ds AS ({docs}), bs AS ({items}),
+m AS (SELECT DISTINCT doc_id, item_id, d.t AS h, b.t AS o, d.i AS i, b.i AS j, least(d.i, b.i, {reach(AROUND)}) AS back, least(len(d.t) - d.i, len(b.t) - b.i, {reach(SPAN + AROUND)}) AS ahead FROM ds d JOIN bs b ON d.f = b.f AND d.s = b.s),
+c AS (SELECT doc_id, item_id, len(o) AS n, len(list_filter(range(0, back + ahead), lambda x: h[i - back + x + 1] = o[j - back + x + 1])) AS equal, back + ahead AS compared, i - back AS doc_at, j - back AS item_at FROM m),
+a AS (SELECT doc_id, item_id, equal, compared, doc_at, item_at FROM c WHERE equal >= least({EQUAL}, ceil({PART} * n)) AND equal >= {SHARE} * compared
+UNION ALL SELECT doc_id, item_id, len(d.t), len(d.t), 0, 0 FROM d JOIN b ON d.t = b.t WHERE len(d.t) BETWEEN 1 AND {SHORTEST - 1}),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal DESC, compared, doc_at, item_at) AS k FROM a)
+SELECT doc_id, item_id, equal::INT AS equal, compared::INT AS compared, doc_at::INT AS doc_at, item_at::INT AS item_at FROM k WHERE k = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_near_duplicates": NEAR_DUPLICATES, "op8_decontamination": decontamination_sql()}
