@@ -58,9 +58,13 @@ def postings(docs: DataFrame, terms: Column) -> DataFrame:
 
 
 def sparse_topk(query_terms: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
-    """Dot product over shared terms (RET-02): (query_id, term, weight) against (node_id, term, weight)."""
+    """Dot product over shared terms (RET-02): (query_id, term, weight) against (node_id, term, weight).
+
+    Up to BROADCAST_ROWS query terms, counted first, are broadcast, so that a frequent term's
+    postings stay where they are; beyond, both sides meet by term, which adaptive execution can split.
+    """
     q = query_terms.select("query_id", "term", F.col("weight").alias("_qw"))
-    scored = index.join(q, "term").groupBy("query_id", "node_id").agg(F.sum(F.col("_qw") * F.col("weight")).alias("score"))
+    scored = index.join(F.broadcast(q) if q.count() <= BROADCAST_ROWS else q, "term").groupBy("query_id", "node_id").agg(F.sum(F.col("_qw") * F.col("weight")).alias("score"))
     return top_k(scored, k).select("query_id", "node_id", "score", "rank")
 
 
