@@ -3,6 +3,9 @@
 toxicity drops the documents it rejects; near_duplicates keeps one document of each group;
 decontamination drops documents that overlap the benchmark; personal_data masks spans in the
 texts; packing cuts the texts into sequences. All but the last return the documents' columns.
+
+Null and empty texts pass every stage and end as one piece; rows without an id are judged by their
+texts and never count as copies; repeated rows of one id stay together; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No stage but the reading can be said in SQL; tests compare run() with a brute-force version.
+#: Toxicity, personal data and packing can't be said in SQL. Tests run the stages one after the other and hold
+#: near_duplicates against brute force; the other stages' operators have tests of their own.
 ORACLE_SQL = None
 
 
