@@ -16,6 +16,8 @@ from ..functions.scalars import dot, identifiers, normalised
 
 #: Queries in one block; rows of a query set that may be broadcast (64 dimensions: about 15 MB).
 BLOCK, BROADCAST_ROWS = 512, 20_000
+#: Characters of texts that may be broadcast; words in the key of an item's text, and in that of a short one.
+BROADCAST_CHARS, RUNS = 32_000_000, (8, 2)
 
 
 def rank_by(df: DataFrame, partition: list[str], order: list, name: str = "rank") -> DataFrame:
@@ -40,6 +42,42 @@ def against_all(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return v.join(F.broadcast(q) if n <= BROADCAST_ROWS else q, "_block").drop("_block")
 
 
+def whole_items(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of every row of (doc_id, text) whose text holds the text of a row of (item_id, text) as it stands.
+
+    An item's first and last word may be cut from longer ones, those between are whole words of the
+    text. Their first 8, or 2 where there are fewer, are hashed and joined with the hashes of the
+    text's runs; hits are compared. Items with under 2 such words are sought in every text, by
+    blocks. Up to BROADCAST_ROWS items and BROADCAST_CHARS of their texts, counted first, are
+    broadcast and no text moves; beyond, runs meet by hash and texts by their digest.
+    Null texts hold nothing and are in nothing; an empty item is in every text; repeated rows count each.
+    """
+    words = F.split("text", r"\s+", -1)
+    inner = F.size(words) - 2
+    asked = items.filter("text is not null").select("item_id", F.col("text").alias("_item"), F.slice(words, 2, F.greatest(inner, F.lit(0))).alias("_inner"))
+    run = F.when(F.size("_inner") >= RUNS[0], RUNS[0]).when(F.size("_inner") >= RUNS[1], RUNS[1])
+    asked = asked.withColumn("_run", run).withColumn("_key", F.when(F.col("_run").isNotNull(), F.xxhash64(F.slice("_inner", 1, F.col("_run"))))).drop("_inner")
+    found = {r["_run"]: r for r in asked.groupBy("_run").agg(F.count("*").alias("n"), F.sum(F.length("_item")).alias("chars")).collect()}
+    texts = texts.select("doc_id", "text").filter("text is not null")
+    runs = [r for r in RUNS if r in found]
+    parts = []
+    if None in found or not runs:
+        parts.append(against_all(asked.filter("_run is null"), texts, "item_id"))
+    if runs:
+        keyed = asked.filter("_run is not null").select("item_id", "_item", "_key")
+        starts = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - (n - 1)), lambda i: F.xxhash64(F.slice("_words", i, n))))
+        hashes = F.array_distinct(F.flatten(F.array_compact(F.array(*map(starts, runs)))))
+        small = sum(found[r]["n"] for r in runs) <= BROADCAST_ROWS and sum(found[r]["chars"] for r in runs) <= BROADCAST_CHARS
+        if small:
+            hits = texts.withColumn("_words", words).select("doc_id", "text", F.explode(hashes).alias("_key")).join(F.broadcast(keyed), "_key")
+        else:
+            digest = F.sha2("text", 256).alias("_digest")
+            near = texts.select("text", digest).withColumn("_words", words).select("_digest", F.explode(hashes).alias("_key")).join(keyed.select("_key").distinct(), "_key").distinct()
+            hits = texts.select("doc_id", "text", digest).join(near, "_digest").join(keyed, "_key")
+        parts.append(hits)
+    return reduce(DataFrame.unionByName, [p.filter(F.contains("text", "_item")).select("item_id", "doc_id") for p in parts])
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
     """Cosine top-k of each query (query_id, vector) among (node_id, vector) (RET-01, JOIN-16).
 

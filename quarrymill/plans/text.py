@@ -228,13 +228,5 @@ def code_analysis(s, d):
 
 @register("benchmark_in_documents", """SELECT item_id, doc_id FROM (SELECT item_id, text AS t, substr(text, 1, 40) AS head FROM benchmark) b JOIN documents ON contains(text, head) AND contains(text, t)""")
 def benchmark_in_documents(s, d):
-    """Whole items inside documents: joined on the second and third word, then compared; items under four words are sought in each text."""
-    b = read(s, d, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("t"), F.regexp_extract("text", r"(\S+\s+\S+\s+\S+\s+\S+)", 1).alias("key"))
-    words = F.split("text", r"\s+", -1)
-    docs = read(s, d, "documents").filter("text is not null")
-    inner = F.split(F.regexp_replace("key", r"\s+", " "), " ")
-    keys = b.filter("key <> ''").select("item_id", "t", F.try_element_at(inner, F.lit(2)).alias("w2"), F.try_element_at(inner, F.lit(3)).alias("w3"))
-    short = docs.join(F.broadcast(b.filter("key = ''")), F.contains("text", "t")).select("item_id", "doc_id")
-    pairs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.struct(F.try_element_at(words, i).alias("w2"), F.try_element_at(words, i + 1).alias("w3"))))).alias("p")).select("doc_id", "p.*")
-    found = pairs.join(keys, ["w2", "w3"]).select("doc_id", "item_id", "t").distinct()
-    return found.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "t")).select("item_id", "doc_id").unionByName(short)
+    """Whole items inside documents."""
+    return R.whole_items(read(s, d, "benchmark"), read(s, d, "documents"))

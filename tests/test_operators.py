@@ -246,3 +246,17 @@ def test_short_items_in_documents(spark, tmp_path):
     spark.createDataFrame([(1, "two"), (2, "two three"), (3, "e two three f"), (4, "three two"), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r.item_id, r.doc_id) for r in benchmark_in_documents(spark, str(tmp_path)).collect())
     assert got == [(1, 1), (1, 2), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("most", [R.BROADCAST_ROWS, 0])
+def test_whole_items_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", most)
+    long = " ".join(f"w{i}" for i in range(14))
+    items = [(1, long), (2, "w1  w2 w3 w4"), (3, "2 w3 w4 w5 w"), (4, "w4"), (5, None), (6, " w3 w4 w5 "), (7, "w5 w4 w3 w2"), (8, ""), (1, long)]
+    texts = [(1, f"x {long} y"), (2, f"x{long}y\n{long}"), (None, long), (3, ""), (4, None), (5, "w1  w2 w3 w4"), (5, "w1  w2 w3 w4"), (6, long.replace("w7", "v7"))]
+    texts.append((7, "a " * 30_000 + long))
+    want = sorted(str((i, d)) for i, t in items for d, x in texts if t is not None and x is not None and t in x)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item_id", F.lit(1))
+    got = R.whole_items(spark.createDataFrame(items, "item_id long, text string"), docs).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert R.whole_items(spark.createDataFrame([], "item_id long, text string"), docs).count() == 0
