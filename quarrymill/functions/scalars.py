@@ -210,3 +210,46 @@ def wants(question: Column, kind: str) -> Column:
         "video": r"(?iu)\b(animate|video of)\b|оживи|видео",
     }
     return F.coalesce(question.rlike(patterns[kind]), F.lit(False))
+
+
+#: Namespace of point ids; sides and area of generated pictures (fixed values).
+POINT_SPACE = "6f1c1f5e2b0e4c559d538f2a3c1b7e10"
+MAX_SIDE, MAX_AREA = 3072, 2752 * 1536
+
+
+def point_id(node_id: Column) -> Column:
+    """The name-based UUID (version 5) of a node's id (PRJ-05)."""
+
+    def of(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+    return F.when(node_id.isNotNull(), let(F.sha1(F.concat(F.unhex(F.lit(POINT_SPACE)), F.encode(node_id, "UTF-8"))), of))
+
+
+def grid_size(width: Column, height: Column, cut: bool = False) -> Column:
+    """Sides on a grid of 32, of 256 at least, shrunk in proportion to the largest side and area; null unless both are positive (PRJ-19)."""
+    area = F.sqrt(F.lit(float(MAX_AREA)) / (width.cast("double") * height))
+    scale = F.least(F.lit(1.0), F.lit(float(MAX_SIDE)) / F.greatest(width, height), area)
+    side = lambda v: F.greatest(F.lit(256), ((F.floor if cut else F.rint)(v * scale / 32) * 32).cast("int"))
+    return F.when((width > 0) & (height > 0), F.struct(side(width).alias("width"), side(height).alias("height")))
+
+
+def source_size(width: Column, height: Column, most: int = 1344, least: int = 1024) -> Column:
+    """Sides in the source's proportions, the longer one between `least` and `most`, cut to the grid of 32 (PRJ-19)."""
+    longer = F.greatest(width, height)
+    scale = F.when(longer < least, F.lit(float(least)) / longer).otherwise(F.least(F.lit(1.0), F.lit(float(most)) / longer))
+    side = lambda v: F.greatest(F.lit(256), (F.floor(F.floor(v * scale) / 32) * 32).cast("int"))
+    return F.when((width > 0) & (height > 0), F.struct(side(width).alias("width"), side(height).alias("height")))
+
+
+def clip_frames(seconds: Column, fps: int, default: int) -> Column:
+    """Frames of a clip, one more than a multiple of 8, between 9 and 241 (PRJ-19)."""
+    frames = (F.rint((seconds * fps - 1) / 8) * 8 + 1).cast("int")
+    return F.when(seconds > 0, F.greatest(F.lit(9), F.least(F.lit(241), frames))).otherwise(default)
+
+
+def step_cost(width: Column, height: Column, edit: Column) -> Column:
+    """Cost of a generation step: grows faster than the pixels, an edit counts them twice (PRJ-19)."""
+    pixels = width.cast("double") * height / 1e6 * F.when(edit, 2).otherwise(1)
+    return pixels * (1 + pixels / 4.4)

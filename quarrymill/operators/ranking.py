@@ -114,6 +114,19 @@ def rrf(rankings: list[DataFrame], k: int = 60, limit: int | None = None) -> Dat
     return (out.filter(F.col("rank") <= limit) if limit else out).select("query_id", "node_id", "score", "rank")
 
 
+def with_visual(text_hits: DataFrame, visual_hits: DataFrame, nodes: DataFrame, limit: int, pixels_only: bool = False) -> DataFrame:
+    """Text hits fused with hits on pictures and pages, scores to 5 digits (RET-10).
+
+    `pixels_only` first takes image and figure nodes (node_id, node_type) off the text hits and
+    closes the ranks up, so that pictures are found by their pixels alone.
+    """
+    if pixels_only:
+        drawn = nodes.filter(F.col("node_type").isin("image", "figure")).select("node_id")
+        kept = text_hits.join(drawn, "node_id", "left_anti").withColumnRenamed("rank", "_r")
+        text_hits = rank_by(kept, ["query_id"], [F.asc("_r")])
+    return rrf([text_hits, visual_hits], limit=limit).withColumn("score", F.round("score", 5))
+
+
 def hybrid(dense: DataFrame, sparse: DataFrame, limit: int = 10) -> DataFrame:
     """Fusion of two prefetches of max(5 * limit, 50) rows each (RET-03)."""
     most = max(5 * limit, 50)

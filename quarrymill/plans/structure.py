@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import documents as D
+from ..operators import ranking as R
+from ..sources import files as X
 from .engine import HITS, NODES, hits, longs, nodes
 from .registry import read, register
 
@@ -83,3 +86,55 @@ def private_in(s, d):
 @register("grounded_flags", """SELECT doc_id, doc_id % 3 > 0 OR doc_id % 2 = 0 AS grounded FROM documents""")
 def grounded_flags(s, d):
     return read(s, d, "documents").select("doc_id", D.grounded(F.col("doc_id") % 3, F.col("doc_id") % 2 == 1).alias("grounded"))
+
+
+@register("point_ids", f"""WITH h AS (SELECT doc_id, sha1(unhex('{S.POINT_SPACE}') || encode(source || '#' || doc_id)) AS h FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS point_id FROM h""")
+def point_ids(s, d):
+    docs = read(s, d, "documents").filter("source is not null")
+    return docs.select("doc_id", S.point_id(F.concat(F.col("source"), F.lit("#"), F.col("doc_id").cast("string"))).alias("point_id"))
+
+
+@register("picture_sizes", f"""WITH a AS (SELECT p_partkey, p_partkey % 4001 AS w, p_partkey * 7 % 3001 AS h FROM part), b AS (SELECT *, least(1.0::DOUBLE, {S.MAX_SIDE} / greatest(w, h), sqrt({float(S.MAX_AREA)} / (w::DOUBLE * h))) AS k, CASE WHEN greatest(w, h) < 1024 THEN 1024.0::DOUBLE / greatest(w, h) ELSE least(1.0::DOUBLE, 1344.0::DOUBLE / greatest(w, h)) END AS z FROM a WHERE w > 0 AND h > 0)
+SELECT p_partkey, greatest(256, (round_even(w * k / 32, 0) * 32)::INT) AS width, greatest(256, (round_even(h * k / 32, 0) * 32)::INT) AS height, greatest(256, (floor(floor(w * z) / 32) * 32)::INT) AS source_width, greatest(256, (floor(floor(h * z) / 32) * 32)::INT) AS source_height,
+greatest(9, least(241, (round_even((w / 100.0::DOUBLE * 24 - 1) / 8, 0) * 8 + 1)::INT)) AS frames, round(p * (1 + p / 4.4::DOUBLE), 9) AS cost FROM (SELECT *, w::DOUBLE * h / 1000000.0::DOUBLE * CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS p FROM b)""")
+def picture_sizes(s, d):
+    k = F.col("p_partkey")
+    sized = read(s, d, "part").select(k, (k % 4001).alias("w"), (k * 7 % 3001).alias("h")).filter("w > 0 AND h > 0")
+    sized = sized.select(k, "w", "h", S.grid_size(F.col("w"), F.col("h")).alias("g"), S.source_size(F.col("w"), F.col("h")).alias("f"))
+    return sized.select(k, "g.width", "g.height", F.col("f.width").alias("source_width"), F.col("f.height").alias("source_height"), S.clip_frames(F.col("w") / 100, 24, 121).alias("frames"), F.round(S.step_cost(F.col("w"), F.col("h"), k % 2 == 0), 9).alias("cost"))
+
+
+@register("pages_without_text", """SELECT conv_id AS file_path, count(*) AS n_pages, array_to_string(list(turn ORDER BY turn) FILTER (length(regexp_replace(coalesce(text, ''), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) < 40), ',') AS empty FROM conversations GROUP BY 1""")
+def pages_without_text(s, d):
+    """Turns as pages."""
+    pages = read(s, d, "conversations").select(F.col("conv_id").alias("file_path"), F.col("turn").alias("page"), "text")
+    found = X.pages_without_text(pages, 40)
+    return found.withColumn("empty", F.when(F.size("empty") > 0, F.array_join(F.transform("empty", lambda x: x.cast("string")), ",")))
+
+
+@register("stratified_sample", """SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY coalesce(lang, '?') ORDER BY md5('7:' || doc_id), doc_id) <= 25""")
+def stratified_sample(s, d):
+    return X.stratified_sample(read(s, d, "documents").select("doc_id", "lang", "source"), "lang", "doc_id", 25, seed=7)
+
+
+@register("parsed_files", """WITH f AS (SELECT conv_id, turn, 'c' || conv_id || '/' || turn || CASE turn % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.ipynb' WHEN 2 THEN '.PNG' ELSE '.exe' END AS path, turn % 4 AS k, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ord FROM f WHERE k = 0)
+SELECT path, ord::BIGINT AS ord, 'line' AS kind, text, 'ok' AS status, NULL AS error FROM l WHERE trim(text, ' ') <> '' UNION ALL SELECT path, 1, 'cell', text, 'ok', NULL FROM f WHERE k = 1
+UNION ALL SELECT path, 1, 'image', NULL, 'ok', NULL FROM f WHERE k = 2 UNION ALL SELECT path, 0, 'file', NULL, 'error', 'no parser for .exe' FROM f WHERE k = 3""")
+def parsed_files(s, d):
+    """Turns as files of four extensions: notes, notebooks of one cell, pictures, and one that no parser takes."""
+    t, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".ipynb", ".PNG", ".exe"))), (t % 4 + 1).cast("int"))
+    cell = F.to_json(F.struct(F.array(F.struct(F.lit("code").alias("cell_type"), F.array(text).alias("source"), F.array().cast("array<string>").alias("outputs"))).alias("cells")))
+    path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), t.cast("string"), ext)
+    files = read(s, d, "conversations").select(path.alias("path"), F.when(t % 4 == 1, cell).otherwise(text).cast("binary").alias("content"))
+    return longs(X.parse_files(files).drop("level"), "ord")
+
+
+@register("visual_fusion", f"""WITH {HITS}, t AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, 0 AS list FROM h WHERE rank <= 20 AND node_id % 3 <> 0), v AS (SELECT query_id, node_id, rank, 1 AS list FROM h2 WHERE rank <= 10),
+f AS (SELECT query_id, node_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS first FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, node_id) AS rank FROM f) SELECT query_id, node_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""")
+def visual_fusion(s, d):
+    kinds = read(s, d, "documents").select(F.col("doc_id").alias("node_id"), F.when(F.col("doc_id") % 3 == 0, "image").otherwise("text").alias("node_type"))
+    return longs(R.with_visual(hits(s, d).filter("rank <= 20"), hits(s, d, shortest=True).filter("rank <= 10"), kinds, 10, pixels_only=True), "rank")

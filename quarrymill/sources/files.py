@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import io
+import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,3 +180,94 @@ def survey_file(spark: SparkSession, path: str) -> dict:
         return {"path": path, "error": f"unsupported: {kind}"}
     df = readers[kind]()
     return {"path": path, "schema": df.dtypes, "rows": df.count(), "preview": [r.asDict() for r in df.limit(3).collect()]}
+
+
+def pages_without_text(pages: DataFrame, least: int, key: str = "file_path") -> DataFrame:
+    """(key, n_pages, empty): pages of each file and those, in order, whose trimmed text is shorter than `least` (SRC-13)."""
+    bare = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")) < least
+    return pages.groupBy(key).agg(F.count("*").alias("n_pages"), F.array_sort(F.collect_list(F.when(bare, F.col("page")))).alias("empty"))
+
+
+def stratified_sample(rows: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Up to `n` rows of each category, the first by a hash of seed and key; a partial top-n runs before the shuffle (SRC-23).
+
+    Null categories are one category of their own.
+    """
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    place = F.row_number().over(Window.partitionBy(F.coalesce(F.col(by), F.lit("?"))).orderBy(drawn, key))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def corpus_key(root: str) -> str:
+    """A folder's name in letters, digits, _ and -, cut at 40, with eight digits of its path's hash (PRJ-04)."""
+    path = root.rstrip("/")
+    name = re.sub(r"[^A-Za-z0-9_-]+", "_", path.rpartition("/")[2]).strip("_")[:40]
+    return f"{name or 'corpus'}-{hashlib.sha1(path.lower().encode()).hexdigest()[:8]}"
+
+
+def index_signature(config: dict) -> str:
+    """Ten digits that change with any setting an index was built with (PRJ-04)."""
+    return hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()[:10]
+
+
+#: What every parser gives of files (path, content): kinds are cell, heading, text, line and image.
+PARSED = "path string, ord int, kind string, level int, text string"
+
+
+def _parsed(df: DataFrame, *columns) -> DataFrame:
+    return df.select("path", *(c.alias(n) for n, c in zip(("ord", "kind", "level", "text"), columns, strict=True))).select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in PARSED.split(", ")))
+
+
+def parse_lines(files: DataFrame) -> DataFrame:
+    """Lines that are not blank, numbered from 1 with the blank ones."""
+    line = files.select("path", F.posexplode(F.split(decode_text(F.col("content")), "\n", -1)).alias("_p", "line"))
+    return _parsed(line.filter(F.trim("line") != ""), F.col("_p") + 1, F.lit("line"), F.lit(0), F.col("line"))
+
+
+def parse_notebooks(files: DataFrame) -> DataFrame:
+    cells = notebook_cells(files.select("path", decode_text(F.col("content")).alias("text")))
+    return _parsed(cells, F.col("cell"), F.lit("cell"), F.lit(0), F.col("source"))
+
+
+def parse_docx(files: DataFrame) -> DataFrame:
+    return _parsed(docx_documents(files), F.col("ord") + 1, F.when(F.col("level") > 0, "heading").otherwise("text"), F.col("level"), F.col("text"))
+
+
+def parse_images(files: DataFrame) -> DataFrame:
+    """One row a picture, without text: it is described later."""
+    return _parsed(files, F.lit(1), F.lit("image"), F.lit(0), F.lit(None))
+
+
+#: Extension -> parser of (path, content) rows; `register_parser` adds to it (UDF-01).
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    **dict.fromkeys((".py", ".txt", ".md", ".log"), parse_lines),
+    ".ipynb": parse_notebooks,
+    ".docx": parse_docx,
+    **dict.fromkeys((".png", ".jpg", ".jpeg"), parse_images),
+}
+
+
+def register_parser(extension: str, parser: Callable[[DataFrame], DataFrame]) -> None:
+    PARSERS[extension.lower()] = parser
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+def parse_files(files: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """(path, ord, kind, level, text, status, error): what the parser of each file's extension gives (SRC-06).
+
+    One filtered branch for each parser, so that a file is read by its own only. A file of an
+    extension without parser gives one row with status error and the reason; a file in which its
+    parser finds nothing gives none.
+    """
+    known = PARSERS if parsers is None else parsers
+    of: dict[Callable, list[str]] = {}
+    for ext, parser in known.items():
+        of.setdefault(parser, []).append(ext)
+    kind = extension(F.col("path"))
+    done = [parser(files.filter(kind.isin(exts))).withColumn("status", F.lit("ok")).withColumn("error", F.lit(None).cast("string")) for parser, exts in of.items()]
+    none = files.filter(~kind.isin(list(known)))
+    lost = _parsed(none, F.lit(0), F.lit("file"), F.lit(0), F.lit(None)).withColumn("status", F.lit("error"))
+    return reduce(DataFrame.unionByName, [*done, lost.withColumn("error", F.concat(F.lit("no parser for "), extension(F.col("path"))))])
