@@ -9,7 +9,9 @@ endpoint near both.
 Near is an interval join by a sweep: two parts meet where the gap between their intervals is at
 most the distance. Parts of a document enter at their starts and ask at their ends plus the
 distance; the furthest end of each role that has entered so far decides, so that no pairs are
-made and a document of many parts is only sorted.
+made and a document of many parts is only sorted. The same sweep drops the weak parts that
+overlap a base span: at a part's end, the furthest end of the base spans that began before it
+tells.
 
 Matches are placed in one pass: the text between matches, from a split by the same pattern,
 gives each match's offset; offsets are summed in blocks, so that a text with very many matches
@@ -84,10 +86,6 @@ def parts(docs: DataFrame) -> DataFrame:
     return found.withColumn("weak", weak).select("doc_id", "base", "weak")
 
 
-def _outside(weak: Column, base: Column) -> Column:
-    return F.filter(weak, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-
-
 def link(found: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, spans): the base spans, and the weak parts that complementary parts support."""
     rows = materialize(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "weak"), "parts")
@@ -95,18 +93,22 @@ def link(found: DataFrame, distance: int = DISTANCE) -> DataFrame:
     role = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
     every = some.select("row", F.explode(F.concat("base", "weak")).alias("p")).select("row", "p", role[F.col("p.kind")].alias("role"))
     enters = every.select("row", F.col("p.start").alias("at"), F.lit(0).alias("turn"), "role", "p")
-    asks = every.filter(~F.col("p.base")).select("row", (F.col("p.end") + distance).alias("at"), F.lit(1).alias("turn"), "role", "p")
+    weak = every.filter(~F.col("p.base"))
+    asks = weak.select("row", (F.col("p.end") + distance).alias("at"), F.lit(1).alias("turn"), "role", "p")
+    closes = weak.select("row", F.col("p.end").alias("at"), F.lit(-1).alias("turn"), "role", "p")
     so_far = Window.partitionBy("row").orderBy("at", "turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    furthest = lambda r: F.max(F.when((F.col("turn") == 0) & (F.col("role") == r), F.col("p.end"))).over(so_far)
-    met = lambda r: F.coalesce((furthest(r) >= F.col("p.start") - distance).cast("int"), F.lit(0)).alias(r)
-    by_part = enters.unionByName(asks).select("row", "turn", "role", "p", met("identifier"), met("secret"), met("endpoint")).filter("turn = 1")
-    complete = by_part.filter(
-        ((F.col("role") == "secret") & (F.col("identifier") + F.col("endpoint") > 0))
-        | ((F.col("role") == "identifier") & (F.col("secret") == 1))
-        | ((F.col("role") == "endpoint") & (F.col("identifier") == 1) & (F.col("secret") == 1))
+    furthest = lambda which: F.max(F.when((F.col("turn") == 0) & which, F.col("p.end"))).over(so_far)
+    met = lambda r: F.coalesce(furthest(F.col("role") == r) >= F.col("p.start") - distance, F.lit(False)).alias(r)
+    covered = F.coalesce(furthest(F.col("p.base")) > F.col("p.start"), F.lit(False)).alias("covered")
+    swept = enters.unionByName(asks).unionByName(closes).select("row", "turn", "role", "p", met("identifier"), met("secret"), met("endpoint"), covered).filter("turn <> 0")
+    complete = (
+        ((F.col("role") == "secret") & (F.col("identifier") | F.col("endpoint")))
+        | ((F.col("role") == "identifier") & F.col("secret"))
+        | ((F.col("role") == "endpoint") & F.col("identifier") & F.col("secret"))
     )
-    linked = complete.groupBy("row").agg(F.collect_list("p").alias("linked"))
-    out = some.join(linked, "row", "left").select("doc_id", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", _outside(F.col("linked"), F.col("base")))).alias("spans"))
+    by_part = swept.groupBy("row", "p").agg(F.bool_or((F.col("turn") == 1) & complete).alias("complete"), F.bool_or((F.col("turn") == -1) & F.col("covered")).alias("covered"))
+    linked = by_part.filter("complete AND NOT covered").groupBy("row").agg(F.collect_list("p").alias("linked"))
+    out = some.join(linked, "row", "left").select("doc_id", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked")).alias("spans"))
     return rows.filter(F.size("weak") == 0).select("doc_id", F.col("base").alias("spans")).unionByName(out)
 
 
