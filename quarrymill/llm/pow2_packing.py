@@ -24,8 +24,8 @@ from .common import cut, kept_by_worker, slices
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words, and pre-tokens of letters, whose ids a worker remembers in a generation; longest kept, in bytes.
-CACHE, CACHED_BYTES = 120_000, 48
+#: Words, and pre-tokens of letters, whose ids a worker remembers in a generation; where packing runs alone; longest kept, in bytes.
+CACHE, CACHE_ALONE, CACHED_BYTES = 120_000, 300_000, 48
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The pre-token pattern of the tokenizer's file, for plain characters in lower case (fixed value).
@@ -40,15 +40,15 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Bounded(dict):
-    """Two generations of at most CACHE entries each; what is asked for again outlives a change."""
+    """Two generations of at most `most` entries each; what is asked for again outlives a change."""
 
-    def __init__(self):
+    def __init__(self, most: int = CACHE):
         super().__init__()
-        self.old: dict = {}
+        self.most, self.old = most, {}
 
     def put(self, key: bytes | str, value: bytes) -> bytes:
         if len(key) <= CACHED_BYTES:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -58,8 +58,8 @@ class _Bounded(dict):
 class PretokenIds(_Bounded):
     """Ids of single pre-tokens, from the library's own BPE."""
 
-    def __init__(self, tokenizer):
-        super().__init__()
+    def __init__(self, tokenizer, most: int = CACHE):
+        super().__init__(most)
         self.tokenize, self.alphabet = tokenizer.model.tokenize, byte_alphabet()
 
     def __missing__(self, token: str) -> bytes:
@@ -77,12 +77,12 @@ class WordIds(_Bounded):
     few of them are new; other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(most)
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = PretokenIds(self.tokenizer)
+        self.parts = PretokenIds(self.tokenizer, most)
         # The short way holds for files of this kind only: lower-cased, with that pattern.
         probe = "It's THE (Ünïté) of 42.5 a_b!? «no»"
         self.plain = self._whole(probe) == b"".join(map(self._short, probe.replace("«no»", "").split())) + self._whole("«no»")
@@ -110,7 +110,7 @@ def piece_lengths(n: int, sequence: int = SEQUENCE) -> list[int]:
     return [sequence] * (n // sequence) + [1 << k for k in range(sequence.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, cache: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, start, length (its bucket), ids (binary, 32-bit little-endian), doc_tokens, sequence_id, offset.
 
     A narrow pass: nothing is shuffled. Sequence ids are unique in one result.
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
         raise ValueError("the sequence length must be a power of two")
 
     def run(batches):
-        ids_of, end = kept_by_worker(f"ids:{tokenizer_path}", lambda: WordIds(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
+        ids_of, end = kept_by_worker(f"ids:{cache}:{tokenizer_path}", lambda: WordIds(tokenizer_path, cache)), np.array([end_id], dtype="<u4").tobytes()
         for b in slices(batches, "text"):
             out: tuple[list, ...] = ([], [], [], [], [])
             held = 0
@@ -151,5 +151,5 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 
 def packing_query(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    pieces = pack(docs, tokenizer_path)
+    pieces = pack(docs, tokenizer_path, cache=CACHE_ALONE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
