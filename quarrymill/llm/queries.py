@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bbit_minhash import near_duplicates
 from .common import spread, table
 from .credential_linking import secrets_query
+from .filter_audit import AUDIT_SQL, audit
 from .gam_quality import quality_query
 from .mil_toxicity import toxicity_query
 from .pow2_packing import packing_query
@@ -44,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": lambda s, d: overlaps(docs(s, d), table(s, d, "benchmark")),
         "op9_token_counts": lambda s, d: count_tokens(docs(s, d), tokenizer_path("piece_bpe_32k.model")),
         "op10_personal_data": lambda s, d: pii_query(docs(s, d)),
+        "op11_filter_audit": lambda s, d: audit(docs(s, d), table(s, d, "labels")),
     }
 
 
@@ -78,4 +80,4 @@ SELECT doc_id, item_id, equal::INT AS equal, compared::INT AS compared, doc_at::
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_duplicates": NEAR_DUPLICATES, "op8_decontamination": decontamination_sql()}
+    return {"op6_near_duplicates": NEAR_DUPLICATES, "op8_decontamination": decontamination_sql(), "op11_filter_audit": AUDIT_SQL}
