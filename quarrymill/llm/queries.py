@@ -1,9 +1,10 @@
 """The queries of this subpackage over the driver's tables, and their SQL where it can express one.
 
-Near-duplicates are defined by exact sets, decontamination by masks over tokens: both have SQL.
-The other eight learn models, tokenize, or search by an approximate index, or (secrets) use
-patterns with look-around, which DuckDB lacks; they are tested against brute force, exact round
-trips and held-out accuracy instead.
+Near-duplicates are defined by exact sets, decontamination by masks over tokens, the audit by counts
+and vector codes by whole numbers: these have SQL. The others learn models, tokenize, hash as DuckDB
+cannot (XXH64 with a seed), search by an approximate index, or (secrets) use patterns with
+look-around, which DuckDB lacks; they are tested against brute force, exact round trips and held-out
+accuracy instead.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from .bbit_minhash import near_duplicates
 from .common import spread, table
 from .credential_linking import secrets_query
 from .filter_audit import AUDIT_SQL, audit
+from .filtering_lloyd import codes_sql, compressed
 from .gam_quality import quality_query
 from .mil_toxicity import toxicity_query
+from .pigeonring import near_fingerprints
 from .pow2_packing import packing_query
 from .ppm_langid import language_query
 from .prefix_forest import neighbours_query
@@ -46,6 +49,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": lambda s, d: count_tokens(docs(s, d), tokenizer_path("piece_bpe_32k.model")),
         "op10_personal_data": lambda s, d: pii_query(docs(s, d)),
         "op11_filter_audit": lambda s, d: audit(docs(s, d), table(s, d, "labels")),
+        "op12_fingerprints": lambda s, d: near_fingerprints(docs(s, d)),
+        "op13_vector_codes": lambda s, d: compressed(table(s, d, "embeddings")),
     }
 
 
@@ -80,4 +85,4 @@ SELECT doc_id, item_id, equal::INT AS equal, compared::INT AS compared, doc_at::
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_duplicates": NEAR_DUPLICATES, "op8_decontamination": decontamination_sql(), "op11_filter_audit": AUDIT_SQL}
+    return {"op6_near_duplicates": NEAR_DUPLICATES, "op8_decontamination": decontamination_sql(), "op11_filter_audit": AUDIT_SQL, "op13_vector_codes": codes_sql()}
