@@ -25,8 +25,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
+    """The vector at length one; a zero vector stays zero, and so is near nothing."""
     # The norm is repeated as an array: inside a lambda it would be computed for each component.
-    return F.zip_with(v, F.array_repeat(norm(v), F.size(v)), lambda x, n: x.cast("double") / n)
+    return F.zip_with(v, F.array_repeat(F.nullif(norm(v), F.lit(0.0)), F.size(v)), lambda x, n: F.coalesce(x.cast("double") / n, F.lit(0.0)))
 
 
 def visible_size(text: Column) -> Column:
@@ -94,10 +95,25 @@ def source_priority(url: Column, prefer: list[str], demote: list[str]) -> Column
     return F.when(any_of(bad), -1).when(any_of(good), 1).otherwise(0)
 
 
+#: Addresses in a text, and the words of a query (fixed values).
+URL = r"https?://[^\s<>()\"'`\]]+"
+POLICY_WORD = r"[\w][\w.\-]*[\w]|\w"
+
+
 def urls_in(text: Column) -> Column:
-    """Distinct URLs without trailing punctuation (PRJ-10)."""
-    found = F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"')\]]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?/]+$", "")))
+    """Distinct URLs without the punctuation that ends a sentence (PRJ-10)."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
+
+
+def normal_url(url: Column) -> Column:
+    """Scheme and host in lower case, no slash at the path's end, no fragment (PRJ-10)."""
+    part = lambda i: F.regexp_extract(F.trim(url), r"^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]+)?", i)
+    return F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.regexp_replace(part(3), "/+$", ""), part(4))
+
+
+def policy_words(text: Column) -> Column:
+    """Words with inner dots and hyphens, lower-cased, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?U)" + POLICY_WORD), F.lit(0)), F.lower))
 
 
 def words(text: Column) -> Column:
@@ -119,12 +135,21 @@ def code_like(name: Column) -> Column:
 
 
 def distinctive_tokens(text: Column) -> Column:
-    """Code-like words and numbers of at least four digits other than years 1900-2100 (PRJ-11)."""
-    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)))
-    year = lambda t: t.rlike(r"^(19\d\d|20\d\d|2100)$")
-    long_number = lambda t: t.rlike(r"^\d{4,}$") & ~year(t)
-    named = lambda t: ~t.rlike(r"^\d+$") & code_like(t) & (F.length(t) >= 4)
-    return F.filter(tokens, lambda t: long_number(t) | named(t))
+    """Tokens that tell private content apart, lower-cased, each once (PRJ-11).
+
+    Of five characters or more with a letter: those with a digit, an underscore, an inner capital, a
+    hyphen before a capital or digit, and words in capitals from six on. Without a letter: those of
+    four digits or more that are no year from 1900 to 2100.
+    """
+    tokens = F.regexp_extract_all(text, F.lit("(?U)" + POLICY_WORD), F.lit(0))
+
+    def kept(t: Column) -> Column:
+        letters, capitals = t.rlike(r"\p{L}"), (F.upper(t) == t) & (F.lower(t) != t) & (F.length(t) >= 6)
+        named = t.rlike(r"\p{Nd}|_|[a-z][A-Z]|[A-Za-z]-[A-Z0-9]") | capitals
+        year = t.rlike(r"^(19\d\d|20\d\d|2100)$")
+        return (letters & (F.length(t) >= 5) & named) | (~letters & (F.length(F.regexp_replace(t, r"(?U)\D", "")) >= 4) & ~year)
+
+    return F.array_distinct(F.transform(F.filter(tokens, kept), F.lower))
 
 
 NUMBER = r"[-+]?(?:\d+[.,]\d+|\d+|[.,]\d+)(?:[eE][-+]?\d+)?"
@@ -171,19 +196,27 @@ def location_label(path: Column, page: Column, section: Column, cell: Column, li
     return F.concat_ws(", ", path, F.when(page.isNotNull(), F.format_string("page %d", page)), F.nullif(section, F.lit("")), F.when(cell.isNotNull(), F.format_string("cell %d", cell)), lines)
 
 
-def defang_markdown(text: Column) -> Column:
-    """Images and links made inert, so that showing the text asks for nothing (PRJ-12).
+#: Markdown that asks for something when it is shown, code, and what stands for a picture (fixed values).
+MARKDOWN_IMAGE = r"!\[([^\]]*)\]\(\s*<?([^)\s>]+)>?(?:\s+\"[^\"]*\")?\s*\)"
+MARKDOWN_LINK = r"(?<!!)\[([^\]]+)\]\(\s*<?([^)\s>]+)>?(?:\s+\"[^\"]*\")?\s*\)"
+BARE_URL = r"(?<![`\w])(https?://[^\s<>()`]+)"
+MARKDOWN_CODE = r"(?s)```.*?```|`[^`\n]*`"
+PICTURE, NO_CAPTION = "[изображение: %s] `%s`", "без подписи"
 
-    Code spans stay as they are: the text is cut at them, and only the pieces between change.
-    """
-    spans = F.regexp_extract_all(text, F.lit(r"(?s)```.*?```|`[^`\n]*`"), F.lit(0))
-    between = F.split(text, r"(?s)```.*?```|`[^`\n]*`", -1)
 
-    def inert(p: Column) -> Column:
-        p = F.regexp_replace(p, r"!\[([^\]]*)\]\(\s*<?([^)\s>]+)>?[^)]*\)", "[image: $1] `$2`")
-        p = F.regexp_replace(p, r"(?<!!)\[([^\]]+)\]\(\s*<?([^)\s>]+)>?[^)]*\)", "$1 (`$2`)")
-        return F.regexp_replace(p, r"(?<![`\w])(https?://[^\s<>()`]+)", "`$1`")
+def defang_markdown(text: Column) -> Column:
+    """Images, links and addresses made inert, so that showing the text asks for nothing (PRJ-12).
 
+    Images and links give their text and their address as code; bare addresses become code where
+    they are not in code already.
+    """
+    text = F.regexp_replace(text, MARKDOWN_IMAGE.replace("([^\\]]*)", "()", 1), PICTURE % (NO_CAPTION, "$2"))
+    text = F.regexp_replace(text, MARKDOWN_IMAGE, PICTURE % ("$1", "$2"))
+    text = F.regexp_replace(text, MARKDOWN_LINK, "$1 (`$2`)")
+    text = F.regexp_replace(text, r"(?m)^\s*(\[[^\]]+\]:\s*\S+.*?)[^\S\n]*$", "`$1`")
+    spans = F.regexp_extract_all(text, F.lit(MARKDOWN_CODE), F.lit(0))
+    between = F.split(text, MARKDOWN_CODE, -1)
+    inert = lambda p: F.regexp_replace(p, BARE_URL, "`$1`")
     return F.array_join(F.flatten(F.zip_with(between, spans, lambda b, c: F.array(inert(b), F.coalesce(c, F.lit(""))))), "")
 
 
@@ -200,16 +233,42 @@ def held_out(path: Column, share: float) -> Column:
     return rest < int(share * 1000)
 
 
+#: Requests that need the web, code, an overview, a picture, a change of one, or a video (fixed values).
+INTENTS = {
+    "web": (
+        r"(в|по)\s+интернет|в\s+сети\b|онлайн|погугли|загугли|поищи\s+(в\s+)?(интернет|сети|онлайн)|"
+        r"найди\s+в\s+(интернете|сети)|выйти\s+в\s+(интернет|сеть)|search\s+(the\s+)?(web|internet)|"
+        r"google\s+it|look\s+it\s+up\s+online"
+    ),
+    "code": (
+        r"запус|выполни|прогон|построй|нарисуй|сохрани|создай|исправь|почини|посчитай|пересчитай|вычисли|собери|"
+        r"сгенерируй|экспортир|конвертир|преобразуй|скачай|выгрузи|установи|протестируй|попробуй|спарс|распарс|парсер|"
+        r"(напиши|сделай|разработай|реализуй|спроектируй)\s+(\S+\s+){0,3}?(программ|сервис|приложени|бот|утилит|проект|api)|"
+        r"\b(run|execute|plot|fix|save|compute|create|generate|convert|download|install|scrape|parse)\b"
+    ),
+    "overview": (
+        r"о\s+ч[её]м|расска[зж]|опиши|описа|суть|кратк|резюм|конспект|перескаж|основн\w+\s+(иде|мысл|вывод)|"
+        r"концепци|иде[яюи]\b|что\s+(в\s+(нём|нем|файле|документе)|можешь\s+сказать)|"
+        r"summar|overview|what\s+is\s+(it|this|the\s+file)\s+about|main\s+idea"
+    ),
+    "image": (
+        r"нарису|сгенерир\w*\s+(картин|изображ|фото|рисун|арт|логотип|иконк|обо)|изобрази|перерису|дорису|"
+        r"отредактир\w*\s+(картин|фото|изображ)|измени\w*\s+(на\s+)?(картин|фото|изображ)|(сделай|создай)\s+(картин|изображ|фото|рисун|арт|логотип|иконк|обо)|"
+        r"картинк|рисун|иллюстрац|\b(draw|paint|illustrate|render|sketch|outpaint|inpaint)\b|"
+        r"generate\s+(an?\s+)?(image|picture|photo|illustration|logo)|расшир\w*\s+(картин|фото|изображ|холст)"
+    ),
+    "edit": (
+        r"в\s+стил|стилиз|\bфон(а|у|ом|е|ы|ов)?\b|измени|поменя|замени|убери|добавь|перекрас|раскрас|акварел|аниме|"
+        r"маслом|карандаш|ярче|темнее|светлее|ч[её]рно-бел|преврати|сделай\s+из|в\s+образе|сохрани\w*\s+(поз|лиц|освещ|"
+        r"композиц|черт)|image.?to.?image|img2img|\bi2i\b|\b(make it|in the style|background|recolou?r|turn (it|me) into)\b"
+    ),
+    "video": r"видео|ролик|клип\b|анимир|анимаци|оживи|оживить|\b(video|animate|animation|clip)\b",
+}
+
+
 def wants(question: Column, kind: str) -> Column:
-    """Intent gates on a question (FLT-18)."""
-    patterns = {
-        "web": r"(?iu)\b(google|search the web|on the internet|latest news)\b|в интернете|загугли|свежие новости",
-        "code": r"(?iu)\b(write|fix|refactor|implement|run)\b.*\b(code|function|script|test)|напиши код|исправь|запусти",
-        "overview": r"(?iu)summar|overview|main idea|о\s+ч[её]м|кратк|суть|резюм",
-        "image": r"(?iu)\b(draw|picture|image of)\b|нарисуй|картинк",
-        "video": r"(?iu)\b(animate|video of)\b|оживи|видео",
-    }
-    return F.coalesce(question.rlike(patterns[kind]), F.lit(False))
+    """Intent gates on a question (FLT-18): one of INTENTS; a null question wants nothing."""
+    return F.coalesce(question.rlike("(?iU)" + INTENTS[kind]), F.lit(False))
 
 
 #: Namespace of point ids; sides and area of generated pictures (fixed values).

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import wants
 from .ranking import keep_first, ordered_union, rank_by
 
 
@@ -33,10 +34,22 @@ def evidence_pool(seen: DataFrame, lower: float = 0.02, most: int = 8) -> DataFr
     return ranked.filter(((F.col("score") >= lower) | (F.col("rank") == 1)) & (F.col("rank") <= most))
 
 
-def upload_route(question: Column, n_chars: Column, budget: int) -> Column:
-    """overview, whole, index or parts for a question about an upload (RET-14)."""
-    overview = question.rlike(r"(?iu)summar|overview|main idea|what\s+is\s+(it|this|the\s+file)\s+about|о\s+ч[её]м|кратк|суть|резюм")
-    return F.when(n_chars <= budget, "whole").when(overview, "overview").when(n_chars <= 4 * budget, "index").otherwise("index+parts")
+def upload_route(question: Column, n_chars: Column, budget: int, answerable: Column, mode: Column | None = None) -> Column:
+    """overview, whole, parts, index or index+parts for a question about uploads (RET-14).
+
+    Files within the budget go in whole; larger ones by an overview if the question asks for one, else
+    by their index, and by parts after it only where the fragments could not answer. A `mode` of whole or
+    index, instead of self_route, forbids the other way.
+    """
+    mode = F.lit("self_route") if mode is None else mode
+    fits = n_chars <= budget
+    return (
+        F.when(~fits & (mode != "index") & wants(question, "overview"), "overview")
+        .when(fits & (mode != "index"), "whole")
+        .when(mode == "whole", "parts")
+        .when((mode == "self_route") & ~F.coalesce(answerable, F.lit(False)), "index+parts")
+        .otherwise("index")
+    )
 
 
 def page_fragments(visual_hits: DataFrame, nodes: DataFrame, most: int = 2) -> DataFrame:

@@ -6,7 +6,6 @@ import re
 import threading
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -221,27 +220,6 @@ def answer_with_sql(spark: SparkSession, question: str, writer, tables: set[str]
     return result
 
 
-def value_hints(values: DataFrame, question: str, limit: int = 25, cutoff: float = 0.85) -> DataFrame:
-    """Distinct column values that the question names, flattened or in close spelling (JOIN-17, FLT-11): values (table, column, value)."""
-    import difflib
-
-
-    flat = re.sub(r"[\W_]+", "", question.lower())
-    words = [w for w in re.findall(r"\w+", question.lower()) if len(w) >= 4]
-
-    @F.pandas_udf("boolean")
-    def named(v: pd.Series) -> pd.Series:
-        def one(x: str) -> bool:
-            bare = re.sub(r"[\W_]+", "", (x or "").lower())
-            if len(bare) >= 3 and bare in flat:
-                return True
-            return any(difflib.get_close_matches(p, words, 1, cutoff) for p in re.findall(r"\w+", (x or "").lower()) if len(p) >= 4)
-
-        return v.map(one)
-
-    return values.select("table", "column", "value").distinct().filter(named("value")).orderBy("table", "column", "value").limit(limit)
-
-
 def stats(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, name, status, n): counts by file type and status, node type and edge type (AGG-01)."""
     a = files.groupBy("file_type", "status").count().select(F.lit("file").alias("kind"), F.col("file_type").alias("name"), "status", F.col("count").alias("n"))

@@ -84,10 +84,14 @@ def heading_paths(items: DataFrame, key: str, ord_: str, level: str, title: str,
     return out.withColumn("section", F.concat_ws(" > ", *parts)).drop(*(f"_h{n}" for n in range(1, max_level + 1)))
 
 
-LOG_LINE = r"(?i)^\s*(\[?\d{4}-\d{2}-\d{2}|\d{2}:\d{2}:\d{2}|(INFO|DEBUG|WARN|WARNING|ERROR)\b|(epoch|step|iter)\s*[=: ]?\s*\d+)"
-HEADING_LINE = r"^#{1,6}\s+\S"
-MARK_LINE = r"^(\s*[-*+]\s+\S|\s*\d+\.\s+\S|```|>\s)"
-CODE_LINE = r"(^\s*(def|class|import|from|return|for|if|while|try|with|elif|else|public|private|var|let|const|function)\b.*[:;{)]?\s*$)|[{};]\s*$|^\s*\w+\s*=\s*\S+\("
+#: Lines of logs, markdown and code, metric pairs, and the kinds of metric whose best value is the smallest (fixed values).
+STEP = r"(?i)\b(epoch|step|iter(?:ation)?)\b\s*[=:#]?\s*(\d+)"
+METRIC = r"\b([A-Za-z][\w/.\-]*)\s*[=:]\s*(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+TIME_LINE = r"^\s*\[?(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}|\d{2}:\d{2}:\d{2})"
+MARK_LINE = r"^\s{0,3}(#{1,6}\s|[-*+]\s|\d+\.\s|```|\|.*\|)"
+HEADING_LINE = r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
+CODE_LINE = r"^\s*(def |class |import |from \S+ import |return\b|if __name__|@\w+|for .+ in .+:)"
+LOWER_IS_BETTER = ("loss", "error", "err", "rmse", "mae", "mse", "perplexity", "ppl")
 
 
 def _modal_share(some: Column, mark: str) -> Column:
@@ -99,19 +103,19 @@ def _modal_share(some: Column, mark: str) -> Column:
 
 def classify(text: Column) -> Column:
     """log, table, markdown, code or prose, from the first 500 lines that are not blank (CHK-11)."""
-    return let(F.slice(F.filter(F.split(text, "\n", -1), lambda s: F.trim(s) != ""), 1, 500), _kind)
+    return let(F.slice(F.filter(F.split(text, "\n", -1), lambda s: s.rlike(r"\S")), 1, 500), _kind)
 
 
 def _kind(some: Column) -> Column:
     n = F.size(some)
-    share = lambda pattern: F.size(F.filter(some, lambda s: s.rlike(pattern))) / n
-    tables = [_modal_share(some, mark) for mark in ("\t", ";", "|", ",")]
+    share = lambda test: F.size(F.filter(some, test)) / n
+    tables = [_modal_share(F.slice(some, 1, 200), mark) for mark in ("\t", ";", "|", ",")]
     return (
         F.when(n == 0, "prose")
-        .when(share(LOG_LINE) >= 0.3, "log")
+        .when(share(lambda s: s.rlike(TIME_LINE) | (s.rlike(STEP) & s.rlike(METRIC))) >= 0.3, "log")
         .when((n >= 3) & (F.greatest(*tables) >= 0.8), "table")
-        .when(F.exists(some, lambda s: s.rlike(HEADING_LINE)) | (share(MARK_LINE) >= 0.2), "markdown")
-        .when(share(CODE_LINE) >= 0.25, "code")
+        .when(F.exists(some, lambda s: s.rlike(HEADING_LINE)) | (share(lambda s: s.rlike(MARK_LINE)) >= 0.2), "markdown")
+        .when(share(lambda s: s.rlike(CODE_LINE)) >= 0.25, "code")
         .otherwise("prose")
     )
 
@@ -160,25 +164,28 @@ def text_tiles(text: str, block: int = 6) -> list[tuple[int, int]]:
 
 
 def log_metrics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, metric, seq, step, value): name=value pairs of log lines that carry a step; series of two points or more (AGG-05)."""
+    """(key, metric, step, value, seq): name=value pairs of lines, with the step of their line if it has one; series of two points or more (AGG-05).
+
+    The pair that gives the step is not a metric of its line.
+    """
     row = lines(docs, text, key)
-    step = F.regexp_extract("line", r"(?i)\b(?:epoch|step|iter(?:ation)?)\s*[=:]?\s*(\d+)", 1)
-    names = F.regexp_extract_all("line", F.lit(r"([A-Za-z_][A-Za-z0-9_/]*)\s*[=:]\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), F.lit(1))
-    values = F.regexp_extract_all("line", F.lit(r"([A-Za-z_][A-Za-z0-9_/]*)\s*[=:]\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), F.lit(2))
-    pairs = row.filter(step != "").select(key, "line_no", step.cast("double").alias("step"), F.explode(F.arrays_zip(names.alias("n"), values.alias("v"))).alias("p"))
-    points = pairs.select(key, F.col("p.n").alias("metric"), "line_no", "step", F.col("p.v").try_cast("double").alias("value")).filter(~F.lower("metric").rlike("^(epoch|step|iter|iteration)$"))
-    seq = F.row_number().over(Window.partitionBy(key, "metric").orderBy("line_no"))
-    n = F.count("*").over(Window.partitionBy(key, "metric"))
-    return points.withColumn("seq", seq).withColumn("_n", n).filter("_n >= 2").drop("_n", "line_no")
+    unit, step = F.lower(F.regexp_extract("line", STEP, 1)), F.regexp_extract("line", STEP, 2).try_cast("double")
+    of = lambda i: F.regexp_extract_all("line", F.lit("(?U)" + METRIC), F.lit(i))
+    pairs = row.filter(F.col("line").rlike("(?U)" + METRIC)).select(key, "line_no", unit.alias("unit"), step.alias("step"), F.posexplode(F.arrays_zip(of(1).alias("n"), of(2).alias("v"))).alias("at", "p"))
+    points = pairs.filter(F.lower("p.n") != F.col("unit")).select(key, F.col("p.n").alias("metric"), "line_no", "at", "step", F.col("p.v").cast("double").alias("value"))
+    each = Window.partitionBy(key, "metric")
+    points = points.withColumn("seq", F.row_number().over(each.orderBy("line_no", "at"))).withColumn("_n", F.count("*").over(each))
+    return points.filter("_n >= 2").select(key, "metric", "step", "value", "seq")
 
 
 def metric_summary(series: DataFrame, by: list[str], name: str = "metric") -> DataFrame:
-    """Best value (smallest for losses and errors, else largest; the first of equals), its step, the last value (AGG-06, WIN-10)."""
-    lower = F.lower(name).rlike("loss|error|mse|mae|rmse|perplexity|ppl|time")
+    """Best value (smallest for losses and errors, else largest; the first of equals), its step, the last value and step (AGG-06, WIN-10)."""
+    lower = F.lower(name).rlike("|".join(LOWER_IS_BETTER))
     out = series.groupBy(*by).agg(
         F.min(F.struct("value", "seq", "step")).alias("_low"),
         F.max(F.struct(F.col("value"), (-F.col("seq")).alias("_neg"), F.col("step"))).alias("_high"),
-        F.max(F.struct("seq", "value")).alias("_last"),
+        F.max(F.struct("seq", "value", "step")).alias("_last"),
         F.count("*").alias("n"),
     )
-    return out.select(*by, F.when(lower, "min").otherwise("max").alias("direction"), F.when(lower, F.col("_low.value")).otherwise(F.col("_high.value")).alias("best"), F.when(lower, F.col("_low.step")).otherwise(F.col("_high.step")).alias("best_step"), F.col("_last.value").alias("last"), "n")
+    best = lambda c: F.when(lower, F.col(f"_low.{c}")).otherwise(F.col(f"_high.{c}"))
+    return out.select(*by, F.when(lower, "min").otherwise("max").alias("direction"), best("value").alias("best"), best("step").alias("best_step"), F.col("_last.value").alias("last"), F.col("_last.step").alias("last_step"), "n")

@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_folder
 
-#: Canary questions (fixed values): a definition, a call, a section, a quoted phrase.
-TEMPLATES = {"def": "Где определена функция %s?", "call": "Где вызывается %s?", "section": "Что написано в разделе «%s»?", "text": "Где встречается фраза «%s»?"}
+#: Canary questions (fixed values): definitions of classes, methods and functions, calls, notebooks, their sections, sections of documents, phrases.
+TEMPLATES = {
+    "class": "Где определён класс %s?",
+    "method": "Где определён метод %s?",
+    "function": "Где определена функция %s?",
+    "call": "Где вызывается %s?",
+    "nbcall": "В каких ноутбуках используется %s?",
+    "nbsec": "О чём раздел «%s» ноутбука %s?",
+    "section": "Что написано в разделе «%s»?",
+    "text": "Где в моих файлах написано «%s»?",
+}
+PHRASE_WORD = r"(?U)[\w.,%=-]+"
 
 
 def signals(rank: Column) -> tuple[Column, Column]:
@@ -20,21 +30,52 @@ def signals(rank: Column) -> tuple[Column, Column]:
     return F.when(lost, 1.0).otherwise(1 - 1 / rank), (lost | (rank > 5)).cast("int")
 
 
-def build_canaries(symbols: DataFrame, calls: DataFrame, sections: DataFrame, phrases: DataFrame, least: int = 4) -> DataFrame:
-    """(id, segment, question, targets) from the catalog, public names only; thin segments go (MON-01, AGG-20/21, JOIN-07)."""
-    target = F.struct("file_path", "line_start", "line_end")
-    public = symbols.filter(~F.col("name").startswith("_"))
-    rows = [
-        public.groupBy("file_path", "name", "kind").agg(F.collect_list(target).alias("targets")).select(F.concat(F.lit("def:"), "file_path", F.lit(":"), "name").alias("id"), F.concat(F.lit("py:def:"), first_folder(F.col("file_path"))).alias("segment"), F.format_string(TEMPLATES["def"], "name").alias("question"), "targets"),
-        calls.join(public.select("name").distinct(), "name", "left_semi").withColumn("pkg", first_folder(F.col("file_path"))).groupBy("name", "pkg").agg(F.collect_list(F.struct("file_path", F.col("line").alias("line_start"), F.col("line").alias("line_end"))).alias("targets")).select(F.concat(F.lit("call:"), "pkg", F.lit(":"), "name").alias("id"), F.concat(F.lit("py:call:"), "pkg").alias("segment"), F.format_string(TEMPLATES["call"], "name").alias("question"), "targets"),
-        sections.select(F.concat(F.lit("section:"), "file_path", F.lit(":"), "section").alias("id"), F.concat(F.lit("doc:section:"), first_folder(F.col("file_path"))).alias("segment"), F.format_string(TEMPLATES["section"], "section").alias("question"), F.array(target).alias("targets")),
-        phrases.select(F.concat(F.lit("text:"), "file_path", F.lit(":"), F.col("line_start").cast("string")).alias("id"), F.concat(F.lit("text:"), first_folder(F.col("file_path"))).alias("segment"), F.format_string(TEMPLATES["text"], "phrase").alias("question"), F.array(target).alias("targets")),
-    ]
-    every = rows[0]
-    for r in rows[1:]:
-        every = every.unionByName(r)
-    every = every.groupBy("id").agg(F.first("segment").alias("segment"), F.first("question").alias("question"), F.first("targets").alias("targets"))
-    return every.withColumn("_n", F.count("*").over(Window.partitionBy("segment"))).filter(F.col("_n") >= least).drop("_n")
+TARGET = "struct<file_path:string,line_start:int,line_end:int,cell:int,section:string,node_id:string>"
+
+
+def _target(**known: Column) -> Column:
+    parts = [f.split(":") for f in TARGET[7:-1].split(",")]
+    return F.struct(F.col("file_path").alias("file_path"), *(known.get(n, F.lit(None)).cast(t).alias(n) for n, t in parts[1:]))
+
+
+def build_canaries(symbols: DataFrame, calls: DataFrame, nodes: DataFrame, least: int = 4) -> DataFrame:
+    """(id, segment, question, targets): questions whose answers the catalog knows; segments of fewer than `least` go (MON-01, AGG-20/21, JOIN-07).
+
+    symbols (name, qualname, kind, file_path, line_start, line_end), calls (name, file_path, line,
+    cell), nodes (node_id, file_path, node_type, text, cell, section, embed). Six kinds: public
+    definitions in modules; calls of public names, by folder; the notebooks that use them; headed
+    notebook sections, with the two cells after; sections of .pdf and .docx files, once for each
+    title; and the fifth to fourteenth word of a .txt, .log or .md fragment of twelve words or more.
+    """
+    module, notebook = F.endswith("file_path", F.lit(".py")), F.endswith("file_path", F.lit(".ipynb"))
+    public = symbols.filter(~F.startswith("name", F.lit("_")))
+    put = lambda df, id_, segment, question, targets: df.select(id_.alias("id"), segment.alias("segment"), question.alias("question"), targets.alias("targets"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    package, c = first_folder(F.col("file_path")), F.col
+    asked = F.when(c("kind") == "class", F.format_string(TEMPLATES["class"], "name")).when(c("kind") == "method", F.format_string(TEMPLATES["method"], "qualname")).otherwise(F.format_string(TEMPLATES["function"], "name"))
+    lines = _target(line_start=c("line_start"), line_end=F.coalesce("line_end", "line_start"))
+    defs = put(public.filter(module & c("line_start").isNotNull()), text("def:", c("file_path"), ":", c("qualname")), text("py:def:", package), asked, F.array(lines))
+    used = calls.join(public.select("name").distinct(), "name", "left_semi")
+    in_modules = used.filter(module & c("line").isNotNull()).withColumn("pkg", package).groupBy("name", "pkg").agg(F.array_sort(F.collect_list(_target(line_start=c("line"), line_end=c("line")))).alias("targets"))
+    called = put(in_modules, text("call:", c("pkg"), ":", c("name")), text("py:call:", c("pkg")), F.format_string(TEMPLATES["call"], "name"), c("targets"))
+    in_notebooks = used.filter(notebook & c("cell").isNotNull()).groupBy("name").agg(F.array_sort(F.collect_list(_target(cell=c("cell")))).alias("targets"))
+    noted = put(in_notebooks, text("nbcall:", c("name")), F.lit("ipynb:call"), F.format_string(TEMPLATES["nbcall"], "name"), c("targets"))
+    shown = nodes.filter("embed")
+    heading = F.trim(F.regexp_replace(F.regexp_extract("text", r"(?m)^(#.*)$", 1), "^#+", ""))
+    stem = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", "")
+    after = F.array(*(_target(cell=c("cell") + k) for k in range(3)))
+    headed = shown.filter((c("node_type") == "markdown_cell") & (c("cell") > 0) & (F.length(heading) >= 4))
+    sections = put(headed, text("nbsec:", c("node_id").cast("string")), F.lit("ipynb:section"), F.format_string(TEMPLATES["nbsec"], heading, stem), after)
+    rest = shown.filter(~((c("node_type") == "markdown_cell") & (F.coalesce("cell", F.lit(0)) > 0)))
+    title = F.element_at(F.split("section", " > "), -1)
+    titled = rest.filter(F.col("file_path").rlike(r"\.(pdf|docx)$") & (F.coalesce("section", F.lit("")) != "")).select("file_path", title.alias("title")).filter(F.length("title") >= 4).distinct()
+    documents = put(titled, text("sec:", c("file_path"), ":", c("title")), F.lit("doc"), F.format_string(TEMPLATES["section"], "title"), F.array(_target(section=c("title"))))
+    words = F.regexp_extract_all("text", F.lit(PHRASE_WORD), F.lit(0))
+    phrased = rest.filter(F.col("file_path").rlike(r"\.(txt|log|md)$")).withColumn("_w", words).filter(F.size("_w") >= 12)
+    phrases = put(phrased, text("text:", c("node_id").cast("string")), F.lit("text"), F.format_string(TEMPLATES["text"], F.array_join(F.slice("_w", 5, 10), " ")), F.array(_target(node_id=c("node_id").cast("string"))))
+    every = defs.unionByName(called).unionByName(noted).unionByName(sections).unionByName(documents).unionByName(phrases)
+    sizes = every.groupBy("segment").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return every.join(sizes, "segment", "left_semi").select("id", "segment", "question", "targets")
 
 
 def page_hinkley(values: list[float], delta: float = 0.005, threshold: float = 5.0, least: int = 30) -> list[int]:

@@ -68,10 +68,12 @@ def evidence_pool(s, d):
     return longs(B.evidence_pool(seen.drop("rank")).select("query_id", "node_id", "score", "rank"), "rank")
 
 
-@register("upload_route", """SELECT doc_id, CASE WHEN n_chars <= 2000 THEN 'whole' WHEN lang = 'en' THEN 'overview' WHEN n_chars <= 8000 THEN 'index' ELSE 'index+parts' END AS route FROM documents""")
+@register("upload_route", """SELECT doc_id, CASE WHEN n_chars > 2000 AND lang = 'en' AND source <> 'src3' THEN 'overview' WHEN n_chars <= 2000 AND source <> 'src3' THEN 'whole' WHEN source = 'src4' THEN 'parts' WHEN source <> 'src3' AND NOT n_chars < 8000 THEN 'index+parts' ELSE 'index' END AS route FROM documents""")
 def upload_route(s, d):
+    """Source 3 is only searched, source 4 always read whole; fragments answer questions about texts of under 8,000 characters."""
     question = F.when(F.col("lang") == "en", "Give me an overview").otherwise("what is the value")
-    return read(s, d, "documents").select("doc_id", B.upload_route(question, F.col("n_chars"), 2000).alias("route"))
+    mode = F.when(F.col("source") == "src3", "index").when(F.col("source") == "src4", "whole").otherwise("self_route")
+    return read(s, d, "documents").select("doc_id", B.upload_route(question, F.col("n_chars"), 2000, F.col("n_chars") < 8000, mode).alias("route"))
 
 
 @register("page_fragments", f"""WITH {NODES}, {HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY file_path, page ORDER BY ord) AS k FROM n), v AS (SELECT query_id, file_path, page, min(rank) AS rank FROM h JOIN n USING (node_id) WHERE rank <= 3 GROUP BY ALL)

@@ -10,6 +10,7 @@ from ..operators import code as A
 from ..operators import evaluation as E
 from ..operators import grounding as G
 from ..operators import monitoring as M
+from ..operators import policy as P
 from ..operators import ranking as R
 from ..operators import web as W
 from .engine import HITS, NODES, hits, longs, nodes
@@ -136,17 +137,31 @@ def name_candidates(s, d):
     return longs(out, "rank")
 
 
-@register("canaries", f"""WITH {NAMES}, c AS (SELECT 'def:' || file_path || ':' || name AS id, 'py:def:root' AS segment, 'Где определена функция ' || name || '?' AS question, count(*) AS n_targets FROM s WHERE name[1] <> '_' GROUP BY file_path, name
-UNION ALL SELECT 'call:root:' || name, 'py:call:root', 'Где вызывается ' || name || '?', count(*) FROM k WHERE name IN (SELECT name FROM s WHERE name[1] <> '_') GROUP BY name
-UNION ALL SELECT 'section:' || source || ':' || lang, 'doc:section:root', 'Что написано в разделе «' || lang || '»?', 1 FROM (SELECT DISTINCT source, lang FROM documents WHERE lang IS NOT NULL)
-UNION ALL SELECT 'text:' || source || ':' || doc_id, 'text:root', 'Где встречается фраза «' || left(text, 20) || '»?', 1 FROM documents WHERE doc_id < 3)
+@register("canaries", f"""WITH {NAMES}, y AS (SELECT name, name || '.q' AS qualname, CASE WHEN length(name) % 3 = 0 THEN 'class' WHEN length(name) % 3 = 1 THEN 'method' ELSE 'function' END AS kind, file_path || '.py' AS file_path, line_start, line_end FROM s),
+z AS (SELECT name, CASE WHEN line % 2 = 0 THEN file_path || '.ipynb' ELSE 'pkg/' || file_path || '.py' END AS file_path, line, CASE WHEN line % 2 = 0 THEN line END AS cell FROM k),
+n AS (SELECT doc_id AS node_id, source || CASE doc_id % 3 WHEN 0 THEN '.ipynb' WHEN 1 THEN '.pdf' ELSE '.txt' END AS file_path, CASE doc_id % 3 WHEN 0 THEN 'markdown_cell' ELSE 'section' END AS node_type, CASE doc_id % 3 WHEN 0 THEN '# ' || left(text, 12) ELSE text END AS text, CASE doc_id % 3 WHEN 0 THEN doc_id END AS cell, 'Part > ' || lang || ' section' AS section, n_chars > 60 AS embed FROM documents),
+e AS (SELECT * FROM n WHERE embed), h AS (SELECT *, trim(regexp_replace(regexp_extract(text, '(#[^\\n]*)', 1), '^#+', '')) AS heading FROM e WHERE node_type = 'markdown_cell' AND cell > 0),
+r AS (SELECT * FROM e WHERE NOT (node_type = 'markdown_cell' AND coalesce(cell, 0) > 0)), w AS (SELECT node_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.,%=-]+') AS w FROM r WHERE file_path LIKE '%.txt'),
+c AS (SELECT 'def:' || file_path || ':' || qualname AS id, 'py:def:root' AS segment, CASE kind WHEN 'class' THEN 'Где определён класс ' || name || '?' WHEN 'method' THEN 'Где определён метод ' || qualname || '?' ELSE 'Где определена функция ' || name || '?' END AS question, 1 AS n_targets FROM y WHERE name[1] <> '_'
+UNION ALL SELECT 'call:pkg:' || name, 'py:call:pkg', 'Где вызывается ' || name || '?', count(*) FROM z WHERE file_path LIKE '%.py' AND name IN (SELECT name FROM y WHERE name[1] <> '_') GROUP BY name
+UNION ALL SELECT 'nbcall:' || name, 'ipynb:call', 'В каких ноутбуках используется ' || name || '?', count(*) FROM z WHERE cell IS NOT NULL AND name IN (SELECT name FROM y WHERE name[1] <> '_') GROUP BY name
+UNION ALL SELECT 'nbsec:' || node_id, 'ipynb:section', 'О чём раздел «' || heading || '» ноутбука ' || replace(file_path, '.ipynb', '') || '?', 3 FROM h WHERE length(heading) >= 4
+UNION ALL SELECT DISTINCT 'sec:' || file_path || ':' || split_part(section, ' > ', -1), 'doc', 'Что написано в разделе «' || split_part(section, ' > ', -1) || '»?', 1 FROM r WHERE file_path LIKE '%.pdf' AND section IS NOT NULL
+UNION ALL SELECT 'text:' || node_id, 'text', 'Где в моих файлах написано «' || array_to_string(w[5:14], ' ') || '»?', 1 FROM w WHERE len(w) >= 12)
 SELECT id, segment, question, n_targets FROM (SELECT *, count(*) OVER (PARTITION BY segment) AS n FROM c) WHERE n >= 4""")
 def canaries(s, d):
-    docs = read(s, d, "documents")
-    one = F.lit(1).alias("line_start"), F.lit(2).alias("line_end")
-    sections = docs.filter("lang is not null").select(F.col("source").alias("file_path"), F.col("lang").alias("section")).distinct().select("*", *one)
-    phrases = docs.filter("doc_id < 3").select(F.col("source").alias("file_path"), F.col("doc_id").alias("line_start"), F.col("doc_id").alias("line_end"), F.left("text", F.lit(20)).alias("phrase"))
-    out = M.build_canaries(symbols(s, d).withColumn("kind", F.lit("function")), calls(s, d), sections, phrases)
+    """Symbols stand in modules, calls in modules and notebooks; documents are notebook cells, sections of .pdf files and .txt fragments in turn."""
+    length, i, text = F.length("name") % 3, F.col("doc_id"), lambda x: F.lit(x)
+    kind = F.when(length == 0, "class").when(length == 1, "method").otherwise("function")
+    defined = symbols(s, d).select("name", F.concat("name", text(".q")).alias("qualname"), kind.alias("kind"), F.concat("file_path", text(".py")).alias("file_path"), "line_start", "line_end")
+    even = F.col("line") % 2 == 0
+    used = calls(s, d).select("name", F.when(even, F.concat("file_path", text(".ipynb"))).otherwise(F.concat(text("pkg/"), "file_path", text(".py"))).alias("file_path"), "line", F.when(even, F.col("line")).alias("cell"))
+    third = lambda a, b, c: F.when(i % 3 == 0, a).when(i % 3 == 1, b).otherwise(c)
+    shown = read(s, d, "documents").select(
+        i.alias("node_id"), F.concat("source", third(".ipynb", ".pdf", ".txt")).alias("file_path"), third("markdown_cell", "section", "section").alias("node_type"),
+        F.when(i % 3 == 0, F.concat(text("# "), F.left("text", text(12)))).otherwise(F.col("text")).alias("text"), F.when(i % 3 == 0, i).cast("int").alias("cell"), F.concat(text("Part > "), "lang", text(" section")).alias("section"), (F.col("n_chars") > 60).alias("embed"),
+    )
+    out = M.build_canaries(defined, used, shown)
     return out.select("id", "segment", "question", F.size("targets").cast("long").alias("n_targets"))
 
 
@@ -158,30 +173,9 @@ def quoted_numbers(s, d):
     return rows.select("doc_id", F.explode(S.missing_numbers(F.col("text"), F.col("pool"))).alias("number"))
 
 
-@register("run_labels", """WITH t AS (SELECT conv_id AS run_id, turn AS step, CASE role WHEN 'user' THEN 2 WHEN 'assistant' THEN 1 ELSE 0 END AS trust, 'u' || (turn % 3) AS u FROM conversations)
-SELECT run_id, step, min(trust) OVER w AS lowest, array_to_string(list_sort(list_distinct(list(u) OVER w)), ',') AS known FROM t WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING)""")
-def run_labels(s, d):
-    trust = F.when(F.col("role") == "user", "trusted").when(F.col("role") == "assistant", "private").otherwise("untrusted")
-    url = F.array(F.concat(F.lit("u"), (F.col("turn") % 3).cast("string")))
-    steps = read(s, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), trust.alias("trust"), url.alias("urls"), url.alias("private_tokens"))
-    return G.observe(steps).select("run_id", "step", "lowest", F.array_join("known_urls", ",").alias("known"))
-
-
-@register("policy_verdicts", """WITH c AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'web_search' WHEN 1 THEN 'fetch_page' WHEN 2 THEN 'run_code' ELSE 'read_file' END AS tool, event_type AS url, user_id % 3 AS lowest, ['view', 'w' || (user_id % 5)] AS q FROM events),
-l AS (SELECT *, len(list_filter(q, lambda t: list_contains(['w0', 'w1', 'view'], t) AND NOT list_contains(['view', 'w1'], t))) > 0 AS leaked FROM c)
-SELECT event_id, CASE WHEN tool IN ('web_search', 'fetch_page') AND leaked THEN 'deny' WHEN tool = 'fetch_page' AND url NOT IN ('click', 'view') THEN 'deny' WHEN tool = 'run_code' AND lowest = 0 THEN 'confirm' ELSE 'allow' END AS verdict FROM l""")
-def policy_verdicts(s, d):
-    i = F.col("event_id")
-    tool = F.when(i % 4 == 0, "web_search").when(i % 4 == 1, "fetch_page").when(i % 4 == 2, "run_code").otherwise("read_file")
-    words = lambda *x: F.array(*map(F.lit, x))
-    asked = F.array(F.lit("view"), F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string")))
-    verdict = G.policy_verdict(tool, F.col("event_type"), asked, words("click", "view"), words("w0", "w1", "view"), words("view", "w1"), F.col("user_id") % 3)
-    return read(s, d, "events").select("event_id", verdict.alias("verdict"))
-
-
-@register("private_entities", f"""WITH {NAMES} SELECT DISTINCT lower(regexp_replace(c_name, '\\.[^.]*$', '')) AS name FROM customer WHERE length(c_name) >= 6 AND regexp_matches(c_name, '[_0-9-]') UNION SELECT DISTINCT name FROM s WHERE length(name) >= 6 AND contains(name, '_')""")
+@register("private_entities", f"""WITH {NAMES} SELECT DISTINCT regexp_replace(c_name, '\\.[^.]*$', '') AS name FROM customer WHERE length(c_name) >= 6 AND regexp_matches(c_name, '[_0-9-]') UNION SELECT DISTINCT name FROM s WHERE length(name) >= 6 AND contains(name, '_')""")
 def private_entities(s, d):
-    return G.private_entities(read(s, d, "customer").select(F.col("c_name").alias("path")), symbols(s, d))
+    return P.private_entities(read(s, d, "customer").select(F.col("c_name").alias("path")), symbols(s, d))
 
 
 @register("corpus_mentions", f"""WITH {NAMES}, w AS (SELECT conv_id * 1000 + turn AS query_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))) AS name FROM conversations)
@@ -194,14 +188,6 @@ def corpus_mentions(s, d):
     return G.corpus_mentions(questions, known.select("name").limit(0), lower.unionByName(classes))
 
 
-@register("exact_matches", f"""WITH {NODES}, w AS (SELECT file_path, ord, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_.\\-]*[\\p{{L}}\\p{{N}}_]'))) AS w FROM n), q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS w FROM benchmark WHERE item_id < 5),
-f AS (SELECT * FROM w WHERE w IN (SELECT w FROM q)), z AS (SELECT file_path, greatest(1, floor(count(*) * 0.2)) AS most FROM n GROUP BY 1), k AS (SELECT file_path, w FROM f JOIN z USING (file_path) GROUP BY file_path, w, most HAVING count(DISTINCT ord) <= most),
-g AS (SELECT file_path, ord, count(*) AS n_keys FROM f JOIN k USING (file_path, w) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY n_keys DESC, ord) AS rank FROM g) SELECT file_path AS file, ord, n_keys, rank FROM r WHERE rank <= 8""")
-def exact_matches(s, d):
-    keys = read(s, d, "benchmark").filter("item_id < 5").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("key"))
-    return longs(G.exact_matches(nodes(s, d).withColumnRenamed("file_path", "file"), keys), "rank")
-
-
 @register("grounded_values", """SELECT item_id, CAST(cell AS BIGINT) AS cell FROM (SELECT o_orderkey AS item_id, o_orderkey % 3 AS cell FROM orders WHERE o_orderkey % 7 <> 0)""")
 def grounded_values(s, d):
     """Values are shown in the cell after the one that is cited, unless the key divides by seven: then nowhere."""

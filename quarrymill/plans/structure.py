@@ -11,27 +11,60 @@ from ..sources import files as X
 from .engine import HITS, NODES, hits, longs, nodes
 from .registry import read, register
 
-#: Conversations read as documents: system turns are headings, every fourth turn is a figure.
-ITEMS = """i AS (SELECT conv_id AS doc_id, turn AS ord, CASE WHEN turn % 4 = 3 THEN 'figure' WHEN (conv_id + turn) % 3 = 0 THEN 'heading' ELSE 'text' END AS kind, 1 + CAST(turn % 2 AS INT) AS level, left(text, 12) AS text FROM conversations),
-l AS (SELECT *, count(*) FILTER (kind = 'heading') OVER (PARTITION BY doc_id ORDER BY ord) AS run, max(CASE WHEN kind = 'heading' AND level = 1 THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS p1, max(CASE WHEN kind = 'heading' AND level = 2 THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS p2 FROM i),
-c AS (SELECT doc_id, run, concat_ws(' > ', (SELECT trim(text) FROM i x WHERE x.doc_id = l.doc_id AND x.ord = p1), CASE WHEN p2 > coalesce(p1, -1) THEN (SELECT trim(text) FROM i x WHERE x.doc_id = l.doc_id AND x.ord = p2) END) AS section, ord, text FROM l WHERE kind = 'text' AND trim(text) <> ''),
-g AS (SELECT doc_id, run, section, min(ord) AS first, max(ord) AS last, string_agg(text, chr(10) ORDER BY ord) AS text FROM c GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS chunk FROM g)"""
+#: Conversations read as documents: every fourth turn is a figure, each third turn on is a heading. Pages read as documents: their tags give the kinds.
+CONVERSED = """i AS (SELECT conv_id AS doc_id, turn AS ord, CASE WHEN turn % 4 = 3 THEN 'figure' WHEN (conv_id + turn) % 3 = 0 THEN 'heading' ELSE 'text' END AS kind, 1 + CAST(turn % 2 AS INT) AS level, left(text, 40) AS text FROM conversations)"""
+TAGGED = """t AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<(h1|b|p|li|div|footer)[^>]*>([^<]*)', 1)) AS tag, unnest(regexp_extract_all(html, '<(h1|b|p|li|div|footer)[^>]*>([^<]*)', 2)) AS text, unnest(range(1, len(regexp_extract_all(html, '<(h1|b|p|li|div|footer)[^>]*>([^<]*)')) + 1)) AS ord FROM pages),
+i AS (SELECT doc_id, ord, CASE tag WHEN 'h1' THEN 'title' WHEN 'b' THEN 'heading' WHEN 'li' THEN 'list_item' WHEN 'div' THEN 'figure' WHEN 'footer' THEN 'page_header' ELSE 'text' END AS kind, 1 AS level, left(text, 60) AS text, CAST(1 + ord // 5 AS INT) AS page FROM t)"""
+#: An item after the other: the stack of open headings, the number of the open chunk and its size; limit 100.
+FOLDED = """n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS pos, trim(text) AS bare, kind IN ('title', 'heading') AND trim(text) <> '' AS head,
+  CASE WHEN kind IN ('title', 'heading', 'text') AND trim(text) <> '' THEN trim(text) WHEN kind = 'list_item' AND trim(text) <> '' THEN '- ' || trim(text) END AS body FROM i),
+r AS (SELECT DISTINCT doc_id, 0::BIGINT AS pos, 0::BIGINT AS chunk, 0::BIGINT AS size, []::STRUCT(l INT, t VARCHAR)[] AS stack FROM i
+  UNION ALL SELECT n.doc_id, n.pos, CASE WHEN n.body IS NULL THEN r.chunk WHEN n.head OR r.chunk = 0 OR r.size + length(n.body) > 100 THEN r.chunk + 1 ELSE r.chunk END,
+  CASE WHEN n.body IS NULL THEN r.size WHEN n.head OR r.chunk = 0 OR r.size + length(n.body) > 100 THEN length(n.body) ELSE r.size + length(n.body) END,
+  CASE WHEN n.head THEN list_append(list_filter(r.stack, lambda x: x.l < CASE n.kind WHEN 'title' THEN 0 ELSE n.level END), {'l': CASE n.kind WHEN 'title' THEN 0 ELSE n.level END, 't': n.bare}) ELSE r.stack END
+  FROM r JOIN n ON n.doc_id = r.doc_id AND n.pos = r.pos + 1),
+f AS (SELECT n.*, r.chunk, nullif(array_to_string(list_transform(r.stack, lambda x: x.t), ' > '), '') AS section, CASE WHEN len(r.stack) > 0 THEN r.stack[-1].t ELSE 'text' END AS inner_title FROM n JOIN r ON n.doc_id = r.doc_id AND n.pos = r.pos)"""
 
 
 def items(s, d):
     t, c = F.col("turn"), F.col("conv_id")
     kind = F.when(t % 4 == 3, "figure").when((c + t) % 3 == 0, "heading").otherwise("text")
-    return read(s, d, "conversations").select(c.alias("doc_id"), t.alias("ord"), kind.alias("kind"), (1 + t % 2).cast("int").alias("level"), F.left("text", F.lit(12)).alias("text"))
+    return read(s, d, "conversations").select(c.alias("doc_id"), t.alias("ord"), kind.alias("kind"), (1 + t % 2).cast("int").alias("level"), F.left("text", F.lit(40)).alias("text"))
 
 
-@register("document_sections", f"WITH {ITEMS} SELECT doc_id, chunk, section, first, last, text FROM k")
+def page_items(s, d):
+    of = lambda i: F.regexp_extract_all("html", F.lit("<(h1|b|p|li|div|footer)[^>]*>([^<]*)"), F.lit(i))
+    rows = read(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.arrays_zip(of(1).alias("tag"), of(2).alias("text"))).alias("p", "x"))
+    kinds = F.create_map(*(F.lit(x) for kv in {"h1": "title", "b": "heading", "li": "list_item", "div": "figure", "footer": "page_header", "p": "text"}.items() for x in kv))
+    ord_ = F.col("p") + 1
+    return rows.select("doc_id", ord_.cast("long").alias("ord"), kinds[F.col("x.tag")].alias("kind"), F.lit(1).alias("level"), F.left("x.text", F.lit(60)).alias("text"), F.when(F.col("x.tag") == "div", F.left("x.text", F.lit(60))).alias("caption"), (1 + F.floor(ord_ / 5)).cast("int").alias("page"))
+
+
+@register("document_sections", f"""WITH RECURSIVE {CONVERSED}, {FOLDED}
+SELECT doc_id, chunk, arg_max(section, ord) AS section, string_agg(body, chr(10) ORDER BY ord) AS text, min(ord) AS first, max(ord) AS last FROM f WHERE body IS NOT NULL GROUP BY 1, 2""")
 def document_sections(s, d):
-    return longs(D.document_sections(items(s, d)), "chunk")
+    return longs(D.document_sections(items(s, d), 100), "chunk").select("doc_id", "chunk", "section", "text", "first", "last")
 
 
-@register("figure_edges", f"WITH {ITEMS} SELECT doc_id, ord AS figure, chunk FROM (SELECT i.doc_id, i.ord, (SELECT arg_min(chunk, last) FROM k WHERE k.doc_id = i.doc_id AND k.last > i.ord) AS chunk FROM i WHERE kind = 'figure') WHERE chunk IS NOT NULL")
+@register("figure_edges", f"""WITH RECURSIVE {CONVERSED}, {FOLDED}, m AS (SELECT doc_id, max(chunk) AS most FROM f GROUP BY 1)
+SELECT doc_id, ord AS figure, greatest(chunk, 1) AS chunk FROM f JOIN m USING (doc_id) WHERE kind = 'figure' AND most > 0""")
 def figure_edges(s, d):
-    return longs(D.figure_edges(items(s, d), D.document_sections(items(s, d))), "chunk")
+    return longs(D.figure_edges(items(s, d), D.chunk_rows(items(s, d), 100)), "chunk")
+
+
+@register("document_nodes", f"""WITH RECURSIVE {TAGGED}, {FOLDED}
+SELECT doc_id, 's' || chunk AS id, 'section' AS node_type, arg_max(section, ord) AS section, arg_max(inner_title, ord) AS title, string_agg(body, chr(10) ORDER BY ord) AS text, min(page) AS page, max(page) AS page_end, true AS embed FROM f WHERE body IS NOT NULL GROUP BY doc_id, chunk
+UNION ALL SELECT doc_id, 'fig' || row_number() OVER (PARTITION BY doc_id ORDER BY ord), 'figure', section, CASE bare WHEN '' THEN 'figure ' || row_number() OVER (PARTITION BY doc_id ORDER BY ord) ELSE bare END, bare, page, page, bare <> '' FROM f WHERE kind = 'figure'""")
+def document_nodes(s, d):
+    return D.document_nodes(page_items(s, d), 100)
+
+
+@register("document_files", f"""WITH RECURSIVE {TAGGED}, {FOLDED}
+SELECT doc_id, coalesce(arg_max(bare, ord) FILTER (kind = 'title' AND bare <> ''), arg_min(inner_title, ord) FILTER (body IS NOT NULL AND inner_title <> 'text'), '') AS title, count(DISTINCT chunk) FILTER (body IS NOT NULL) AS n_sections, 0::BIGINT AS n_tables,
+count(*) FILTER (kind = 'figure') AS n_figures, coalesce(list_sort(list(DISTINCT bare) FILTER (kind = 'page_header' AND bare <> ''))[:5], []) AS page_headers FROM f GROUP BY 1""")
+def document_files(s, d):
+    rows = page_items(s, d)
+    return D.document_files(rows, D.document_nodes(rows, 100))
 
 
 @register("markdown_sections", """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents WHERE text IS NOT NULL),

@@ -58,10 +58,10 @@ def _sql(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-@register("text_classify", f"""WITH t AS (SELECT doc_id, list_slice(list_filter({LINES}, lambda s: trim(s, ' ') <> ''), 1, 500) AS sm FROM documents WHERE text IS NOT NULL),
-m AS (SELECT doc_id, sm, {', '.join(f"list_filter(list_transform(sm, lambda s: length(s) - length(replace(s, {c}, ''))), lambda c: c > 0) AS c{i}" for i, c in enumerate(("chr(9)", "';'", "'|'", "','")))} FROM t),
-b AS (SELECT doc_id, sm, greatest({', '.join(f"coalesce(list_max(list_transform(list_distinct(c{i}), lambda c: len(list_filter(c{i}, lambda x: x = c)))), 0)" for i in range(4))}) / greatest(len(sm), 1) AS tab FROM m)
-SELECT doc_id, CASE WHEN len(sm) = 0 THEN 'prose' WHEN {_share(_sql(K.LOG_LINE))} >= 0.3 THEN 'log' WHEN len(sm) >= 3 AND tab >= 0.8 THEN 'table'
+@register("text_classify", f"""WITH t AS (SELECT doc_id, list_slice(list_filter({LINES}, lambda s: regexp_matches(s, '[^ \\t\\n\\x0B\\f\\r]')), 1, 500) AS sm FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, sm, {', '.join(f"list_filter(list_transform(sm[:200], lambda s: length(s) - length(replace(s, {c}, ''))), lambda c: c > 0) AS c{i}" for i, c in enumerate(("chr(9)", "';'", "'|'", "','")))} FROM t),
+b AS (SELECT doc_id, sm, greatest({', '.join(f"coalesce(list_max(list_transform(list_distinct(c{i}), lambda c: len(list_filter(c{i}, lambda x: x = c)))), 0)" for i in range(4))}) / greatest(len(sm[:200]), 1) AS tab FROM m)
+SELECT doc_id, CASE WHEN len(sm) = 0 THEN 'prose' WHEN len(list_filter(sm, lambda s: regexp_matches(s, '{_sql(K.TIME_LINE)}') OR (regexp_matches(s, '{_sql(K.STEP)}') AND regexp_matches(s, '{_sql(K.METRIC)}')))) / len(sm) >= 0.3 THEN 'log' WHEN len(sm) >= 3 AND tab >= 0.8 THEN 'table'
 WHEN len(list_filter(sm, lambda s: regexp_matches(s, '{_sql(K.HEADING_LINE)}'))) > 0 OR {_share(_sql(K.MARK_LINE))} >= 0.2 THEN 'markdown' WHEN {_share(_sql(K.CODE_LINE))} >= 0.25 THEN 'code' ELSE 'prose' END AS kind FROM b""")
 def text_classify(s, d):
     return read(s, d, "documents").filter("text is not null").select("doc_id", K.classify(F.col("text")).alias("kind"))
@@ -121,16 +121,17 @@ def code_like_tokens(s, d):
     return t.filter(S.code_like(F.col("token")))
 
 
-@register("distinctive_tokens", """SELECT doc_id, token FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token FROM documents)
-WHERE (regexp_matches(token, '^[0-9]{4,}$') AND NOT regexp_matches(token, '^(19[0-9][0-9]|20[0-9][0-9]|2100)$')) OR (NOT regexp_matches(token, '^[0-9]+$') AND regexp_matches(token, '_|\\p{Nd}|^.+\\p{Lu}') AND length(token) >= 4)""")
-def distinctive_tokens(s, d):
-    return read(s, d, "documents").select("doc_id", F.explode(S.distinctive_tokens(F.col("text"))).alias("token"))
+def _plain(pattern: str) -> str:
+    """A secret's pattern for a dialect without look-around: what may not come next is tested on the value, what may not come before is matched."""
+    out = pattern.replace(r"(?!<|\$\{|changeme|example|dummy|test|xxx)", "").replace(r"(?<![\w.])", r"(^|[^\w.])")
+    return _sql(out)
 
 
-@register("secret_scan", f"""WITH l AS (SELECT doc_id, unnest({LINES}) AS line, unnest(range(1, len({LINES}) + 1)) AS line_no FROM documents),
-p AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{_sql(v)}')" for k, v in X.SECRET_PATTERNS.items())}) t(kind, pattern)),
-h AS ({' UNION ALL '.join(f"SELECT doc_id, line_no, '{k}' AS kind, regexp_extract(line, '{_sql(v)}', 0) AS v FROM l" for k, v in X.SECRET_PATTERNS.items())})
-SELECT doc_id, line_no, kind, left(v, 4) || '****' AS masked FROM h WHERE v <> ''""")
+@register("secret_scan", f"""WITH l AS (SELECT doc_id, unnest(t) AS line, unnest(range(1, len(t) + 1)) AS line_no FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS t FROM documents)),
+k AS (SELECT * FROM l WHERE NOT contains(line, 'noqa: secret')),
+h AS ({' UNION ALL '.join(f"SELECT doc_id, line_no, '{k}' AS kind, unnest(regexp_extract_all(line, '{_plain(v)}', {int(k == 'assigned secret')})) AS v FROM k" for k, v in X.SECRET_PATTERNS.items())}
+UNION ALL SELECT DISTINCT doc_id, line_no, 'personal path', trim(u) FROM (SELECT doc_id, line_no, unnest(list_concat(list_concat({', '.join(f"regexp_extract_all(line, '{_plain(p)}', {i})" for p, i in zip(X.PERSONAL_PATHS[:2], (1, 2)))}), regexp_extract_all(line, '{_plain(X.PERSONAL_PATHS[2])}', 2))) AS u FROM k) WHERE lower(trim(u)) NOT IN ({', '.join(f"'{u}'" for u in X.GENERIC_USERS)}) AND regexp_full_match(trim(u), '[\\p{{L}}\\p{{N}}_.-]{{2,}}'))
+SELECT doc_id, line_no, kind, CASE WHEN length(v) > 6 THEN left(v, 4) || '…(' || length(v) || ' симв.)' ELSE '…' END AS masked FROM h WHERE v <> '' AND NOT (kind = 'assigned secret' AND regexp_matches(v, '(?i)^(<|\\$\\{{|changeme|example|dummy|test|xxx)'))""")
 def secret_scan(s, d):
     return X.scan_secrets(read(s, d, "documents")).withColumn("line_no", F.col("line_no").cast("long"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.merge_table import MergeTable
+
 
 def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", slide: str | None = None, by: tuple[str, ...] = ("event_type",), late: str = "10 minutes") -> DataFrame:
     """Counts and sums per event-time window; late rows within the watermark still count. Works on batches and streams."""
@@ -55,19 +57,20 @@ def page_hinkley_stream(events: DataFrame, key: str, step: str, value: str, delt
     return events.select(key, step, value).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {step} {kinds[step]}", "n long, mean double, cum double, low double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_files(stream: DataFrame, table, key: str = "path", checkpoint: str | None = None, version: str | None = None):
-    """Each micro-batch replaces the rows of its files in a GenerationTable (SNK-01 as a stream).
+def upsert_files(stream: DataFrame, table: MergeTable, checkpoint: str | None = None, version: str | None = None, gone: str | None = None):
+    """Each micro-batch replaces the rows of its files in a MergeTable (SNK-01 as a stream); it writes its own rows and no others.
 
-    With `version`, only the rows of a file's latest version in the batch count. A failed read
-    fails the batch, which is tried again; only a table without any generation is empty.
+    With `version`, only the rows of a file's latest version in the batch count. Rows for which the
+    condition `gone` holds take their file away. A batch that fails is tried again under its number, and
+    is applied once.
     """
-    from ..operators.catalog import replace_files
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         if version:
-            newest = batch.groupBy(key).agg(F.max(version).alias("_newest"))
-            batch = batch.join(newest, key).filter(F.col(version) == F.col("_newest")).drop("_newest")
-        table.replace(replace_files(table.read(), batch, key) if table.exists() else batch)
+            newest = batch.groupBy(table.key).agg(F.max(version).alias("_newest"))
+            batch = batch.join(newest, table.key).filter(F.col(version) == F.col("_newest")).drop("_newest")
+        left = F.coalesce(F.expr(gone), F.lit(False)) if gone else F.lit(False)
+        table.replace(batch.filter(~left), batch.filter(left) if gone else None, batch=f"{checkpoint}:{number}" if checkpoint else None)
 
     w = stream.writeStream.foreachBatch(apply)
     return (w.option("checkpointLocation", checkpoint) if checkpoint else w).trigger(availableNow=True).start()

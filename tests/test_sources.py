@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.sources import files as X
 from quarrymill.sources import sinks
+from quarrymill.sources.merge_table import MergeTable
 from quarrymill.streaming import incremental as I
 
 
@@ -38,12 +39,6 @@ def test_docx(spark):
     assert {r.path: r.t for r in df.select("path", X.detect_type(F.col("content")).alias("t")).collect()} == {"d.docx": ".docx", "bad": None}
 
 
-def test_secret_lines(spark):
-    df = spark.createDataFrame([(1, "ok\npassword = abcdefghijklmnop1\n")], "doc_id long, text string")
-    rows = X.scan_secrets(df).collect()
-    assert [(r.line_no, r.kind, r.masked) for r in rows] == [(2, "assigned", "pass****")]
-
-
 def test_generations(spark, tmp_path):
     t = sinks.GenerationTable(spark, str(tmp_path / "t"))
     t.replace(spark.range(3))
@@ -70,8 +65,16 @@ def test_streams(spark, tmp_path):
 
 
 def test_upsert_stream(spark, tmp_path):
-    table = sinks.GenerationTable(spark, str(tmp_path / "t"))
-    spark.createDataFrame([("a", 1), ("b", 1)], "path string, v int").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("path string, v int").parquet(str(tmp_path / "in"))
-    I.upsert_files(stream, table, checkpoint=str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted(map(tuple, table.read().collect())) == [("a", 1), ("b", 1)]
+    (tmp_path / "in").mkdir()
+    table = MergeTable(spark, str(tmp_path / "t"))
+    read = lambda: sorted(map(tuple, table.read().collect()))
+    stream = spark.readStream.schema("path string, v int, version int").parquet(str(tmp_path / "in"))
+
+    def feed(*rows):
+        spark.createDataFrame(list(rows), "path string, v int, version int").write.mode("append").parquet(str(tmp_path / "in"))
+        I.upsert_files(stream, table, checkpoint=str(tmp_path / "cp"), version="version", gone="v < 0").awaitTermination(90)
+
+    feed(("a", 1, 1), ("a", 2, 2), ("b", 1, 1))
+    assert read() == [("a", 2, 2), ("b", 1, 1)]
+    feed(("b", -1, 2), ("c", 5, 1))
+    assert read() == [("a", 2, 2), ("c", 5, 1)]
