@@ -31,7 +31,7 @@ def exact_search(s, d):
 
 
 @register("exact_matches", f"""WITH {NODES}, q AS (SELECT DISTINCT source AS file_path, lower(w) AS key FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) AS w FROM documents WHERE doc_id % 50 = 0)),
-f AS (SELECT file_path, ord, key FROM n JOIN q USING (file_path) WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || key || '($|[^\\p{{L}}\\p{{N}}_])')), z AS (SELECT file_path, greatest(1, floor(count(*) * 0.2)) AS most FROM n GROUP BY 1),
+w AS (SELECT file_path, ord, unnest(list_distinct(regexp_extract_all(lower(text), '{WORDS}+'))) AS key FROM n), f AS (SELECT file_path, ord, key FROM w JOIN q USING (file_path, key)), z AS (SELECT file_path, greatest(1, floor(count(*) * 0.2)) AS most FROM n GROUP BY 1),
 k AS (SELECT file_path, key FROM f JOIN z USING (file_path) GROUP BY file_path, key, most HAVING count(DISTINCT ord) <= most), g AS (SELECT file_path, ord, count(*) AS n_keys FROM f JOIN k USING (file_path, key) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY n_keys DESC, ord) AS rank FROM g) SELECT file_path AS file, ord, n_keys, rank FROM r WHERE rank <= 8""")
 def exact_matches(s, d):
