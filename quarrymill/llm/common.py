@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Executors get this code with each task, so that a cluster needs no installed copy of it.
@@ -140,8 +140,8 @@ def labelled_texts(docs: DataFrame, sample: DataFrame, max_chars: int) -> DataFr
     """(_id, text, label, ...) of the sampled ids, written; the sample is bounded, so it may be broadcast.
 
     An id on several rows counts once, with the text whose hash is smallest. Texts are taken in
-    the order of a hash of their ids while they make at most `max_chars` together, so that the
-    bytes are bounded too; each is taken whole or not at all.
+    the order of a hash of their ids, each that still fits into `max_chars` beside those taken before,
+    so that the bytes are bounded too; one that does not fit is passed over and keeps no other out.
     """
     text = F.coalesce("text", F.lit(""))
     one = docs.select(F.col("doc_id").alias("_id"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(sample.select("_id")), "_id")
@@ -149,9 +149,12 @@ def labelled_texts(docs: DataFrame, sample: DataFrame, max_chars: int) -> DataFr
     one = spread(materialize(one.select("_id", "text", *(c for c in sample.columns if c != "_id")), "labelled"))
     if (one.agg(F.sum(F.length("text"))).first()[0] or 0) <= max_chars:
         return one
-    order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
-    fit = one.select("_id", F.length("text").alias("n")).withColumn("n", F.sum("n").over(order)).filter(F.col("n") <= max_chars)
-    return one.join(F.broadcast(fit.select("_id")), "_id")
+    kept, left = [], max_chars
+    for r in one.select("_id", F.length("text").alias("n")).orderBy(F.xxhash64("_id"), "_id").collect():  # a row for each of the bounded sample
+        if r["n"] <= left:
+            kept.append((r["_id"],))
+            left -= r["n"]
+    return one.join(F.broadcast(docs.sparkSession.createDataFrame(kept, one.select("_id").schema)), "_id")
 
 
 def share(spark: SparkSession, model):

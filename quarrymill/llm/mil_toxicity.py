@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_labels, in_split, labelled_texts, share, slices
 
-#: Labelled documents that a model is fitted on, at most; characters of their texts; features that get a weight.
-MAX_TRAIN_ROWS, MAX_TRAIN_CHARS, MAX_FEATURES = 8_000, 48_000_000, 200_000
+#: Labelled documents that a model is fitted on, at most, and characters of their texts.
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 8_000, 48_000_000
 #: Words and stems that fewer sampled documents contain get no weight.
 MIN_DOCS = 5
 #: Lengths of the prefixes that count as stems; a "*" marks them among the features.
@@ -90,7 +90,7 @@ class InstanceModel:
 
 
 def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) + 0.0  # of no sentence: 0, not -0
 
 
 def telling(a, b, n1, n0, least):
@@ -169,13 +169,14 @@ def count_features(rows: DataFrame) -> DataFrame:
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, held_out=None, label: str = "toxic") -> InstanceModel:
     """Fit on at most `max_rows` labelled documents outside `held_out`, half of each label where there are so many, and MAX_TRAIN_CHARS of their texts.
 
-    Features are counted and chosen where the texts are; only the ids of chosen ones reach the driver.
+    Features are counted and chosen where the texts are; only chosen ones reach the driver, all of
+    them: each is in MIN_DOCS of these texts at least, so that the bounds on rows and characters hold.
     """
     sample = bounded_labels(labels, label, max_rows, F.lit(False) if held_out is None else held_out, balanced=True)
     rows = labelled_texts(docs, sample, MAX_TRAIN_CHARS)
     n1, n0 = (max(1, n or 0) for n in rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first())
     told = count_features(rows).filter(telling(F.col("n1"), F.col("n0"), float(n1), float(n0), MIN_DOCS))
-    features = sorted(r["feature"] for r in told.orderBy(F.desc(F.col("n1") + F.col("n0")), "feature").limit(MAX_FEATURES).select("feature").collect())
+    features = sorted(r["feature"] for r in told.select("feature").collect())
     shared = share(docs.sparkSession, {x: i for i, x in enumerate(features)})
 
     def run(batches):

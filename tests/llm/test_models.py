@@ -298,3 +298,22 @@ def test_counted_rows_fit_as_repeated_rows():
     once, again = pii.aggregate_votes(v, count=n), pii.aggregate_votes(np.repeat(v, n, axis=0))
     assert np.allclose(once[0], again[0]) and np.allclose(np.repeat(once[2], n), again[2])
     assert np.allclose(pii.fit_classifier(x, once[2], n), pii.fit_classifier(np.repeat(x, n, axis=0), again[2], np.ones(n.sum())))
+
+
+@pytest.mark.parametrize("place", [0, 17, 49])
+def test_a_text_over_the_bound_keeps_no_other_out(spark, place):
+    from quarrymill.llm.common import labelled_texts
+
+    docs = spark.createDataFrame([(i, "x" * (600 if i == place else 10)) for i in range(50)], "doc_id long, text string")
+    sample = spark.createDataFrame([(i, i % 2) for i in range(50)], "_id long, label int")
+    assert {r["_id"] for r in labelled_texts(docs, sample, 550).collect()} == set(range(50)) - {place}
+    some = labelled_texts(docs, sample, 95).collect()
+    assert len(some) == 9 and place not in {r["_id"] for r in some}
+
+
+def test_no_sentence_scores_zero():
+    import math
+
+    from quarrymill.llm.mil_toxicity import noisy_or
+
+    assert math.copysign(1, noisy_or(np.zeros(0))) == 1
