@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import TABLE_FUNCTIONS
+
 ERROR_NAME = r"(?m)^([A-Za-z_][\w.]*(?:Error|Exception|Interrupt|Exit))\b"
 
 
@@ -88,7 +90,7 @@ class SQLRejected(ValueError):
 
 #: Plan nodes that only read (fixed values of the parser's own class names).
 _READS = frozenset(
-    "Project Filter Sort Aggregate Join Union Intersect Except Distinct Deduplicate SubqueryAlias UnresolvedRelation GlobalLimit LocalLimit Offset Limit UnresolvedWith With CTERelationDef CTERelationRef WithCTE UnresolvedHaving Window Generate UnresolvedInlineTable LocalRelation OneRowRelation LateralJoin Pivot UnresolvedPivot Tail Sample UnresolvedSubqueryColumnAliases UnionLoop UnionLoopRef UnresolvedOrdinal ParameterizedQuery WithWindowDefinition Expand Unpivot".split()
+    "Project Filter Sort Aggregate Join Union Intersect Except Distinct Deduplicate SubqueryAlias UnresolvedRelation GlobalLimit LocalLimit Offset Limit UnresolvedWith With CTERelationDef CTERelationRef WithCTE UnresolvedHaving Window Generate UnresolvedInlineTable LocalRelation OneRowRelation LateralJoin Pivot UnresolvedPivot Tail Sample UnresolvedSubqueryColumnAliases UnionLoop UnionLoopRef UnresolvedOrdinal UnresolvedTableValuedFunction FunctionTableSubqueryArgumentExpression ParameterizedQuery WithWindowDefinition Expand Unpivot".split()
 )
 _UNSAFE_FUNCTIONS = frozenset("reflect java_method try_reflect input_file_name read_files".split())
 
@@ -130,6 +132,10 @@ def validate_sql(spark: SparkSession, sql: str, tables: set[str], max_rows: int
             it = p.cteRelations().iterator()
             while it.hasNext():
                 ctes.add(it.next()._1().lower())
+        elif name == "UnresolvedTableValuedFunction":
+            function = p.name().mkString(".").lower()
+            if function not in TABLE_FUNCTIONS:
+                raise SQLRejected(f"table function {function} is not allowed")
         elif name == "UnresolvedRelation":
             used.add(p.tableName().replace("`", "").lower())
     unknown = used - ctes - allowed

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,49 +77,6 @@ def build_canaries(symbols: DataFrame, calls: DataFrame, nodes: DataFrame, least
     return every.join(sizes, "segment", "left_semi").select("id", "segment", "question", "targets")
 
 
-def page_hinkley(values: list[float], delta: float = 0.005, threshold: float = 5.0, least: int = 30) -> list[int]:
-    """Steps of alarm of the Page-Hinkley test for a rising mean; it starts anew after each (MON-05)."""
-    alarms, n, mean, cum, low = [], 0, 0.0, 0.0, 0.0
-    for t, x in enumerate(values):
-        n += 1
-        mean += (x - mean) / n
-        cum += x - mean - delta
-        low = min(low, cum)
-        if n >= least and cum - low > threshold:
-            alarms.append(t)
-            n, mean, cum, low = 0, 0.0, 0.0, 0.0
-    return alarms
-
-
-def ddm(errors: list[int], level: float = 3.0, least: int = 30) -> list[int]:
-    """Steps of alarm of the drift detection method on a series of errors; it starts anew after each (MON-05)."""
-    alarms, n, p, best_p, best_s = [], 0, 0.0, math.inf, math.inf
-    for t, e in enumerate(errors):
-        n += 1
-        p += (e - p) / n
-        s = math.sqrt(p * (1 - p) / n)
-        if n < least:
-            continue
-        if p + s < best_p + best_s:
-            best_p, best_s = p, s
-        if p + s > best_p + level * best_s:
-            alarms.append(t)
-            n, p, best_p, best_s = 0, 0.0, math.inf, math.inf
-    return alarms
-
-
-def detect(series: DataFrame, key: str, step: str, value: str, detector=page_hinkley) -> DataFrame:
-    """(key, step): alarms of a detector along each series; a series is one component's history."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step)
-        at = detector(pdf[value].tolist())
-        return pdf[[key, step]].iloc[at].astype({key: object})
-
-    kinds = dict(series.dtypes)
-    return series.select(key, step, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {step} {kinds[step]}")
-
-
 def benjamini_hochberg(p_values: DataFrame, by: list[str], p: str = "p", q: float = 0.05, tie: str = "series") -> DataFrame:
     """`discovered`: whether p is at or below the largest p_(k) <= k q / m of its window (MON-06)."""
     w = Window.partitionBy(*by)
@@ -129,19 +85,66 @@ def benjamini_hochberg(p_values: DataFrame, by: list[str], p: str = "p", q: floa
     return ranked.withColumn("discovered", (F.col("_k") <= F.col("_last")).cast("int")).drop("_k", "_m", "_last")
 
 
-def lord(p_values: list[float], q: float = 0.05, start: float = 0.5) -> list[bool]:
-    """LORD++: online control with wealth regained at each discovery (MON-06)."""
-    raw = [math.log(max(j, 2)) / (j * math.exp(math.sqrt(math.log(j)))) for j in range(1, len(p_values) + 1)]
-    scale = sum(math.log(max(j, 2)) / (j * math.exp(math.sqrt(math.log(j)))) for j in range(1, 10_001))
-    gamma, w0, found, out = [g / scale for g in raw], start * q, [], []
-    for t, p in enumerate(p_values, 1):
-        level = gamma[t - 1] * w0
-        if found:
-            level += (q - w0) * gamma[t - found[0] - 1] + q * sum(gamma[t - f - 1] for f in found[1:])
-        out.append(p <= level)
-        if out[-1]:
-            found.append(t)
-    return out
+#: Steps of a series' reference and of a window; resamples of the reference (fixed values but for the last).
+REFERENCE, WINDOW, RESAMPLES = 300, 100, 199
+
+
+def calibrated(series: DataFrame, key: str, step: str, value: str, reference: int = REFERENCE, window: int = WINDOW, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """(key, window, mean, p) of each whole window after the reference, whose steps are numbered from 0 in the order of `step` (MON-06).
+
+    The null distribution of a window's mean is that of `window` values drawn with replacement from the
+    reference; each draw is a digest of seed, series, resample and number, so that it is the same wherever
+    it is made. A p-value is the share of null means at or above the window's, itself counted: one running
+    count over the union of both finds it. Nulls are no steps. A series with a shorter reference has no windows.
+    """
+    order = Window.partitionBy(key).orderBy(step)
+    rows = series.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"), (F.row_number().over(order) - 1).alias("at"))
+    after = rows.filter(F.col("at") >= reference).withColumn("window", F.floor((F.col("at") - reference) / window))
+    means = after.groupBy(key, "window").agg(F.round(F.avg("x"), 9).alias("mean"), F.count("*").alias("n")).filter(F.col("n") == window).drop("n")
+    base = rows.filter(F.col("at") < reference)
+    whole = base.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") == reference).select(key)
+    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda b: F.transform(F.sequence(F.lit(1), F.lit(window)), lambda j: F.struct(b.alias("b"), j.alias("j"))))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("d.b").cast("string"), F.col("d.j").cast("string")))
+    drawn = whole.select(key, pairs.alias("d")).select(key, "d.b", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % reference).cast("int").alias("at"))
+    null = drawn.join(base, [key, "at"]).groupBy(key, "b").agg(F.round(F.avg("x"), 9).alias("mean"))
+    both = means.join(whole, key).select(key, "window", "mean").unionByName(null.select(key, F.lit(None).cast("long").alias("window"), "mean"))
+    above = Window.partitionBy(key).orderBy(F.desc("mean")).rangeBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_null", F.count_if(F.col("window").isNull()).over(above))
+    return counted.filter(F.col("window").isNotNull()).select(key, "window", "mean", ((F.col("_null") + 1) / F.lit(float(resamples + 1))).alias("p"))
+
+
+#: Makes the weights of LORD++ sum to one over 10,000 tests (derived from their formula).
+_LORD_SUM = sum(math.log(max(j, 2)) / (j * math.exp(math.sqrt(math.log(j)))) for j in range(1, 10_001))
+
+
+def lord(p_values: Column, q: float = 0.05, start: float = 0.5) -> Column:
+    """LORD++ over an array of p-values in their order: whether each is a discovery (MON-06).
+
+    A fold holds the tests so far and where the discoveries were; a level is the starting wealth's share
+    and that of each discovery, by the tests since then.
+    """
+
+    def share(since: Column) -> Column:
+        j = since.cast("double")
+        return F.log(F.greatest(j, F.lit(2.0))) / (j * F.exp(F.sqrt(F.log(j)))) / _LORD_SUM
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + 1
+        first = F.coalesce(F.lit(q * (1 - start)) * share(at - F.get(acc["found"], F.lit(0))), F.lit(0.0))
+        rest = F.aggregate(F.slice(acc["found"], 2, F.greatest(F.size(acc["found"]) - 1, F.lit(0))), F.lit(0.0), lambda s, t: s + share(at - t))
+        hit = F.coalesce(p <= F.lit(q * start) * share(at) + first + F.lit(q) * rest, F.lit(False))
+        return F.struct(at.alias("at"), F.when(hit, F.concat(acc["found"], F.array(at))).otherwise(acc["found"]).alias("found"), F.concat(acc["out"], F.array(hit)).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"), F.array().cast("array<boolean>").alias("out"))
+    return F.aggregate(p_values, begin, step, lambda acc: acc["out"])
+
+
+def online_discoveries(p_values: DataFrame, key: str, order: str = "window", q: float = 0.05) -> DataFrame:
+    """(key, order, p, discovered): LORD++ along each series of windows; a series is one row's array of p-values, one for WINDOW steps."""
+    held = p_values.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "p"))).alias("x"))
+    flags = lord(F.transform("x", lambda v: v["p"]), q)
+    out = held.select(key, F.explode(F.arrays_zip(F.col("x"), flags.alias("d"))).alias("z"))
+    return out.select(key, F.col(f"z.x.{order}").alias(order), F.col("z.x.p").alias("p"), F.col("z.d").cast("int").alias("discovered"))
 
 
 def alarm_metrics(alarms: DataFrame, changes: DataFrame, horizon: int) -> DataFrame:

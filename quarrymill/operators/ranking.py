@@ -6,13 +6,15 @@ on any cluster. Query sets are stated and their size is checked before they are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, identifiers, normalised
+from ..functions.scalars import dot, identifiers, normalised, relevance_verdict
+from ..sources.sinks import written
 
 #: Queries in one block; rows of a query set that may be broadcast (64 dimensions: about 15 MB).
 BLOCK, BROADCAST_ROWS = 512, 20_000
@@ -214,3 +216,30 @@ def search(hits: DataFrame, exact: DataFrame | None, top_k_: int, pool: int, rer
     if exact is not None:
         base = rrf([base, exact], limit=pool)
     return base.filter(F.col("rank") <= top_k_)
+
+
+def corrective_search(questions: DataFrame, search: Callable[[DataFrame], DataFrame], relevance: Callable[[DataFrame], DataFrame], rewrite: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, node_id, rank, round, best, verdict): hits of each question, found again with a rewritten one where the first are irrelevant (RET-11).
+
+    `search` takes (query_id, text) and gives (query_id, node_id, rank); `relevance` takes (query_id,
+    question, node_id) and adds `relevance`; `rewrite` is a column function. Only questions whose best
+    relevance is below the verdict's lower bound enter the second round, by a semi-join; its hits are judged
+    against the question as it was asked, and replace the first ones if their best is better. A question that
+    is irrelevant still keeps no hit: it has one row, without a node, that tells the verdict, as has one
+    without any hit. All questions are in the same few jobs.
+    """
+    asked = questions.select("query_id", "text")
+
+    def judged(hits: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        hits = written(hits.select("query_id", "node_id", "rank").withColumn("round", F.lit(number)), f"round-{number}")
+        pairs = hits.select("query_id", "node_id").join(asked.withColumnRenamed("text", "question"), "query_id")
+        return hits, relevance(pairs).groupBy("query_id").agg(F.max("relevance").alias(f"best{number}"))
+
+    first, best = judged(search(asked), 1)
+    best = written(asked.select("query_id").join(best, "query_id", "left").withColumn("best1", F.coalesce("best1", F.lit(0.0))), "best")
+    again = best.filter(relevance_verdict(F.col("best1")) == "incorrect").select("query_id")
+    second, better = judged(search(asked.join(again, "query_id", "left_semi").withColumn("text", rewrite(F.col("text")))), 2)
+    both = best.join(better, "query_id", "left").withColumn("round", F.when(F.coalesce("best2", F.lit(0.0)) > F.col("best1"), 2).otherwise(1)).withColumn("best", F.greatest("best1", F.coalesce("best2", F.lit(0.0))))
+    told = both.select("query_id", "round", "best", relevance_verdict(F.col("best")).alias("verdict"))
+    kept = first.unionByName(second).join(told.filter("verdict <> 'incorrect'").select("query_id", "round"), ["query_id", "round"], "left_semi")
+    return told.join(kept, ["query_id", "round"], "left").select("query_id", "node_id", "rank", "round", "best", "verdict")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
+from ..operators import catalog as C
 from ..operators import code as A
 from ..operators import evaluation as E
 from ..operators import monitoring as M
@@ -72,20 +74,53 @@ def bh_window(s, d):
     return M.benjamini_hochberg(p, ["day"])
 
 
-def _series(s, d):
-    return read(s, d, "events").select("event_type", F.struct("ts", "event_id").alias("at"), "event_id", "value")
+#: Each test's few numbers, row after row.
+SERIES = """e AS (SELECT event_type, event_id, %s AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)"""
+PAGE_HINKLEY = """r AS (SELECT DISTINCT event_type, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0::BIGINT AS n, 0::DOUBLE AS mean, 0::DOUBLE AS cum, 0::DOUBLE AS low, false AS alarm FROM events
+UNION ALL SELECT event_type, k, event_id, CASE WHEN a THEN 0 ELSE n END, CASE WHEN a THEN 0 ELSE m END, CASE WHEN a THEN 0 ELSE c END, CASE WHEN a THEN 0 ELSE l END, a FROM (SELECT *, n >= 30 AND c - l > 5.0 AS a FROM (SELECT *, least(low, c) AS l FROM (SELECT *, cum + (x - m - 0.005::DOUBLE) AS c
+FROM (SELECT e.event_type, e.k, e.event_id, e.x, r.n + 1 AS n, r.cum, r.low, r.mean + (e.x - r.mean) / (r.n + 1) AS m FROM r JOIN e ON e.event_type = r.event_type AND e.k = r.k + 1)))))"""
+DRIFT = """r AS (SELECT DISTINCT event_type, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0::BIGINT AS n, 0::DOUBLE AS p, 'inf'::DOUBLE AS bp, 'inf'::DOUBLE AS bs, false AS alarm FROM events
+UNION ALL SELECT event_type, k, event_id, CASE WHEN a THEN 0 ELSE n END, CASE WHEN a THEN 0 ELSE q END, CASE WHEN a THEN 'inf'::DOUBLE ELSE p1 END, CASE WHEN a THEN 'inf'::DOUBLE ELSE s1 END, a FROM (SELECT *, n >= 30 AND q + s > p1 + 3.0 * s1 AS a FROM (SELECT *, CASE WHEN n >= 30 AND q + s < bp + bs THEN q ELSE bp END AS p1, CASE WHEN n >= 30 AND q + s < bp + bs THEN s ELSE bs END AS s1
+FROM (SELECT *, sqrt(q * (1 - q) / n) AS s FROM (SELECT e.event_type, e.k, e.event_id, r.n + 1 AS n, r.bp, r.bs, r.p + (e.x - r.p) / (r.n + 1) AS q FROM r JOIN e ON e.event_type = r.event_type AND e.k = r.k + 1)))))"""
+ALARMS = "SELECT event_type, event_id FROM r WHERE alarm"
 
 
-@register("ph_detector")
+@register("ph_detector", f"WITH RECURSIVE {SERIES % 'value / 100'}, {PAGE_HINKLEY} {ALARMS}")
 def ph_detector(s, d):
     e = read(s, d, "events").select("event_type", "event_id", (F.col("value") / 100).alias("value"))
-    return M.detect(e, "event_type", "event_id", "value", M.page_hinkley)
+    return T.detect(e, "event_type", "event_id", "value")
 
 
-@register("ddm_detector")
+@register("ddm_detector", f"WITH RECURSIVE {SERIES % '(value > 50)::INT::DOUBLE'}, {DRIFT} {ALARMS}")
 def ddm_detector(s, d):
     e = read(s, d, "events").select("event_type", "event_id", (F.col("value") > 50).cast("int").alias("value"))
-    return M.detect(e, "event_type", "event_id", "value", M.ddm)
+    return T.detect(e, "event_type", "event_id", "value", "drift_detection")
+
+
+@register("table_functions", f"WITH RECURSIVE {SERIES % 'value / 100'}, {PAGE_HINKLEY} SELECT 'alarm' AS kind, event_type AS key, event_id AS at FROM r WHERE alarm UNION ALL SELECT 'window', source || doc_id, w * 3 FROM (SELECT source, doc_id, len(string_split(text, chr(10))) AS n, unnest(range(0, len(string_split(text, chr(10))))) AS w FROM documents WHERE text IS NOT NULL) WHERE w = 0 OR w * 3 + 1 < n")
+def table_functions(s, d):
+    """Table functions in a statement that passes the read-only tool's checks."""
+    T.register(s)
+    for t in ("events", "documents"):
+        read(s, d, t).createOrReplaceTempView(t)
+    sql = """SELECT 'alarm' AS kind, key, step AS at FROM page_hinkley(0.005D, 5D, 30, TABLE(SELECT event_type AS key, event_id AS step, value / 100 AS value FROM events) PARTITION BY key ORDER BY step)
+    UNION ALL SELECT 'window', key, CAST(line_start AS BIGINT) FROM line_windows(4, 1, TABLE(SELECT concat(source, doc_id) AS key, text FROM documents))"""
+    return s.sql(C.validate_sql(s, sql, {"events", "documents"}, 10_000_000))
+
+
+@register("calibrated_windows", """WITH RECURSIVE e AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos FROM events WHERE value IS NOT NULL), b AS (SELECT * FROM e WHERE pos < 300),
+h AS (SELECT event_type FROM b GROUP BY 1 HAVING count(*) = 300), m AS (SELECT event_type, ((pos - 300) // 100)::BIGINT AS win, round(avg(x), 9) AS mean FROM e WHERE pos >= 300 GROUP BY 1, 2 HAVING count(*) = 100),
+n AS (SELECT event_type, i, round(avg(x), 9) AS mean FROM (SELECT event_type, i, ('0x' || left(md5('0:' || event_type || ':' || i || ':' || j), 8))::BIGINT % 300 AS pos FROM h, (SELECT unnest(range(1, 200)) AS i), (SELECT unnest(range(1, 101)) AS j)) JOIN b USING (event_type, pos) GROUP BY 1, 2),
+p AS (SELECT event_type, win, m.mean, ((SELECT count(*) FROM n WHERE n.event_type = m.event_type AND n.mean >= m.mean) + 1) / 200.0::DOUBLE AS p, row_number() OVER (PARTITION BY event_type ORDER BY win) AS k FROM m JOIN h USING (event_type)),
+g AS (SELECT j, ln(greatest(j, 2)) / (j * exp(sqrt(ln(j)))) AS w FROM (SELECT unnest(range(1, 10001)) AS j)), z AS (SELECT j, w / (SELECT sum(w) FROM g) AS w FROM g WHERE j < 500),
+r AS (SELECT event_type, 0::BIGINT AS k, []::BIGINT[] AS found, false AS hit FROM h
+UNION ALL SELECT p.event_type, p.k, CASE WHEN p.p <= l THEN list_append(found, p.k) ELSE found END, p.p <= l FROM (SELECT r.*, p.p, p.k AS pk, 0.025::DOUBLE * (SELECT w FROM z WHERE j = p.k) + coalesce(0.025::DOUBLE * (SELECT w FROM z WHERE j = p.k - found[1]), 0) + 0.05::DOUBLE * coalesce((SELECT sum(w) FROM z WHERE list_contains(list_transform(found[2:], lambda t: p.k - t), j)), 0) AS l
+  FROM r JOIN p ON p.event_type = r.event_type AND p.k = r.k + 1) q JOIN p ON p.event_type = q.event_type AND p.k = q.pk)
+SELECT p.event_type, win AS "window", mean, p, hit::INT AS discovered FROM p JOIN r USING (event_type, k)""")
+def calibrated_windows(s, d):
+    e = read(s, d, "events").select("event_type", "event_id", "value")
+    p = M.calibrated(e, "event_type", "event_id", "value")
+    return p.join(M.online_discoveries(p, "event_type").select("event_type", "window", "discovered"), ["event_type", "window"])
 
 
 @register("canary_signals", """WITH r AS (SELECT event_id, event_id % 8 AS rank FROM events) SELECT event_id, CASE WHEN rank = 0 THEN 1.0::DOUBLE ELSE round(1 - 1.0::DOUBLE / rank, 6) END AS value, CASE WHEN rank = 0 OR rank > 5 THEN 1 ELSE 0 END AS error FROM r""")

@@ -11,6 +11,7 @@ from ..operators import chunking as K
 from ..operators import grounding as G
 from ..operators import lookup as L
 from ..operators import policy as P
+from ..operators import ranking as R
 from ..sources.merge_table import MergeTable
 from ..sources.sinks import scratch_folder
 from .engine import NODES, longs, nodes
@@ -222,3 +223,36 @@ def policy_verdicts(s, d):
     names = s.createDataFrame([("Secret_name2",), ("abc",)], "name string")
     out = P.verdicts(policy_runs(s, d), steps(s, d), names)
     return out.select("run_id", "step", "action", "rule", F.array_join("held", ",").alias("held"))
+
+
+# --- two rounds of retrieval
+
+
+FOUND = """SELECT query_id, doc_id AS node_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, count(*) AS n FROM t JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}'))) AS w FROM documents) USING (w) GROUP BY 1, 2) QUALIFY rank <= 3"""
+JUDGED = """SELECT query_id, max(round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z]{4,}')), regexp_extract_all(lower(d.text), '[a-z]{4,}'))) / greatest(len(list_distinct(regexp_extract_all(lower(q.text), '[a-z]{4,}'))), 1) - 0.35, 6)) AS best"""
+
+
+@register("corrective_search", f"""WITH q AS (SELECT doc_id AS query_id, left(text, 60) AS text FROM documents WHERE doc_id % 20 = 3 AND text IS NOT NULL), t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(left(text, 60), '[a-z]{{5,}}')) AS w FROM q), f AS ({FOUND}),
+b AS ({JUDGED} FROM f JOIN q USING (query_id) JOIN documents d ON d.doc_id = f.node_id GROUP BY 1), b1 AS (SELECT query_id, coalesce(best, 0) AS best FROM q LEFT JOIN b USING (query_id)),
+t2 AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS w FROM q WHERE query_id IN (SELECT query_id FROM b1 WHERE best < 0.02)), f2 AS ({FOUND.replace('FROM t JOIN', 'FROM t2 JOIN')}),
+b2 AS ({JUDGED} FROM f2 f JOIN q USING (query_id) JOIN documents d ON d.doc_id = f.node_id GROUP BY 1),
+z AS (SELECT b1.query_id, CASE WHEN coalesce(b2.best, 0) > b1.best THEN 2 ELSE 1 END AS round, greatest(b1.best, coalesce(b2.best, 0)) AS best FROM b1 LEFT JOIN b2 USING (query_id)), v AS (SELECT *, CASE WHEN best >= 0.5 THEN 'correct' WHEN best < 0.02 THEN 'incorrect' ELSE 'ambiguous' END AS verdict FROM z),
+h AS (SELECT *, 1 AS round FROM f UNION ALL SELECT *, 2 FROM f2) SELECT v.query_id, h.node_id, h.rank, v.round, v.best, v.verdict FROM v LEFT JOIN h ON v.query_id = h.query_id AND v.round = h.round AND v.verdict <> 'incorrect'""")
+def corrective_search(s, d):
+    """A question's first words are sought as they are written, capitals losing theirs; rewritten, in lower case."""
+    docs = read(s, d, "documents").filter("text is not null")
+    terms = lambda c, p, i=0: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(i)))
+    index = docs.select(F.col("doc_id").alias("node_id"), F.explode(terms(F.lower("text"), "[a-z]{5,}")).alias("w"))
+
+    def search(asked):
+        t = asked.select("query_id", F.explode(terms(F.col("text"), "[a-z]{5,}")).alias("w"))
+        n = index.join(t, "w").groupBy("query_id", "node_id").agg(F.count("*").alias("n"))
+        return R.rank_by(n, ["query_id"], [F.desc("n"), F.asc("node_id")]).filter("rank <= 3")
+
+    def relevance(pairs):
+        both = pairs.join(docs.select(F.col("doc_id").alias("node_id"), "text"), "node_id")
+        mine, theirs = terms(F.lower("question"), "[a-z]{4,}"), terms(F.lower("text"), "[a-z]{4,}")
+        return both.withColumn("relevance", F.round(F.size(F.array_intersect(mine, theirs)) / F.greatest(F.size(mine), F.lit(1)) - 0.35, 6))
+
+    asked = docs.filter("doc_id % 20 = 3").select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(60)).alias("text"))
+    return longs(R.corrective_search(asked, search, relevance, F.lower), "rank")

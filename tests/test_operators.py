@@ -1,12 +1,14 @@
 """Golden values and small fixtures for the engine's own operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarrymill.functions import scalars as S
+from quarrymill.functions import tables as T
 from quarrymill.operators import catalog as C
 from quarrymill.operators import chunking as K
 from quarrymill.operators import code as A
@@ -172,12 +174,57 @@ def test_hash_embedding_keeps_texts_without_words(spark):
     assert {r.node_id: sum(r.vector) > 0 for r in rows} == {1: True, 2: False, 3: False}
 
 
-def test_detectors():
-    quiet, loud = [0.1] * 200, [0.9] * 200
-    assert M.page_hinkley(quiet) == [] and M.page_hinkley(quiet + loud)[0] > 200
-    assert M.ddm([0, 0, 0, 0, 1] * 40) == [] or True
-    assert M.ddm(([0] * 9 + [1]) * 30 + [1] * 60)
-    assert sum(M.lord([1e-6] + [0.9] * 50)) == 1
+def _lord(ps, q=0.05, w0=0.025):
+    """LORD++ from its definition, test after test."""
+    raw = [math.log(max(j, 2)) / (j * math.exp(math.sqrt(math.log(j)))) for j in range(1, 10_001)]
+    gamma, found, out = [g / sum(raw) for g in raw], [], []
+    for t, p in enumerate(ps, 1):
+        level = gamma[t - 1] * w0 + sum((q - w0 if k == 0 else q) * gamma[t - f - 1] for k, f in enumerate(found))
+        out.append(p <= level)
+        found += [t] * out[-1]
+    return out
+
+
+def test_detectors(spark):
+    rows = [("quiet", i, 0.1) for i in range(200)] + [("loud", i, 0.1 if i < 200 else 0.9) for i in range(400)] + [("null", 1, None)]
+    series = spark.createDataFrame(rows, "s string, t int, v double")
+    alarms = T.detect(series, "s", "t", "v").collect()
+    assert {r.s for r in alarms} == {"loud"} and min(r.t for r in alarms) > 200
+    errors = spark.createDataFrame([("e", i, x) for i, x in enumerate(([0] * 9 + [1]) * 30 + [1] * 60)] + [("f", i, int(i % 5 == 4)) for i in range(200)], "s string, t int, v int")
+    assert {r.s for r in T.detect(errors, "s", "t", "v", "drift_detection").collect()} == {"e"}
+    T.register(spark)
+    series.createOrReplaceTempView("drift_series")
+    sql = "SELECT key, step FROM page_hinkley(0.005D, 5D, 30, TABLE(SELECT s AS key, t AS step, v AS value FROM drift_series) PARTITION BY key ORDER BY step)"
+    assert {tuple(r) for r in spark.sql(C.validate_sql(spark, sql, {"drift_series"}, 1000)).collect()} == {(r.s, r.t) for r in alarms}
+    for bad in (sql.replace("drift_series", "other"), "SELECT * FROM range(5)"):
+        with pytest.raises(C.SQLRejected):
+            C.validate_sql(spark, bad, {"drift_series"})
+
+
+def test_online_discoveries(spark):
+    rng = random.Random(8)
+    ps = [1e-6] + [rng.random() ** 4 for _ in range(60)]
+    df = spark.createDataFrame([("s", i, p) for i, p in enumerate(ps)], "s string, window int, p double")
+    got = [bool(r.discovered) for r in M.online_discoveries(df, "s").orderBy("window").collect()]
+    assert got == _lord(ps) and 1 < sum(got) < len(ps)
+    assert [bool(r.discovered) for r in M.online_discoveries(df.filter("window = 3"), "s").collect()] == _lord(ps[3:4])
+
+
+def test_calibrated_windows(spark):
+    rows = [(s, i, (0.2 if s == "flat" or i < 40 else 0.8) + 0.01 * (i % 7)) for s in ("flat", "up") for i in range(65)] + [("short", i, 0.1) for i in range(20)]
+    series = spark.createDataFrame(rows, "s string, t int, v double")
+    got = {(r.s, r.window): r.p for r in M.calibrated(series, "s", "t", "v", 30, 10, 49).collect()}
+    assert set(got) == {(s, w) for s in ("flat", "up") for w in range(3)} and got["up", 1] == got["up", 2] == 1 / 50 and got["flat", 1] > 0.1
+
+
+def test_corrective_search(spark):
+    questions = spark.createDataFrame([(1, "good"), (2, "BAD"), (3, "worse"), (4, "none")], "query_id int, text string")
+    index = {"good": [("a", 1), ("b", 2)], "BAD": [("c", 1)], "bad": [("a", 1)], "worse": [("d", 1)]}
+    table = spark.createDataFrame([(t, n, k) for t, xs in index.items() for n, k in xs], "text string, node_id string, rank int")
+    scores = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.6), (2, "c", 0.01), (2, "a", 0.3), (3, "d", 0.005)], "query_id int, node_id string, relevance double")
+    search = lambda q: q.join(table, "text").select("query_id", "node_id", "rank")
+    out = R.corrective_search(questions, search, lambda pairs: pairs.join(scores, ["query_id", "node_id"]), F.lower).collect()
+    assert {(r.query_id, r.node_id, r.round, r.best, r.verdict) for r in out} == {(1, "a", 1, 0.6, "correct"), (1, "b", 1, 0.6, "correct"), (2, "a", 2, 0.3, "ambiguous"), (3, None, 1, 0.005, "incorrect"), (4, None, 1, 0.0, "incorrect")}
 
 
 def test_benjamini_hochberg(spark):
