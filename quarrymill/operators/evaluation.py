@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,58 +53,39 @@ def percentiles(df: DataFrame, value: str, by: list[str], levels: tuple[float, .
     return df.groupBy(*by).agg(F.count(value).alias("n"), *(F.expr(f"percentile(cast({value} as double), {q})").alias(f"p{round(q * 100)}") for q in levels))
 
 
-def bootstrap_interval(values: list[float], resamples: int = 1000, alpha: float = 0.05, seed: int = 0, stat=None) -> tuple[float | None, float | None]:
-    """Percentile interval over resamples drawn by NumPy's default generator; none below two values (AGG-12)."""
-    import numpy as np
+#: Upper ends, times 2^32, of the shares of a Poisson(1) variable's values 0 to 7.
+POISSON = [math.ceil(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
 
-    x = np.asarray(values, dtype=float)
-    if len(x) < 2:
-        return None, None
-    draws = x[np.random.default_rng(seed).integers(0, len(x), (resamples, len(x)))]
-    stats = draws.mean(axis=1) if stat is None else np.array([stat(d) for d in draws])
-    return float(np.quantile(stats, alpha / 2)), float(np.quantile(stats, 1 - alpha / 2))
 
+def resampled(df: DataFrame, value: str, by: list[str], key: str, resamples: int, seed: int, stat: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(by, b, m): the statistic of each group in each resample; by default the weighted mean (UDF-06).
 
-def mean_with_interval(df: DataFrame, value: str, by: str, order: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """Mean, n and interval of each group of evaluation results (AGG-11); a group is one run's questions."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].dropna().tolist()
-        low, high = bootstrap_interval(x, resamples, seed=seed)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(x)], "mean": [sum(x) / len(x) if x else math.nan], "low": [low], "high": [high]})
-
-    kind = dict(df.dtypes)[by]
-    return df.select(by, order, F.col(value).cast("double")).groupBy(by).applyInPandas(run, f"{by} {kind}, n long, mean double, low double, high double")
-
-
-def weighted_bootstrap(df: DataFrame, value: str, by: list[str], resamples: int = 200, seed: int = 0) -> DataFrame:
-    """Interval of the mean for groups of any size: each row draws a Poisson(1) weight per resample from a hash of its number.
-
-    Only sums over (group, resample) are shuffled. It agrees with the resampling interval in
-    distribution, not number by number.
+    In a resample each row counts as often as a Poisson(1) variable says, drawn by a digest of seed,
+    resample and key: the same wherever it is made, for groups of any size, and only sums are shuffled. It
+    agrees with drawing with replacement in distribution, not number by number. `stat` makes an aggregate
+    of the value's and the weight's column.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", "_row"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps, total, p = [], 0.0, math.exp(-1)
-    for k in range(1, 9):
-        total += p
-        steps.append(total)
-        p /= k
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight)
-    means = rows.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
-    return means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
-
-
-def paired_bootstrap(a: DataFrame, b: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 0) -> dict:
-    """Mean difference b - a over shared questions, its interval and the share of resamples at or below 0 (AGG-13, JOIN-19)."""
-    import numpy as np
-
-    rows = a.select(key, F.col(value).cast("double").alias("_a")).join(b.select(key, F.col(value).cast("double").alias("_b")), key).dropna().orderBy(key)
-    d = np.array([r["_b"] - r["_a"] for r in rows.toLocalIterator()])
-    if len(d) < 2:
-        return {"n": len(d), "diff": float(d.mean()) if len(d) else None, "low": None, "high": None, "p": None}
-    means = d[np.random.default_rng(seed).integers(0, len(d), (resamples, len(d)))].mean(axis=1)
-    return {"n": len(d), "diff": float(d.mean()), "low": float(np.quantile(means, 0.025)), "high": float(np.quantile(means, 0.975)), "p": float((means <= 0).mean())}
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    weight = sum((F.when(u >= limit, 1).otherwise(0) for limit in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+    rows = df.filter(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
+    mean = lambda v, w: F.sum(v * w) / F.nullif(F.sum(w), F.lit(0))
+    return rows.withColumn("_w", weight).groupBy(*by, F.col("_b").alias("b")).agg(F.round((stat or mean)(F.col("_v"), F.col("_w")), 9).alias("m"))
+
+
+def bootstrap(df: DataFrame, value: str, by: list[str], key: str, resamples: int = 200, seed: int = 0) -> DataFrame:
+    """(by, n, mean, low, high): means of groups with their 95 percent percentile interval; none for fewer than two values (AGG-11, AGG-12)."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    ends = resampled(df, value, by, key, resamples, seed).groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return plain.join(ends, by, "left").select(*by, "n", "mean", *(F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("low", "high")))
+
+
+def paired_bootstrap(a: DataFrame, b: DataFrame, key: str, value: str, resamples: int = 200, seed: int = 0) -> DataFrame:
+    """(n, diff, low, high, p): mean difference b - a over shared questions, its interval and the share of resamples at or below 0 (AGG-13, JOIN-19)."""
+    rows = a.select(key, F.col(value).cast("double").alias("_a")).join(b.select(key, F.col(value).cast("double").alias("_b2")), key)
+    rows = rows.select(key, (F.col("_b2") - F.col("_a")).alias("_d"), F.lit(1).alias("_one"))
+    whole = bootstrap(rows, "_d", ["_one"], key, resamples, seed)
+    share = resampled(rows, "_d", ["_one"], key, resamples, seed).groupBy("_one").agg(F.avg((F.col("m") <= 0).cast("double")).alias("p"))
+    return whole.join(share, "_one", "left").select("n", F.col("mean").alias("diff"), "low", "high", F.when(F.col("n") > 1, F.col("p")).alias("p"))
 
 
 def threshold_table(scores: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -97,6 +97,11 @@ def postings(docs: DataFrame, terms: Column) -> DataFrame:
     return docs.select("node_id", F.explode(terms).alias("term")).groupBy("node_id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
+def token_weights(tokens: DataFrame, special: list[str] = ()) -> DataFrame:
+    """(node_id, term, weight): a model's weights of tokens (node_id, term, weight), the largest of repeated ones, special ones gone (AGG-07)."""
+    return tokens.filter(~F.col("term").isin(*special) if special else F.lit(True)).groupBy("node_id", "term").agg(F.max("weight").alias("weight"))
+
+
 def sparse_topk(query_terms: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """Dot product over shared terms (RET-02): (query_id, term, weight) against (node_id, term, weight).
 

@@ -57,7 +57,7 @@ def series_scenario(ranks: DataFrame, steps: int, onset: int, seed: int = 0) ->
     rows = ranks.withColumn("_n", n).withColumn("_place", place)
     plan = rows.select("segment", "_n", "state").distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     plan = plan.filter(F.when(F.col("step") < onset, F.lit("normal")).otherwise(F.lit("changed")) == F.col("state"))
-    plan = plan.withColumn("_place", F.pmod(F.xxhash64(F.lit(seed), "segment", "step"), F.col("_n")).cast("int"))
+    plan = plan.withColumn("_place", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "segment", F.col("step").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n")).cast("int"))
     return plan.join(rows.drop("_n"), ["segment", "state", "_place"]).select("segment", "step", signals(F.col("rank"))[0].alias("value"))
 
 

@@ -30,24 +30,6 @@ def metrics_by_class(s, d):
     return out.select(F.coalesce("lang", F.lit("all")).alias("cls"), "n", "quality", "toxic", "p50", "p95")
 
 
-@register("bootstrap_ci")
-def bootstrap_ci(s, d):
-    df = read(s, d, "labels").join(read(s, d, "documents").select("doc_id", "lang"), "doc_id")
-    return E.mean_with_interval(df, "quality", "lang", "doc_id")
-
-
-@register("weighted_bootstrap_ci")
-def weighted_bootstrap_ci(s, d):
-    return E.weighted_bootstrap(read(s, d, "labels").join(read(s, d, "documents").select("doc_id", "lang"), "doc_id"), "quality", ["lang"])
-
-
-@register("paired_bootstrap")
-def paired_bootstrap(s, d):
-    labels = read(s, d, "labels")
-    r = E.paired_bootstrap(labels.withColumnRenamed("toxic", "v"), labels.withColumnRenamed("quality", "v"), "doc_id", "v")
-    return s.createDataFrame([tuple(r[k] for k in ("n", "diff", "low", "high", "p"))], "n long, diff double, low double, high double, p double")
-
-
 @register("overthinking_share", """WITH p AS (SELECT doc_id, quality - toxic AS gain, n_chars AS extra FROM labels JOIN documents USING (doc_id)) SELECT CAST(sum(CASE WHEN gain <= 0 THEN extra ELSE 0 END) AS BIGINT) AS wasted, CAST(sum(extra) AS BIGINT) AS extra, round(sum(CASE WHEN gain <= 0 THEN extra ELSE 0 END)::DOUBLE / nullif(sum(extra), 0), 6) AS share FROM p""")
 def overthinking_share(s, d):
     p = read(s, d, "labels").join(read(s, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("quality") - F.col("toxic")).alias("gain"), F.col("n_chars").alias("extra"))

@@ -34,7 +34,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> dict[str, Query]:
-    from . import engine, evaluation, events, judging, lookups, relational, retrieval, structure, text  # noqa: F401  they register their queries
+    from . import engine, evaluation, events, judging, lookups, pieces, relational, retrieval, structure, text  # noqa: F401  they register their queries
 
     return REGISTRY
 

@@ -112,10 +112,26 @@ def test_precision_recall(spark):
     assert (r.precision, r.recall) == (0.5, 0.5)
 
 
-def test_bootstrap():
-    assert E.bootstrap_interval([1.0]) == (None, None)
-    low, high = E.bootstrap_interval([0.0, 1.0] * 50)
-    assert low < 0.5 < high and E.bootstrap_interval([0.0, 1.0] * 50) == (low, high)
+def test_bootstrap(spark):
+    df = spark.createDataFrame([("a", i, float(i % 2)) for i in range(200)] + [("b", 999, 1.0), ("c", 7, None)], "g string, id int, v double")
+    got = {r.g: r for r in E.bootstrap(df, "v", ["g"], "id").collect()}
+    assert (got["a"].n, got["a"].mean) == (200, 0.5) and got["b"].low is None and got["c"].n == 0
+    error = 1.96 * 0.5 / 200**0.5  # the normal interval of the mean
+    assert abs(got["a"].low - 0.5 + error) < 0.02 and abs(got["a"].high - 0.5 - error) < 0.02
+    most = E.resampled(df.filter("g = 'a'"), "v", ["g"], "id", 20, 0, lambda v, w: F.max(F.when(w > 0, v))).collect()
+    assert len(most) == 20 and {r.m for r in most} == {1.0}
+    better = df.filter("g = 'a'").withColumn("v", F.col("v") + 0.1)
+    r = E.paired_bootstrap(df.filter("g = 'a'"), better, "id", "v").first()
+    assert r.n == 200 and abs(r["diff"] - 0.1) < 1e-9 and abs(r.low - 0.1) < 1e-6 and r.p == 0.0
+    assert E.paired_bootstrap(df.limit(0), better, "id", "v").count() == 0
+
+
+def test_token_weights_and_zero_vectors(spark):
+    tokens = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.9), (1, "</s>", 3.0), (2, "a", 0.1)], "node_id int, term string, weight double")
+    assert {tuple(r) for r in R.token_weights(tokens, ["</s>"]).collect()} == {(1, "a", 0.9), (2, "a", 0.1)}
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0])], "node_id int, vector array<double>")
+    top = R.dense_topk(rows.withColumnRenamed("node_id", "query_id"), rows, 1).collect()
+    assert {(r.query_id, r.node_id, r.score) for r in top} == {(1, 2, 0.0), (2, 3, 1.0), (3, 2, 1.0), (4, 1, 0.0)}
 
 
 def test_rows_match():
