@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import dot, identifiers, normalised, relevance_verdict
 from ..sources.sinks import written
@@ -20,6 +24,8 @@ from ..sources.sinks import written
 BLOCK, BROADCAST_ROWS = 512, 20_000
 #: Characters of texts that may be broadcast; words in the key of an item's text, and in that of a short one.
 BROADCAST_CHARS, RUNS = 32_000_000, (8, 2)
+#: Bytes of a query set's vectors, as doubles, that are sent to every task.
+BROADCAST_BYTES = 32 << 20
 
 
 def rank_by(df: DataFrame, partition: list[str], order: list, name: str = "rank") -> DataFrame:
@@ -80,21 +86,102 @@ def whole_items(items: DataFrame, texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.filter(F.contains("text", "_item")).select("item_id", "doc_id") for p in parts])
 
 
+def _nearest(asked: dict[int, tuple[list, np.ndarray]], k: int, exclude_self: bool):
+    """A function over Arrow batches (node_id, vector): of each batch, the k best rows of each query, and those that may tie with them.
+
+    `asked` has query ids and unit vectors by length; rows of other lengths are not compared. Rows of
+    one score are kept up to the k smallest ids, so that ties, as of zero vectors, don't grow a result.
+    """
+    places: dict[int, dict] = {n: {} for n in asked}
+    for n, (ids, _) in asked.items():
+        for i, q in enumerate(ids):
+            places[n].setdefault(q, []).append(i)
+
+    def run(batches):
+        for b in batches:
+            column, nodes = b.column("vector"), b.column("node_id").to_pylist()
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+            out: tuple[list, list, list] = ([], [], [])
+            for n, (ids, unit) in asked.items():
+                rows = np.flatnonzero(lengths == n)
+                if not len(rows) or not n:
+                    continue
+                m = column.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+                size = np.sqrt((m * m).sum(axis=1))
+                scores = unit @ (m / np.where(size > 0, size, 1.0)[:, None]).T
+                scores[np.isnan(scores)] = -np.inf
+                held = [nodes[r] for r in rows]
+                if exclude_self:
+                    for at, node in enumerate(held):
+                        if node in places[n]:
+                            scores[places[n][node], at] = -np.inf
+                by_id = np.empty(len(held), dtype=np.int64)
+                by_id[sorted(range(len(held)), key=held.__getitem__)] = np.arange(len(held))
+                for q, row in enumerate(scores):
+                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    some = np.flatnonzero((row >= least - 2e-6) & (row > -np.inf))
+                    some = some[np.lexsort((by_id[some], -row[some]))]
+                    x = row[some]
+                    first = np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1]), np.arange(len(x)), 0)) if len(x) else x
+                    some = some[np.arange(len(x)) - first < k]
+                    out[0].extend([ids[q]] * len(some))
+                    out[1].extend(held[a] for a in some)
+                    out[2].extend(row[some].tolist())
+            yield out
+
+    return run
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
     """Cosine top-k of each query (query_id, vector) among (node_id, vector) (RET-01, JOIN-16).
 
-    Filters on `vectors` belong below this call, so that they apply before the top-k.
+    Filters on `vectors` belong below this call, so that they apply before the top-k. A query set of up to
+    BROADCAST_BYTES, counted first, is sent to every task, which multiplies it with its Arrow batches and
+    keeps the best of each; larger ones meet the vectors by blocks. Null vectors and null ids take no part,
+    nor do vectors with null components; a zero vector's score is 0 with any other; only vectors of one length are
+    compared. All queries of a repeated id are one set of hits.
     """
-    q = queries.select("query_id", normalised(F.col("vector")).alias("_q"))
-    pairs = against_all(q, vectors.select("node_id", normalised(F.col("vector")).alias("_v")), "query_id")
-    if exclude_self:
-        pairs = pairs.filter(F.col("query_id") != F.col("node_id"))
-    return top_k(pairs.select("query_id", "node_id", dot(F.col("_q"), F.col("_v")).alias("score")), k).select("query_id", "node_id", "score", "rank")
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    queries, vectors = queries.filter(whole).select("query_id", "vector"), vectors.filter(whole & F.col("node_id").isNotNull()).select("node_id", "vector")
+    size = queries.agg(F.sum(F.size("vector")).alias("n")).first()["n"] or 0
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["node_id"]
+    if 8 * size > BROADCAST_BYTES:
+        q = queries.select("query_id", normalised(F.col("vector")).alias("_q"))
+        pairs = against_all(q, vectors.select("node_id", normalised(F.col("vector")).alias("_v")), "query_id").filter(F.size("_q") == F.size("_v"))
+        if exclude_self:
+            pairs = pairs.filter(F.col("query_id") != F.col("node_id"))
+        return top_k(pairs.select("query_id", "node_id", dot(F.col("_q"), F.col("_v")).alias("score")), k).select("query_id", "node_id", "score", "rank")
+    asked: dict[int, tuple[list, list]] = {}
+    for r in queries.collect():
+        ids, rows = asked.setdefault(len(r["vector"]), ([], []))
+        ids.append(r["query_id"])
+        rows.append(r["vector"])
+    unit = {}
+    for n, (ids, rows) in asked.items():
+        m = np.array(rows, dtype=np.float64).reshape(-1, n)
+        length = np.sqrt((m * m).sum(axis=1))
+        unit[n] = (ids, m / np.where(length > 0, length, 1.0)[:, None])
+    sent = queries.sparkSession.sparkContext.broadcast(unit)
+
+    def run(batches):
+        for ids, nodes, scores in _nearest(sent.value, k, exclude_self)(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, query_type), pa.array(nodes, node_type), pa.array(scores, pa.float64())], names=["query_id", "node_id", "score"])
+
+    query_type, node_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "query_id"), (vectors, "node_id")))
+    scored = vectors.mapInArrow(run, f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
+    return top_k(scored, k).select("query_id", "node_id", "score", "rank")
+
 
+def postings(docs: DataFrame, terms: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """(node_id, term, weight): the count of each term; of the terms of `wanted` (term) alone, if it is given (AGG-07).
 
-def postings(docs: DataFrame, terms: Column) -> DataFrame:
-    """(node_id, term, weight): the count of each term (AGG-07)."""
-    return docs.select("node_id", F.explode(terms).alias("term")).groupBy("node_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    Up to BROADCAST_ROWS wanted terms, counted first, are broadcast: others then go before anything is grouped.
+    """
+    found = docs.select("node_id", F.explode(terms).alias("term"))
+    if wanted is not None:
+        w = wanted.select("term").distinct()
+        found = found.join(F.broadcast(w) if w.count() <= BROADCAST_ROWS else w, "term", "left_semi")
+    return found.groupBy("node_id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
 def token_weights(tokens: DataFrame, special: list[str] = ()) -> DataFrame:

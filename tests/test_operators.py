@@ -126,6 +126,26 @@ def test_bootstrap(spark):
     assert E.paired_bootstrap(df.limit(0), better, "id", "v").count() == 0
 
 
+@pytest.mark.parametrize("most", [R.BROADCAST_BYTES, 0])
+def test_dense_topk_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "BROADCAST_BYTES", most)
+    rng = random.Random(3)
+    rows = [(f"n{i % 70:02d}", [rng.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(3)]) for i in range(90)] + [("z", [0.0] * 3), ("two", [1.0, 0.0]), ("null", None), ("hole", [None, 1.0, 0.0]), (None, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "node_id string, vector array<double>")
+    asked = [(i, v) for i, v in rows if i is not None and v is not None and None not in v][::4]
+
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / n, 6) + 0.0 if n else 0.0
+
+    want = set()
+    for q in {i for i, _ in asked}:
+        found = sorted((-cos(v, w), j) for i, v in asked if i == q for j, w in rows if j is not None and w is not None and None not in w and len(w) == len(v) and j != q)
+        want |= {(q, j, -s + 0.0, r) for r, (s, j) in enumerate(found[:5], 1)}
+    got = R.dense_topk(spark.createDataFrame(asked, "query_id string, vector array<double>"), df, 5).collect()
+    assert {(r.query_id, r.node_id, r.score + 0.0, r["rank"]) for r in got} == want
+
+
 def test_token_weights_and_zero_vectors(spark):
     tokens = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.9), (1, "</s>", 3.0), (2, "a", 0.1)], "node_id int, term string, weight double")
     assert {tuple(r) for r in R.token_weights(tokens, ["</s>"]).collect()} == {(1, "a", 0.9), (2, "a", 0.1)}
