@@ -300,3 +300,25 @@ def test_pipeline_stages(spark):
     assert before.filter(F.col("text").rlike(r"[a-z]+@[a-z]+\.[a-z]+")).count() == 0
     pieces = cp.STAGES[-1][1](spark, before, SF)
     assert pieces.select("doc_id").distinct().count() == before.count()
+
+
+@pytest.mark.parametrize("n", [6, 60, 300, 1000, 4000, 16_384])
+@pytest.mark.parametrize("clustered", [False, True])
+def test_forest_recall_and_the_share_it_scores(n, clustered):
+    rng = np.random.default_rng(n)
+    rows = rng.normal(size=(n, 64))
+    if clustered:
+        rows = 0.3 * rows + rng.normal(size=(max(1, n // 20), 64))[np.arange(n) % max(1, n // 20)]
+    block, seen = pf.Block(rows, np.arange(n)), []
+    of = block.forest.candidates
+    block.forest.candidates = lambda *a: [seen.append(len(x)) or x for x in of(*a)]
+    asks = np.arange(0, n, max(1, n // 60))
+    got = {}
+    for i, j, _ in block.nearest(rows[asks], asks, 5):
+        got.setdefault(i, set()).add(int(block.ids[j]))
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    near = unit[asks] @ unit.T
+    near[np.arange(len(asks)), asks] = -9
+    best = np.argsort(-near, axis=1)[:, : min(5, n - 1)]
+    assert np.mean([len(got[i] & set(b.tolist())) / len(b) for i, b in enumerate(best)]) >= 0.9
+    assert not clustered or n < 1000 or np.mean(seen) < 0.1 * n
