@@ -52,7 +52,7 @@ def paragraph_spans(parts: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"], done(acc)).otherwise(acc["runs"]))
 
 
-def greedy_pack(sizes: Column, limit: int) -> Column:
+def greedy_pack(sizes: Column, limit: int | Column) -> Column:
     """Group number of each size: items are taken in order while their sum fits; a larger one stands alone (CHK-02, CHK-09)."""
     start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
 

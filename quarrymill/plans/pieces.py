@@ -11,6 +11,7 @@ from ..operators import assembly as B
 from ..operators import chunking as K
 from ..operators import evaluation as E
 from ..operators import ranking as R
+from ..operators import textfiles as T
 from ..operators import web as W
 from ..sources import files as X
 from ..sources import sinks
@@ -150,3 +151,29 @@ def paired_bootstrap(s, d):
     labels = read(s, d, "labels")
     out = E.paired_bootstrap(labels.withColumnRenamed("toxic", "v"), labels.withColumnRenamed("quality", "v"), "doc_id", "v")
     return out.select("n", *(F.round(c, 9).alias(c) for c in ("diff", "low", "high", "p")))
+
+
+# --- text files by type
+
+
+#: Texts without delimiters, made a log, code, markdown with a heading for every third sentence, or paragraphs of a sentence each.
+MADE = r"""x AS (SELECT doc_id, doc_id % 4 AS k, CASE doc_id % 4 WHEN 0 THEN '2025-01-01 00:00:00 ' || replace(t, chr(10), chr(10) || '2025-01-01 00:00:00 ') WHEN 1 THEN 'import x ' || replace(t, chr(10), chr(10) || 'import x ')
+  WHEN 2 THEN '## Top' || chr(10) || replace(replace(t, chr(10), chr(10) || '## '), '. ', '.' || chr(10) || chr(10)) ELSE replace(t, '. ', '.' || chr(10) || chr(10)) END AS t FROM (SELECT doc_id, translate(text, ',;|-*0123456789' || chr(9), '') AS t FROM documents WHERE n_chars BETWEEN 200 AND 9000))"""
+
+
+@register("text_segments", rf"""WITH RECURSIVE {MADE}, s AS (SELECT doc_id, k, string_split(t, chr(10)) AS l FROM x), a AS (SELECT doc_id, k, l, unnest(range(0, len(l), 50)) AS b FROM s WHERE k < 2),
+w AS (SELECT doc_id, CASE k WHEN 0 THEN 'log' ELSE 'code' END AS content_type, CASE k WHEN 0 THEN 'log_chunk' ELSE 'code_chunk' END AS node_type, 'lines ' || (b + 1) || '-' || least(b + 60, len(l)) AS title, NULL AS section, b + 1 AS line_start, least(b + 60, len(l)) AS line_end, left(array_to_string(l[b + 1 : b + 60], chr(10)), 6000) AS text FROM a WHERE b = 0 OR b + 10 < len(l)),
+p AS (SELECT doc_id, k, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM s WHERE k >= 2), h AS (SELECT *, k = 2 AND regexp_matches(line, '{K.HEADING_LINE}') AS head FROM p WHERE regexp_matches(line, '\S')),
+r AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY no) AS run, head OR coalesce(lag(no) OVER (PARTITION BY doc_id ORDER BY no) <> no - 1, true) AS opens FROM h), u AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY no) AS unit FROM r),
+g AS (SELECT doc_id, k, run, unit, min(no) AS a, max(no) AS b, string_agg(line, chr(10) ORDER BY no) AS body FROM u GROUP BY doc_id, k, run, unit), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY unit) AS i FROM g),
+z AS (SELECT doc_id, run, i, 0 AS pack, length(body)::BIGINT AS total FROM n WHERE i = 1 UNION ALL SELECT n.doc_id, n.run, n.i, CASE WHEN total + length(body) > 1500 THEN pack + 1 ELSE pack END, CASE WHEN total + length(body) > 1500 THEN length(body) ELSE total + length(body) END FROM z JOIN n ON n.doc_id = z.doc_id AND n.run = z.run AND n.i = z.i + 1),
+t AS (SELECT doc_id, run, trim(regexp_extract(arg_min(line, no), '{K.HEADING_LINE}', 2)) AS section FROM u WHERE k = 2 AND run > 0 GROUP BY 1, 2),
+c AS (SELECT doc_id, k, run, pack, min(a) AS a, max(b) AS b, string_agg(body, chr(10) || chr(10) ORDER BY i) AS body FROM n JOIN z USING (doc_id, run, i) GROUP BY 1, 2, 3, 4)
+SELECT * FROM w UNION ALL SELECT doc_id, CASE k WHEN 2 THEN 'markdown' ELSE 'prose' END, 'section', coalesce(section, 'lines ' || a || '-' || b), section, a, b, left(body, 6000) FROM c LEFT JOIN t USING (doc_id, run)""")
+def text_segments(s, d):
+    t, k, x = F.translate("text", ",;|-*0123456789\t", ""), F.col("doc_id") % 4, F.lit
+    swap = lambda c, a, b: F.replace(c, x(a), x(b))
+    stamp, bring = "2025-01-01 00:00:00 ", "import x "
+    text = F.when(k == 0, F.concat(x(stamp), swap(t, "\n", "\n" + stamp))).when(k == 1, F.concat(x(bring), swap(t, "\n", "\n" + bring))).when(k == 2, F.concat(x("## Top\n"), swap(swap(t, "\n", "\n## "), ". ", ".\n\n"))).otherwise(swap(t, ". ", ".\n\n"))
+    out = T.text_segments(read(s, d, "documents").filter("n_chars between 200 and 9000").select("doc_id", text.alias("text")), "doc_id")
+    return out.withColumn("line_start", F.col("line_start").cast("long")).withColumn("line_end", F.col("line_end").cast("long"))
