@@ -192,6 +192,69 @@ def summarize(results: DataFrame, by: str = "cls") -> DataFrame:
     ).withColumn(by, F.coalesce(F.col(by), F.lit("all")))
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    return a.cast("double") / F.nullif(b, F.lit(0))
+
+
+def reports(results: DataFrame) -> DataFrame:
+    """(report, part, n, ...): the reports of an evaluation run, each a partition of its answered questions, with every rate and mean (AGG-16, AGG-17).
+
+    Each question is dealt to the reports that it belongs to, and all are made by one aggregation:
+    `all`; `class`; `route`, expected->taken, without uploads; `expected` routes; `upload` and
+    `upload_route`; `agent`, used or direct, and `agent_stop`; `web`, or any other way; `sql`, for
+    questions of class Q3 and others of the corpus; `reasoning` by level. A rate is over the questions
+    that have its values, and null where none has.
+
+    results: id, cls, expected_route, route, upload, upload_route, failed, recall_5, mrr, ndcg_10,
+    must_include_ok, score, faithful, relevant, cited, supported, grounded, answerable, refused,
+    latency_s, tokens, sql_used, sql_ex, agent_used, agent_steps, agent_stop, crag_refused,
+    web_supported, web_unsupported, level, truncated, escalated.
+    """
+    text = lambda c: F.col(c).cast("string")
+    corpus = F.col("expected_route") == "corpus"
+    level = F.coalesce("level", F.lit("none"))
+    parts = {
+        "all": F.lit("all"),
+        "class": text("cls"),
+        "route": F.when(F.col("upload").isNull(), F.concat(text("expected_route"), F.lit("->"), text("route"))),
+        "expected": text("expected_route"),
+        "upload": text("upload"),
+        "upload_route": F.when(F.col("upload").isNotNull(), F.concat_ws(": ", "upload", "upload_route")),
+        "agent": F.when(F.col("agent_used"), "used").when(F.col("route") == "corpus", "direct"),
+        "agent_stop": F.when(F.col("agent_used"), text("agent_stop")),
+        "web": F.when(F.col("route") == "web", "web").otherwise("other"),
+        "sql": F.when(F.col("cls") == "Q3", "Q3").when(corpus, "other"),
+        "reasoning": level,
+    }
+    of = F.filter(F.array(*(F.struct(F.lit(k).alias("report"), v.alias("part")) for k, v in parts.items())), lambda x: x["part"].isNotNull())
+    rows = results.filter(~F.coalesce("failed", F.lit(False))).withColumn("_of", F.explode(of))
+    mean = lambda c, only=None: F.avg((F.col(c) if only is None else F.when(only, F.col(c))).cast("double"))
+    q6, pool = F.col("cls") == "Q6", corpus & F.col("refused").isNotNull()
+    refused = lambda right: F.count_if(pool & F.col("refused") & right)
+    latency = lambda q: F.percentile(F.col("latency_s").cast("double"), q)
+    reasoned = level != "none"
+    return rows.groupBy("_of.report", "_of.part").agg(
+        F.count("*").alias("n"),
+        mean("recall_5").alias("recall_5"), mean("mrr").alias("mrr"), mean("ndcg_10").alias("ndcg_10"),
+        F.avg(F.when(F.col("upload").isNull(), (F.col("expected_route").eqNullSafe(F.col("route"))).cast("double"))).alias("routed_right"),
+        mean("must_include_ok").alias("must_include"), mean("grounded", corpus & (F.col("route") == "corpus") & F.col("answerable")).alias("grounded"),
+        mean("score").alias("correctness"), mean("faithful", corpus & (F.col("route") == "corpus")).alias("faithfulness"), mean("relevant").alias("relevance"),
+        _ratio(F.sum(F.when(corpus & F.col("score").isNotNull(), F.col("supported"))), F.sum(F.when(corpus & F.col("score").isNotNull(), F.col("cited")))).alias("citation_precision"),
+        _ratio(refused(q6), F.count_if(pool & F.col("refused"))).alias("refusal_precision"), _ratio(refused(q6), F.count_if(pool & q6)).alias("refusal_recall"), refused(~q6).alias("false_refusals"),
+        latency(0.5).alias("p50"), latency(0.95).alias("p95"), mean("tokens").alias("tokens"),
+        mean("sql_used").alias("sql_used"), mean("sql_ex").alias("sql_accuracy"),
+        mean("agent_used").alias("agent_used"), mean("agent_steps", F.col("agent_used")).alias("agent_steps"), F.count_if("crag_refused").alias("crag_refusals"),
+        F.avg(F.when(corpus & ~q6, (F.col("score") == 0).cast("double"))).alias("wrong_rate"),
+        _ratio(F.sum(F.when(F.col("route") == "web", F.col("web_unsupported"))), F.sum(F.when(F.col("route") == "web", F.col("web_supported") + F.col("web_unsupported")))).alias("unsupported_share"),
+        mean("truncated", reasoned).alias("truncated_share"), F.count_if("escalated").alias("escalated"),
+    )
+
+
+def recall_by_file_type(spans: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """(file_type, spans, recall_k...): shares of reference spans (file_type, rank) found by rank k, each span counting once; null is not found (AGG-17)."""
+    return spans.groupBy("file_type").agg(F.count("*").alias("spans"), *(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks))
+
+
 def summarize_code(runs: DataFrame, by: str = "model") -> DataFrame:
     """Solved share, mean steps and the share of writes that broke a file, as a ratio of sums (AGG-18)."""
     return runs.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("solved").cast("double")).alias("solved"), F.avg("steps").alias("steps"), (F.sum("broken_writes") / F.nullif(F.sum("writes"), F.lit(0))).alias("broken_share"), F.expr("percentile(cast(latency_s as double), 0.5)").alias("p50"))

@@ -177,3 +177,43 @@ def text_segments(s, d):
     text = F.when(k == 0, F.concat(x(stamp), swap(t, "\n", "\n" + stamp))).when(k == 1, F.concat(x(bring), swap(t, "\n", "\n" + bring))).when(k == 2, F.concat(x("## Top\n"), swap(swap(t, "\n", "\n## "), ". ", ".\n\n"))).otherwise(swap(t, ". ", ".\n\n"))
     out = T.text_segments(read(s, d, "documents").filter("n_chars between 200 and 9000").select("doc_id", text.alias("text")), "doc_id")
     return out.withColumn("line_start", F.col("line_start").cast("long")).withColumn("line_end", F.col("line_end").cast("long"))
+
+
+# --- reports of an evaluation run
+
+
+#: A run whose questions are events: what happened follows from their ids, users and values.
+ASKED = """x AS (SELECT event_id AS id, 'Q' || (event_id % 7) AS cls, CASE WHEN event_id % 4 = 0 THEN 'general' ELSE 'corpus' END AS expected_route, CASE event_id % 5 WHEN 0 THEN 'general' WHEN 1 THEN 'web' ELSE 'corpus' END AS route, CASE WHEN user_id % 6 = 0 THEN event_type END AS upload,
+'r' || (event_id % 3) AS upload_route, event_id % 50 = 0 AS failed, value / 100 AS recall_5, CASE WHEN user_id % 2 = 0 THEN value / 200 END AS mrr, value / 300 AS ndcg_10, CASE WHEN user_id % 3 > 0 THEN value > 20 END AS must_include_ok, CASE WHEN user_id % 5 > 0 THEN (event_id % 3) / 2.0::DOUBLE END AS score,
+value > 30 AS faithful, value > 10 AS relevant, event_id % 4 AS cited, event_id % 3 AS supported, value > 15 AS grounded, event_id % 3 > 0 AS answerable, CASE WHEN user_id % 7 > 0 THEN event_id % 6 = 0 END AS refused, value AS latency_s, event_id % 900 AS tokens, event_id % 8 = 0 AS sql_used, CASE WHEN event_id % 8 = 0 THEN value > 40 END AS sql_ex,
+user_id % 4 = 0 AS agent_used, event_id % 9 AS agent_steps, 's' || (event_id % 2) AS agent_stop, event_id % 13 = 0 AS crag_refused, event_id % 5 AS web_supported, event_id % 4 AS web_unsupported, CASE user_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'none' END AS level, event_id % 17 = 0 AS truncated, event_id % 19 = 0 AS escalated FROM events),
+y AS (SELECT *, expected_route = 'corpus' AS c, cls = 'Q6' AS q6, coalesce(level, 'none') AS lv FROM x WHERE NOT failed)"""
+_MADE = """count(*) AS n, avg(recall_5) AS recall_5, avg(mrr) AS mrr, avg(ndcg_10) AS ndcg_10, avg((expected_route = route)::INT) FILTER (upload IS NULL) AS routed_right, avg(must_include_ok::INT) AS must_include, avg(grounded::INT) FILTER (c AND route = 'corpus' AND answerable) AS grounded, avg(score) AS correctness,
+avg(faithful::INT) FILTER (c AND route = 'corpus') AS faithfulness, avg(relevant::INT) AS relevance, sum(supported) FILTER (c AND score IS NOT NULL) / nullif(sum(cited) FILTER (c AND score IS NOT NULL), 0) AS citation_precision, count(*) FILTER (c AND refused AND q6) / nullif(count(*) FILTER (c AND refused), 0) AS refusal_precision,
+count(*) FILTER (c AND refused AND q6) / nullif(count(*) FILTER (c AND refused IS NOT NULL AND q6), 0) AS refusal_recall, count(*) FILTER (c AND refused AND NOT q6) AS false_refusals, quantile_cont(latency_s, 0.5) AS p50, quantile_cont(latency_s, 0.95) AS p95, avg(tokens) AS tokens, avg(sql_used::INT) AS sql_used, avg(sql_ex::INT) AS sql_accuracy,
+avg(agent_used::INT) AS agent_used, avg(agent_steps) FILTER (agent_used) AS agent_steps, count(*) FILTER (crag_refused) AS crag_refusals, avg((score = 0)::INT) FILTER (c AND NOT q6) AS wrong_rate, sum(web_unsupported) FILTER (route = 'web') / nullif(sum(web_supported + web_unsupported) FILTER (route = 'web'), 0) AS unsupported_share, avg(truncated::INT) FILTER (lv <> 'none') AS truncated_share, count(*) FILTER (escalated) AS escalated"""
+_PARTS = {
+    "all": "'all'", "class": "cls", "route": "CASE WHEN upload IS NULL THEN expected_route || '->' || route END", "expected": "expected_route", "upload": "upload", "upload_route": "CASE WHEN upload IS NOT NULL THEN upload || ': ' || upload_route END",
+    "agent": "CASE WHEN agent_used THEN 'used' WHEN route = 'corpus' THEN 'direct' END", "agent_stop": "CASE WHEN agent_used THEN agent_stop END", "web": "CASE WHEN route = 'web' THEN 'web' ELSE 'other' END", "sql": "CASE WHEN cls = 'Q3' THEN 'Q3' WHEN c THEN 'other' END", "reasoning": "lv",
+}
+_COUNTS = ("n", "false_refusals", "crag_refusals", "escalated")
+_RATES = "recall_5 mrr ndcg_10 routed_right must_include grounded correctness faithfulness relevance citation_precision refusal_precision refusal_recall p50 p95 tokens sql_used sql_accuracy agent_used agent_steps wrong_rate unsupported_share truncated_share".split()
+
+
+@register("run_reports", f"WITH {ASKED}, z AS (" + " UNION ALL ".join(f"SELECT '{k}' AS report, part, {_MADE} FROM (SELECT *, {v} AS part FROM y) WHERE part IS NOT NULL GROUP BY part" for k, v in _PARTS.items()) + f") SELECT report, part, {', '.join(_COUNTS)}, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in _RATES)} FROM z")
+def run_reports(s, d):
+    i, u, v, none = F.col("event_id"), F.col("user_id"), F.col("value"), F.lit(None)
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    asked = read(s, d, "events").select(
+        i.alias("id"), text("Q", i % 7).alias("cls"), F.when(i % 4 == 0, "general").otherwise("corpus").alias("expected_route"), F.when(i % 5 == 0, "general").when(i % 5 == 1, "web").otherwise("corpus").alias("route"), F.when(u % 6 == 0, F.col("event_type")).alias("upload"),
+        text("r", i % 3).alias("upload_route"), (i % 50 == 0).alias("failed"), (v / 100).alias("recall_5"), F.when(u % 2 == 0, v / 200).alias("mrr"), (v / 300).alias("ndcg_10"), F.when(u % 3 > 0, v > 20).alias("must_include_ok"), F.when(u % 5 > 0, (i % 3) / 2.0).alias("score"),
+        (v > 30).alias("faithful"), (v > 10).alias("relevant"), (i % 4).alias("cited"), (i % 3).alias("supported"), (v > 15).alias("grounded"), (i % 3 > 0).alias("answerable"), F.when(u % 7 > 0, i % 6 == 0).alias("refused"), v.alias("latency_s"), (i % 900).alias("tokens"), (i % 8 == 0).alias("sql_used"), F.when(i % 8 == 0, v > 40).alias("sql_ex"),
+        (u % 4 == 0).alias("agent_used"), (i % 9).alias("agent_steps"), text("s", i % 2).alias("agent_stop"), (i % 13 == 0).alias("crag_refused"), (i % 5).alias("web_supported"), (i % 4).alias("web_unsupported"), F.when(u % 3 == 0, "low").when(u % 3 == 1, "none").otherwise(none.cast("string")).alias("level"), (i % 17 == 0).alias("truncated"), (i % 19 == 0).alias("escalated"),
+    )
+    return E.reports(asked).select("report", "part", *_COUNTS, *(F.round(c, 6).alias(c) for c in _RATES))
+
+
+@register("recall_by_file_type", """SELECT event_type AS file_type, count(*) AS spans, round(avg((rank <= 1 AND rank > 0)::INT), 9) AS recall_1, round(avg((rank <= 3 AND rank > 0)::INT), 9) AS recall_3, round(avg((rank <= 5 AND rank > 0)::INT), 9) AS recall_5, round(avg((rank <= 10 AND rank > 0)::INT), 9) AS recall_10 FROM (SELECT event_type, event_id % 14 AS rank FROM events) GROUP BY 1""")
+def recall_by_file_type(s, d):
+    spans = read(s, d, "events").select(F.col("event_type").alias("file_type"), F.nullif(F.col("event_id") % 14, F.lit(0)).alias("rank"))
+    return E.recall_by_file_type(spans).select("file_type", "spans", *(F.round(f"recall_{k}", 9).alias(f"recall_{k}") for k in E.KS))

@@ -121,3 +121,21 @@ def test_source_chunks(spark):
     df = A.chunked_sources(spark.createDataFrame([("a.py", src)], "path string, source string"), limit=90)
     assert df.count() == 4
     assert A.syntax_error("a.json", "{") and A.syntax_error("a.py", "x = 1") is None and A.syntax_error("a.ipynb", "{}") == "no cells"
+
+
+def test_reports_of_a_run(spark):
+    base = dict(id=1, cls="Q1", expected_route="corpus", route="corpus", upload=None, upload_route=None, failed=False, recall_5=0.5, mrr=0.5, ndcg_10=0.5, must_include_ok=True, score=1.0, faithful=True, relevant=True, cited=2, supported=1, grounded=True, answerable=True, refused=False, latency_s=1.0, tokens=10, sql_used=False, sql_ex=None, agent_used=False, agent_steps=0, agent_stop=None, crag_refused=False, web_supported=0, web_unsupported=0, level=None, truncated=False, escalated=False)
+    rows = [
+        base, base | dict(id=2, cls="Q6", refused=True, score=0.0, latency_s=3.0, answerable=False, crag_refused=True, level="low", truncated=True), base | dict(id=3, cls="Q1", refused=True, score=0.0, cited=0, supported=0, agent_used=True, agent_steps=4, agent_stop="done"),
+        base | dict(id=4, cls="Q10", route="web", score=None, web_supported=3, web_unsupported=1), base | dict(id=5, upload="f", upload_route="index", route="upload"), base | dict(id=6, failed=True),
+    ]
+    schema = "id int, cls string, expected_route string, route string, upload string, upload_route string, failed boolean, recall_5 double, mrr double, ndcg_10 double, must_include_ok boolean, score double, faithful boolean, relevant boolean, cited int, supported int, grounded boolean, answerable boolean, refused boolean, latency_s double, tokens int, sql_used boolean, sql_ex boolean, agent_used boolean, agent_steps int, agent_stop string, crag_refused boolean, web_supported int, web_unsupported int, level string, truncated boolean, escalated boolean"
+    got = {(r.report, r.part): r for r in E.reports(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect()}
+    whole = got["all", "all"]
+    assert (whole.n, whole.routed_right, whole.correctness, whole.refusal_precision, whole.refusal_recall, whole.false_refusals) == (5, 0.75, 0.5, 0.5, 1.0, 1)
+    assert (whole.citation_precision, whole.wrong_rate, whole.unsupported_share, whole.truncated_share, whole.crag_refusals) == (0.5, 1 / 3, 0.25, 1.0, 1)
+    assert {k[1]: v.n for k, v in got.items() if k[0] == "route"} == {"corpus->corpus": 3, "corpus->web": 1} and got["upload_route", "f: index"].n == 1
+    assert got["agent", "used"].agent_steps == 4.0 and got["agent_stop", "done"].n == 1 and got["reasoning", "low"].n == 1 and got["class", "Q1"].n == 3
+    spans = spark.createDataFrame([("py", 1), ("py", 4), ("py", None)], "file_type string, rank int")
+    r = E.recall_by_file_type(spans).first()
+    assert (r.spans, r.recall_1, r.recall_5) == (3, 1 / 3, 2 / 3)
