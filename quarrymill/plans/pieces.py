@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -14,6 +15,7 @@ from ..operators import ranking as R
 from ..operators import textfiles as T
 from ..operators import web as W
 from ..sources import files as X
+from ..sources import footers as P
 from ..sources import sinks
 from .registry import read, register
 
@@ -217,3 +219,24 @@ def run_reports(s, d):
 def recall_by_file_type(s, d):
     spans = read(s, d, "events").select(F.col("event_type").alias("file_type"), F.nullif(F.col("event_id") % 14, F.lit(0)).alias("rank"))
     return E.recall_by_file_type(spans).select("file_type", "spans", *(F.round(f"recall_{k}", 9).alias(f"recall_{k}") for k in E.KS))
+
+
+# --- Parquet footers and positions
+
+
+@register("row_groups", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("documents", "embeddings", "orders", "lineitem", "pages", "labels")))
+def row_groups(s, d):
+    """Rows by the footers of six tables, groups that don't follow each other left out."""
+    parts = [P.row_groups(s, f"{d}/{t}.parquet").select(F.lit(t).alias("name"), "*") for t in ("documents", "embeddings", "orders", "lineitem", "pages", "labels")]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("name", "path").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return every.withColumn("_before", before).filter("_before = first_row").groupBy("name").agg(F.sum("rows").alias("rows"))
+
+
+@register("positional_split", """WITH p AS (SELECT doc_id, row_number() OVER () - 1 AS position FROM documents) SELECT doc_id, position, (('0x' || left(md5('0:documents.parquet:' || position), 8))::BIGINT % 5)::INT AS fold FROM p WHERE position % 7 = 0""")
+def positional_split(s, d):
+    rows = P.with_positions(s, f"{d}/documents.parquet", "doc_id")
+    taken = P.take_positions(rows, rows.filter("position % 7 = 0"))
+    return P.positional_split(taken, 5).select("doc_id", "position", "fold")

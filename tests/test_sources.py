@@ -78,3 +78,27 @@ def test_upsert_stream(spark, tmp_path):
     assert read() == [("a", 2, 2), ("b", 1, 1)]
     feed(("b", -1, 2), ("c", 5, 1))
     assert read() == [("a", 2, 2), ("c", 5, 1)]
+
+
+def test_footers_and_positions(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quarrymill.sources import footers as P
+
+    folder = tmp_path / "f"
+    folder.mkdir()
+    pq.write_table(pa.table({"x": list(range(25))}), folder / "a.parquet", row_group_size=10)
+    pq.write_table(pa.table({"x": [100]}), folder / "b.parquet")
+    (folder / "_note.txt").write_text("no table")
+    want = [("a.parquet", 0, 0, 10), ("a.parquet", 1, 10, 10), ("a.parquet", 2, 20, 5), ("b.parquet", 0, 0, 1)]
+    for path in (str(folder), f"file://{folder}"):
+        got = [(r.path.rpartition("/")[2], r.row_group, r.first_row, r.rows) for r in P.row_groups(spark, path).orderBy("path", "row_group").collect()]
+        assert got == want
+    assert [r.rows for r in P.row_groups(spark, str(folder / "b.parquet")).collect()] == [1]
+    rows = P.with_positions(spark, str(folder), "x")
+    assert {(r.file, r.position, r.x) for r in rows.collect()} == {("a.parquet", i, i) for i in range(25)} | {("b.parquet", 0, 100)}
+    wanted = spark.createDataFrame([("a.parquet", 3), ("a.parquet", 3), ("b.parquet", 9)], "file string, position long")
+    assert [r.x for r in P.take_positions(rows, wanted).collect()] == [3]
+    folds = lambda n: {(r.file, r.position): r.fold for r in P.positional_split(rows.repartition(n), 3).collect()}
+    assert folds(1) == folds(4) and set(folds(1).values()) == {0, 1, 2}
