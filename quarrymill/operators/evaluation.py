@@ -96,27 +96,39 @@ def threshold_table(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     return out.withColumn("precision", F.col("caught") / F.nullif(F.col("caught") + F.col("refused"), F.lit(0)))
 
 
-def rows_match(gold: list[tuple], predicted: list[tuple]) -> bool:
-    """Values-only execution accuracy (SQL-09, JOIN-20): each gold row is contained, as a bag of normalised values, in a predicted row of its own."""
-    from collections import Counter
-
-    def norm(v):
-        if isinstance(v, bool) or v is None:
-            return v
-        if isinstance(v, (int, float)):
-            return round(float(v), 4)
-        return str(v).strip().lower()
-
-    if len(gold) != len(predicted):
-        return False
-    rest = [Counter(map(norm, p)) for p in predicted]
-    for g in gold:
-        want = Counter(map(norm, g))
-        at = next((i for i, p in enumerate(rest) if not want - p), None)
-        if at is None:
-            return False
-        del rest[at]
-    return True
+def number_cell(value: Column) -> Column:
+    """A number of a result as it is compared: to four decimals."""
+    return F.concat(F.lit("n"), F.round(value.cast("double"), 4).cast("string"))
+
+
+def text_cell(value: Column) -> Column:
+    """A text of a result as it is compared: trimmed, whatever its case."""
+    return F.concat(F.lit("s"), F.lower(F.trim(value.cast("string"))))
+
+
+def execution_matches(gold: DataFrame, predicted: DataFrame, values_only: bool = False, key: str = "query_id") -> DataFrame:
+    """(key, matches): whether each reference row is contained in a predicted row of its own, and there are as many (SQL-09, JOIN-20, SET-07).
+
+    Both have (key, row, cells), cells by number_cell and text_cell; predicted rows may have more of
+    them. Reference rows take, in their order, the first row left that holds their cells as often as they
+    do. With `values_only`, of reference rows that hold numbers only these count. A question is one row's
+    fold over its result sets, which the SQL tool bounds. Only questions with rows on either side are told.
+    """
+    held = lambda df, name: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias(name))
+    none = F.array().cast("array<array<string>>")
+    both = held(gold, "g").join(held(predicted, "p"), key, "full_outer").select(key, F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
+    if values_only:
+        numbers = lambda cells: F.filter(cells, lambda v: F.startswith(v, F.lit("n")))
+        both = both.withColumn("g", F.transform("g", lambda cells: F.when(F.size(numbers(cells)) > 0, numbers(cells)).otherwise(cells)))
+    times = lambda cells, v: F.size(cells) - F.size(F.array_remove(cells, v))
+
+    def take(acc: Column, cells: Column) -> Column:
+        at = F.array_position(F.transform(acc["left"], lambda p: F.forall(cells, lambda v: times(p, v) >= times(cells, v))), True)
+        rest = F.concat(F.slice(acc["left"], 1, F.greatest(at - 1, F.lit(0)).cast("int")), F.slice(acc["left"], (at + 1).cast("int"), F.size(acc["left"])))
+        return F.struct(F.when(at > 0, rest).otherwise(acc["left"]).alias("left"), (acc["all"] & (at > 0)).alias("all"))
+
+    found = F.aggregate("g", F.struct(F.col("p").alias("left"), F.lit(True).alias("all")), take, lambda acc: acc["all"])
+    return both.select(key, ((F.size("g") == F.size("p")) & found).alias("matches"))
 
 
 def source_matches(node: str = "h", ref: str = "r") -> Column:

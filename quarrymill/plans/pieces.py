@@ -240,3 +240,36 @@ def positional_split(s, d):
     rows = P.with_positions(s, f"{d}/documents.parquet", "doc_id")
     taken = P.take_positions(rows, rows.filter("position % 7 = 0"))
     return P.positional_split(taken, 5).select("doc_id", "position", "fold")
+
+
+# --- results of statements
+
+
+#: Reference rows are a conversation's roles and lengths; predicted ones have its id too, the role in capitals, and a wrong length in some turns.
+RESULTS = """g AS (SELECT conv_id, turn, ['s' || role, 'n' || round(length(text), 4)::DOUBLE] AS c FROM conversations WHERE text IS NOT NULL), p AS (SELECT conv_id, turn, ['n' || round(conv_id, 4)::DOUBLE, 's' || CASE WHEN turn % 3 = 2 THEN 'other' ELSE role END, 'n' || (length(text) + CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 1 ELSE 0 END)::DOUBLE] AS c FROM conversations WHERE text IS NOT NULL),
+n AS (SELECT conv_id, list(c ORDER BY turn) AS g FROM g GROUP BY 1), m AS (SELECT conv_id, list(c ORDER BY turn DESC) AS p FROM p GROUP BY 1)"""
+
+
+def _matched(numbers: bool) -> str:
+    wanted = "CASE WHEN len(list_filter(x, lambda v: v[1] = 'n')) > 0 THEN list_filter(x, lambda v: v[1] = 'n') ELSE x END" if numbers else "x"
+    return f"""r AS (SELECT conv_id, list_transform(g, lambda x: {wanted}) AS g, p AS pool, 0 AS i, true AS ok FROM n JOIN m USING (conv_id) UNION ALL SELECT conv_id, g, CASE WHEN at_ > 0 THEN list_concat(pool[: at_ - 1], pool[at_ + 1 :]) ELSE pool END, i + 1, ok AND at_ > 0
+FROM (SELECT *, coalesce(list_position(list_transform(pool, lambda q: len(list_filter(g[i + 1], lambda v: len(list_filter(q, lambda y: y = v)) < len(list_filter(g[i + 1], lambda y: y = v)))) = 0), true), 0) AS at_ FROM r WHERE i < len(g)))
+SELECT conv_id AS query_id, ok AS matches FROM r WHERE i = len(g)"""
+
+
+def _results(s, d):
+    c, t = F.col("conv_id"), F.col("turn")
+    rows, long_ = read(s, d, "conversations").filter("text is not null"), F.length("text")
+    wrong = F.when((c % 5 == 0) & (t == 1), 1).otherwise(0)
+    gold = rows.select(c.alias("query_id"), t.alias("row"), F.array(E.text_cell(F.col("role")), E.number_cell(long_)).alias("cells"))
+    return gold, rows.select(c.alias("query_id"), (-t).alias("row"), F.array(E.number_cell(c), E.text_cell(F.upper(F.when(t % 3 == 2, "other").otherwise(F.col("role")))), E.number_cell(long_ + wrong)).alias("cells"))
+
+
+@register("execution_matches", f"WITH RECURSIVE {RESULTS}, {_matched(False)}")
+def execution_matches(s, d):
+    return E.execution_matches(*_results(s, d))
+
+
+@register("execution_matches_values", f"WITH RECURSIVE {RESULTS}, {_matched(True)}")
+def execution_matches_values(s, d):
+    return E.execution_matches(*_results(s, d), values_only=True)

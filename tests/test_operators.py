@@ -1,5 +1,6 @@
 """Golden values and small fixtures for the engine's own operators."""
 
+import functools
 import math
 import random
 
@@ -154,8 +155,20 @@ def test_token_weights_and_zero_vectors(spark):
     assert {(r.query_id, r.node_id, r.score) for r in top} == {(1, 2, 0.0), (2, 3, 1.0), (3, 2, 1.0), (4, 1, 0.0)}
 
 
-def test_rows_match():
-    assert E.rows_match([("A ", 0.5)], [(0.50001, "a", 3)]) and not E.rows_match([("a",), ("a",)], [("a",), ("b",)])
+def test_execution_matches(spark):
+    def told(gold, predicted, **k):
+        cell = lambda v: F.lit(None).cast("string") if v is None else E.text_cell(F.lit(v)) if isinstance(v, str) else E.number_cell(F.lit(v))
+        one = spark.range(1)
+        side = lambda rows: [one.select(F.lit(1).alias("query_id"), F.lit(i).alias("row"), F.array(*map(cell, r)).alias("cells")) for i, r in enumerate(rows)]
+        empty = one.select(F.lit(1).alias("query_id"), F.lit(0).alias("row"), F.array().cast("array<string>").alias("cells")).limit(0)
+        frames = [functools.reduce(lambda a, b: a.unionByName(b), side(rows), empty) for rows in (gold, predicted)]
+        return [r.matches for r in E.execution_matches(*frames, **k).collect()]
+
+    assert told([("A ", 0.5)], [(0.50001, "a", 3)]) == [True] and told([("a",), ("a",)], [("a",), ("b",)]) == [False]
+    assert told([("a",)], [("a",), ("b",)]) == told([("a",)], []) == [False] and told([], []) == []
+    assert told([(1, 1)], [(1, 2)]) == [False] and told([(1, 1), (1,)], [(1, "x"), (1, 1, "y")]) == [True]
+    assert told([("title", 0.5)], [("path", 0.5)]) == [False] and told([("title", 0.5)], [("path", 0.5)], values_only=True) == [True]
+    assert told([("x",)], [("y",)], values_only=True) == [False]
 
 
 def test_def_use():
