@@ -220,6 +220,14 @@ def kept_by_worker(key: str, make):
     return held[key]
 
 
+def forget_kept() -> None:
+    """Let go of what this worker keeps for another stage; for stages that keep nothing."""
+    home = sys.modules.get("_quarrymill_worker")
+    if home is not None and home.__dict__.get("held"):
+        home.held.clear()
+        give_back()
+
+
 def span_digest(spans, kinds):
     """kind:start:end by start, then kind as listed (others after them, by name), joined by commas."""
     place = F.create_map(*(x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))))

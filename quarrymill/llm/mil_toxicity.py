@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, in_split, labelled_texts, share, slices
+from .common import bounded_labels, forget_kept, in_split, labelled_texts, share, slices
 
 #: Labelled documents that a model is fitted on, at most, and characters of their texts.
 MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 8_000, 48_000_000
@@ -147,6 +147,7 @@ def count_features(rows: DataFrame) -> DataFrame:
     """(feature, n1, n0): how many documents of either label hold each feature; summed up within a task first."""
 
     def run(batches):
+        forget_kept()
         found: tuple[Counter, Counter] = (Counter(), Counter())
 
         def batch():
@@ -180,6 +181,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN
     shared = share(docs.sparkSession, {x: i for i, x in enumerate(features)})
 
     def run(batches):
+        forget_kept()
         place = shared()
         for b in slices(batches, "text"):
             ids, sizes = zip(*(feature_ids(t, place) for t in b.column("text").to_pylist()), strict=True) if b.num_rows else ((), ())
@@ -195,6 +197,7 @@ def score_toxicity(docs: DataFrame, model: InstanceModel, threshold: float = 0.3
     shared = share(docs.sparkSession, model)
 
     def run(batches):
+        forget_kept()
         score = shared().scorer()
         for b in slices(batches, "text"):
             scores, found = [], []
@@ -221,6 +224,7 @@ def keep_clean(docs: DataFrame, model: InstanceModel, threshold: float = 0.3) ->
     shared = share(docs.sparkSession, model)
 
     def run(batches):
+        forget_kept()
         score = shared().scorer()
         for b in slices(batches, "text"):
             keep = [not t or noisy_or(score(t, sentences(t))) < threshold for t in b.column("text").to_pylist()]
