@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -73,6 +73,17 @@ def with_positions(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.parquet(path).select(*columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("position"))
 
 
+def table_positions(spark: SparkSession, path: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table's Parquet files with `file`, which is `name`, and `position`, the row's place in the table: its files one after the other by path.
+
+    Files are counted first, without a column; their rows stay where they are.
+    """
+    rows = spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    files = rows.groupBy("_path").agg(F.count("*").alias("_n")).select("_path", before.alias("_before"))
+    return rows.join(F.broadcast(files), "_path").select(*columns, F.lit(name).alias("file"), (F.col("_before") + F.col("_row")).alias("position"))
+
+
 def positional_split(rows: DataFrame, folds: int, seed: int = 0) -> DataFrame:
     """`fold` of each row (file, position): a digest of seed, file and position, so that a split is the same whenever files are."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "file", F.col("position").cast("string")))

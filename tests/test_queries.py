@@ -38,3 +38,8 @@ def test_interfaces_hold_all_signatures(spark, tmp_path):
 def test_fresh_pages_take_the_largest_id_of_an_address(spark, tmp_path):
     ids = [2015, 6718, 24, 99, 123, 0]
     assert same(spark, tmp_path, "fresh_pages", pages={"page_id": ids, "url": ["u", "u", "u", "v", "w", "w"], "html": [""] * 6}) == 2
+
+
+def test_positions_run_through_all_files_of_a_table(spark, tmp_path):
+    parts = [{"doc_id": list(range(a, a + 10))} for a in (0, 10, 20)]
+    assert same(spark, tmp_path, "positional_split", documents=parts) == 5
