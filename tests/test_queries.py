@@ -43,3 +43,7 @@ def test_fresh_pages_take_the_largest_id_of_an_address(spark, tmp_path):
 def test_positions_run_through_all_files_of_a_table(spark, tmp_path):
     parts = [{"doc_id": list(range(a, a + 10))} for a in (0, 10, 20)]
     assert same(spark, tmp_path, "positional_split", documents=parts) == 5
+
+
+def test_quoted_phrase_asks_where_it_stands(spark, tmp_path):
+    assert same(spark, tmp_path, "quoted_phrase_canaries", benchmark={"item_id": [1, 2], "text": ["a b c d e f", "too few"]}) == 2
