@@ -47,3 +47,8 @@ def test_positions_run_through_all_files_of_a_table(spark, tmp_path):
 
 def test_quoted_phrase_asks_where_it_stands(spark, tmp_path):
     assert same(spark, tmp_path, "quoted_phrase_canaries", benchmark={"item_id": [1, 2], "text": ["a b c d e f", "too few"]}) == 2
+
+
+def test_extracted_metrics_keep_their_own_cells(spark, tmp_path):
+    keys = [1, 6, 10_000_001, 10_000_006, 5]
+    assert same(spark, tmp_path, "extracted_metrics", orders={"o_orderkey": keys, "o_custkey": [7] * 5, "o_totalprice": [123.45, 123.45, 123.45, 99.5, 77.25]}) == 4
