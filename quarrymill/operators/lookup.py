@@ -6,12 +6,14 @@ and only these are compared. Texts end in a mark on either side, so that every c
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sinks import written
-from .ranking import rank_by
+from .ranking import BROADCAST_ROWS, rank_by
 
 EDGE = "\u0001"
 #: Trigrams of a needle that are looked up: the rarest ones.
@@ -65,15 +67,87 @@ def exact_search(asked: DataFrame, fragments: DataFrame, index: DataFrame | None
 
     With `whole_words`, a needle that begins with a letter or digit is held only between characters that
     are none of a word; others are held anywhere. `index` is the fragments' trigram_index, built and
-    written here if it is not given. With `scope`, a column of both, a needle is sought in its own scope.
+    written here if it is not given, unless a scan will do: up to BROADCAST_ROWS needles, counted first, are
+    broadcast, and no text or trigram is shuffled or written. With `scope`, a column of both, a needle is sought in its own scope.
     """
+    if index is None and scope is None and not whole_words:
+        needles = asked.select(F.lower("needle").alias("needle")).filter(F.length("needle") > 0).distinct()
+        if needles.count() <= BROADCAST_ROWS:
+            return _scanned(needles, fragments, key).distinct()
     index = written(trigram_index(fragments, key, scope), "trigrams") if index is None else index
     pairs = candidates(asked, index, key, scope).join(fragments.filter("text is not null").select(key, F.lower("text").alias("_text")), key)
+    return pairs.filter(_held(whole_words)).select("needle", *([scope] if scope else []), key).distinct()
+
+
+def _held(whole_words: bool) -> Column:
     held = F.contains("_text", F.col("needle"))
     if whole_words:
         bounded = F.regexp_like("_text", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("needle"), F.lit(r"\E(?!\w)")))
         held = held & (~F.col("needle").rlike(r"^[\p{L}\p{N}]") | bounded)
-    return pairs.filter(held).select("needle", *([scope] if scope else []), key).distinct()
+    return held
+
+
+def _scanned(needles: DataFrame, fragments: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
+    """(needle, key) by one pass over the texts, some `most` characters at a time, with all needles in every task.
+
+    A needle is sought where its trigram stands that is rarest in the task's first texts; which one that is
+    changes the work, not what is found. Needles of one or two characters are sought in every text.
+    """
+    sent = fragments.sparkSession.sparkContext.broadcast([r["needle"] for r in needles.collect()])
+
+    def letters(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+
+    def codes(c: np.ndarray, at=slice(None)) -> np.ndarray:
+        x, y, z = (part[at].astype(np.int64) for part in (c[:-2], c[1:-1], c[2:]))
+        return (x << 42) | (y << 21) | z
+
+    def slots(c: np.ndarray) -> np.ndarray:
+        return ((c[:-2] * np.uint32(40_503) + c[1:-1]) * np.uint32(40_503) + c[2:]) & np.uint32((1 << 20) - 1)
+
+    def run(batches):
+        short, long_ = [n for n in sent.value if len(n) < 3], [n for n in sent.value if len(n) >= 3]
+        table, of, maybe = None, {}, np.zeros(1 << 20, dtype=bool)
+        for b in batches:
+            texts, keys = b.column("_text").to_pylist(), b.column(key)
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            at = 0
+            while at < len(texts):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+                some = texts[at:stop]
+                here = letters("\0".join([*some, "\0\0"]))
+                if table is None:
+                    kinds, counts = np.unique(codes(here), return_counts=True)
+                    for n in long_:
+                        grams = codes(letters(n))
+                        place = np.minimum(np.searchsorted(kinds, grams), len(kinds) - 1)
+                        rare = int(np.argmin(np.where(kinds[place] == grams, counts[place], 0)))
+                        of.setdefault(int(grams[rare]), []).append(n)
+                        maybe[slots(letters(n))[rare]] = True
+                    table = np.array(sorted(of), dtype=np.int64)
+                found: tuple[list, list] = ([], [])
+                if len(table):
+                    where = np.flatnonzero(maybe[slots(here)])  # most places end here
+                    grams = codes(here, where)
+                    place = np.minimum(np.searchsorted(table, grams), len(table) - 1)
+                    where, place = where[table[place] == grams], place[table[place] == grams]
+                    begins = np.append(0, np.cumsum([len(t) + 1 for t in some])[:-1])
+                    for pair in np.unique((np.searchsorted(begins, where, side="right") - 1) * len(table) + place).tolist():
+                        text = some[pair // len(table)]
+                        for n in of[int(table[pair % len(table)])]:
+                            if n in text:
+                                found[0].append(n)
+                                found[1].append(at + pair // len(table))
+                for i, text in enumerate(some):
+                    held = [n for n in short if n in text]
+                    found[0].extend(held)
+                    found[1].extend([at + i] * len(held))
+                if found[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), keys.take(pa.array(found[1], pa.int64()))], names=["needle", key])
+                at = stop
+
+    kind = fragments.schema[key].dataType.simpleString()
+    return fragments.filter("text is not null").select(key, F.lower("text").alias("_text")).mapInArrow(run, f"needle string, {key} {kind}")
 
 
 def exact_matches(fragments: DataFrame, keys: DataFrame, limit: int = 8, rare: float = 0.2) -> DataFrame:
