@@ -154,10 +154,19 @@ def exact_matches(fragments: DataFrame, keys: DataFrame, limit: int = 8, rare: f
     """(file, ord, n_keys, rank): fragments with a file's rare keys as whole words, most keys first, then in order (FLT-13, AGG-27).
 
     fragments (file, ord, text); keys (file, key). A key is rare in a file if it is in at most
-    max(1, floor(rare * n)) of its n fragments.
+    max(1, floor(rare * n)) of its n fragments. A key that is one word is looked up among the words of
+    its file's texts; only others, if there are any, need trigrams.
     """
-    rows = fragments.select("file", "text", F.struct("file", "ord").alias("_id"))
-    found = exact_search(keys.select("file", F.col("key").alias("needle")), rows, key="_id", whole_words=True, scope="file").select("needle", "_id.*")
+    asked = keys.select("file", F.lower("key").alias("needle")).filter(F.length("needle") > 0).distinct()
+    word = F.col("needle").rlike(r"(?U)^[\p{L}\p{N}]\w*$")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("needle")
+    single = asked.filter(word).select("file", "needle")
+    single = F.broadcast(single) if single.count() <= BROADCAST_ROWS else single
+    found = fragments.filter("text is not null").select("file", "ord", words).join(single, ["file", "needle"], "left_semi").select("needle", "file", "ord").distinct()
+    others = asked.filter(~word).select("file", "needle")
+    if not others.isEmpty():
+        rows = fragments.select("file", "text", F.struct("file", "ord").alias("_id"))
+        found = found.unionByName(exact_search(others, rows, key="_id", whole_words=True, scope="file").select("needle", "_id.*"))
     most = fragments.groupBy("file").agg(F.greatest(F.lit(1), F.floor(F.count("*") * rare)).alias("_most"))
     useful = found.groupBy("file", "needle").agg(F.count("*").alias("_df")).join(most, "file").filter("_df <= _most")
     hits = found.join(useful.select("file", "needle"), ["file", "needle"]).groupBy("file", "ord").agg(F.count("*").alias("n_keys"))

@@ -205,3 +205,16 @@ def test_two_writers_of_a_value_both_count(spark, tmp_path):
 
     assert json.loads(log.text(log.numbers()[-1])) == {f"{n}{i}": i for n in "ab" for i in range(5)} and log.numbers() == list(range(10))
     assert not log.commit(3, "{}") and not [p for p in (tmp_path / "r").iterdir() if re.match("_", p.name)]
+
+
+def test_words_and_few_needles_need_no_index(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("an index of all trigrams")
+
+    monkeypatch.setattr(L, "trigram_index", none)
+    rows = spark.createDataFrame([("a", 1, "The quick-brown fox"), ("a", 2, "quickly"), ("b", 3, "quick"), ("a", 4, None)], "file string, ord long, text string")
+    keys = spark.createDataFrame([("a", "QUICK"), ("a", "quick"), ("b", "brown"), ("a", "")], "file string, key string")
+    assert [tuple(r) for r in L.exact_matches(rows, keys).collect()] == [("a", 1, 1, 1)]
+    asked = spark.createDataFrame([("ick",), ("K",), ("x",), ("n f",), ("",), ("k\0t",)], "needle string")
+    got = {tuple(r) for r in L.exact_search(asked, rows, key="ord").collect()}
+    assert got == {("ick", 1), ("ick", 2), ("ick", 3), ("k", 1), ("k", 2), ("k", 3), ("x", 1), ("n f", 1)}
