@@ -243,8 +243,10 @@ def value_hints(questions: DataFrame, values: DataFrame, limit: int = HINTS) ->
     literal = exact_search(bare.select("needle"), asked, key="query_id").join(bare, "needle").select("query_id", "value")
     parts = known.select("value", F.explode(F.split(F.lower("value"), r"(?U)[\s_\-=]+")).alias("b")).filter(F.length("b") >= WORD_LEAST).distinct()
     tokens = questions.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\w\-]+"), F.lit(0)))).alias("a"))
-    spelled = close_words(tokens.select("a"), parts.select("b")).join(tokens, "a").join(parts, "b").select("query_id", "value")
-    named = literal.unionByName(spelled).distinct().join(known, "value")
+    # Of all the values with a word, only the first `limit` can be among a question's first.
+    first = rank_by(parts.join(known, "value"), ["b"], [F.asc("table"), F.asc("column"), F.asc("value")], "_n").filter(F.col("_n") <= limit).drop("_n")
+    spelled = close_words(tokens.select("a"), parts.select("b")).join(tokens, "a").join(first, "b").select("query_id", "table", "column", "value")
+    named = literal.join(known, "value").select("query_id", "table", "column", "value").unionByName(spelled).distinct()
     return rank_by(named, ["query_id"], [F.asc("table"), F.asc("column"), F.asc("value")]).filter(F.col("rank") <= limit).select("query_id", "table", "column", "value")
 
 

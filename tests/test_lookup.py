@@ -218,3 +218,9 @@ def test_words_and_few_needles_need_no_index(spark, monkeypatch):
     asked = spark.createDataFrame([("ick",), ("K",), ("x",), ("n f",), ("",), ("k\0t",)], "needle string")
     got = {tuple(r) for r in L.exact_search(asked, rows, key="ord").collect()}
     assert got == {("ick", 1), ("ick", 2), ("ick", 3), ("k", 1), ("k", 2), ("k", 3), ("x", 1), ("n f", 1)}
+
+
+def test_hints_of_a_word_with_many_values(spark):
+    values = spark.createDataFrame([("t", "c", f"alpha v{i:03d}") for i in range(100)], "table string, column string, value string")
+    asked = spark.createDataFrame([(1, "about alpha")], "query_id long, text string")
+    assert sorted(r.value for r in L.value_hints(asked, values).collect()) == [f"alpha v{i:03d}" for i in range(L.HINTS)]
