@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, kept_by_worker, materialize, release, slices
+from .common import counted, kept_by_worker, materialize, release, shuffled, slices
 
 WORDS = 5
 #: Bands and rows: a pair at similarity 0.75 misses every band with probability 2e-5; K = BANDS * ROWS.
@@ -248,7 +248,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int, cutoff: float, percent
                 good = estimate(*(_packed(b.column(c), b.num_rows) for c in ("bits_a", "bits_b")), k) >= cutoff
                 yield b.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(of("b"), "b").join(of("a"), "a").filter(near).select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(shuffled(of("b")), "b").join(shuffled(of("a")), "a").filter(near).select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
     ids = wanted.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(counted(ids, "wanted"), "doc_id", "left_semi")
     sets = texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, print binary, shingles binary").dropDuplicates(["node", "print"])
-    return materialize(sets.join(nodes.select("node", "print", "n_shingles", "bits"), ["node", "print"]).select("node", "n_shingles", "bits", "shingles"), "sets")
+    return materialize(sets.join(shuffled(nodes.select("node", "print", "n_shingles", "bits")), ["node", "print"]).select("node", "n_shingles", "bits", "shingles"), "sets")
 
 
 def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,8 +275,8 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     parts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_PART).cast("int").alias("parts")), "parts")
     one = sets.select("node", "shingles")
-    member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64(F.lit(3), "b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node")).join(one, "node")
-    centre = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node")).join(one, "node")
+    member = pairs.join(shuffled(parts), "a").select("a", F.pmod(F.xxhash64(F.lit(3), "b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node")).join(shuffled(one), "node")
+    centre = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node")).join(shuffled(one), "node")
     rows = member.withColumn("turn", F.lit(1)).unionByName(centre.withColumn("turn", F.lit(0)))
 
     def run(batches):
@@ -316,9 +316,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while not _are_stars(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-low")
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(shuffled(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select("a", "b", "m")
+        small = large.join(shuffled(least), "a").select("a", "b", "m")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         before, edges = edges, materialize(small, name)
         release(before, low)
@@ -327,7 +327,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def _named(df: DataFrame, roots: DataFrame) -> DataFrame:
     """`df` with each node's component: its root, or itself."""
-    return df.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    return df.join(shuffled(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
 def _spanning(rows: DataFrame, key: str, block: int, size: str | None = None) -> DataFrame:
@@ -341,14 +341,14 @@ def _spanning(rows: DataFrame, key: str, block: int, size: str | None = None) ->
 
 
 def _dealt(rows: DataFrame, spanning: DataFrame, key: str) -> DataFrame:
-    return _meetings(rows.join(spanning, key).withColumn("_major", F.col("comp") == F.col("_largest")).drop("_largest"), key)
+    return _meetings(rows.join(shuffled(spanning), key).withColumn("_major", F.col("comp") == F.col("_largest")).drop("_largest"), key)
 
 
 def loose_links(shared: DataFrame, nodes: DataFrame, roots: DataFrame, k: int, cutoff: float, percent: int) -> DataFrame:
     """(a, b): within each band that spans components, a spanning forest of the pairs across them whose estimate passes `cutoff`."""
     rows = materialize(_named(shared.filter("size > 2").select("band", "node"), roots), "labelled")  # two in a band have met
     spanning = materialize(_spanning(rows, "band", SIGNATURE_BLOCK), "spanning")
-    dealt = _dealt(rows, spanning, "band").join(nodes.select("node", "n_shingles", "bits"), "node")
+    dealt = _dealt(rows, spanning, "band").join(shuffled(nodes.select("node", "n_shingles", "bits")), "node")
     dealt = dealt.select("_pair", "node", "comp", "_own", "_one", "n_shingles", "bits").repartition("_pair").sortWithinPartitions("_pair", "node")
 
     def run(batches):
@@ -378,9 +378,9 @@ def confirmed_links(clusters: DataFrame, sets: DataFrame, roots: DataFrame, k: i
     A task holds pairs of blocks of clusters. It walks estimates from the largest down and
     intersects full sets only where the two components are not connected yet.
     """
-    rows = materialize(_named(clusters, roots).join(sets.select("node", F.octet_length("shingles").alias("size")), "node"), "members")
+    rows = materialize(_named(clusters, roots).join(shuffled(sets.select("node", F.octet_length("shingles").alias("size"))), "node"), "members")
     spanning = materialize(_spanning(rows, "cluster", SET_BLOCK, "size"), "clusters")
-    dealt = _dealt(rows.select("cluster", "node", "comp").distinct(), spanning, "cluster").join(sets, "node")
+    dealt = _dealt(rows.select("cluster", "node", "comp").distinct(), spanning, "cluster").join(shuffled(sets), "node")
     dealt = dealt.select("_pair", "node", "comp", "_own", "_one", "n_shingles", "bits", "shingles").repartition("_pair").sortWithinPartitions("_pair", "node")
 
     def run(batches):
@@ -438,11 +438,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     marked = materialize(signatures(docs, bands, rows), "signatures")
     with_set = marked.filter("doc_id is not null and print is not null")
     classes = with_set.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    nodes = materialize(with_set.join(classes, ["print", "doc_id"]).dropDuplicates(["print", "doc_id"]).withColumnRenamed("doc_id", "node"), "nodes")
+    nodes = materialize(with_set.join(shuffled(classes), ["print", "doc_id"]).dropDuplicates(["print", "doc_id"]).withColumnRenamed("doc_id", "node"), "nodes")
     # Step 1: each node against the first of its bands.
     entries = nodes.select("node", F.explode("bands").alias("band"))
     crowded = materialize(entries.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1"), "crowded")
-    shared = materialize(entries.join(crowded, "band"), "shared")
+    shared = materialize(entries.join(shuffled(crowded), "band"), "shared")
     pairs = shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialize(estimated(pairs, nodes, k, cutoff, percent), "pairs")
     sets = full_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
@@ -455,14 +455,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     links = confirmed_links(loose, sets, roots, k, cutoff, percent)
     # A doc_id with several texts connects their classes, as one document.
     several = with_set.groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low <> high")
-    texts = with_set.select("doc_id", "print").join(several.select("doc_id"), "doc_id").distinct()
-    classes = texts.join(nodes.select("print", "node"), "print").select("doc_id", "node").distinct()
+    texts = with_set.select("doc_id", "print").join(shuffled(several.select("doc_id")), "doc_id").distinct()
+    classes = texts.join(shuffled(nodes.select("print", "node")), "print").select("doc_id", "node").distinct()
     classes = _named(classes, roots)
-    links = links.unionByName(classes.join(classes.groupBy("doc_id").agg(F.min("comp").alias("b")), "doc_id").select(F.col("comp").alias("a"), "b"))
+    links = links.unionByName(classes.join(shuffled(classes.groupBy("doc_id").agg(F.min("comp").alias("b"))), "doc_id").select(F.col("comp").alias("a"), "b"))
     joined = components(links, "second").withColumnRenamed("node", "comp").withColumnRenamed("root", "further")
-    named = materialize(_named(nodes.select("print", "node"), roots).join(joined, "comp", "left").select("print", F.coalesce("further", "comp").alias("component_id")), "named")
+    named = materialize(_named(nodes.select("print", "node"), roots).join(shuffled(joined), "comp", "left").select("print", F.coalesce("further", "comp").alias("component_id")), "named")
     release(sets, shared, nodes, loose, roots)
-    out = marked.select("doc_id", "n_shingles", "print").join(named, "print", "left")
+    out = marked.select("doc_id", "n_shingles", "print").join(shuffled(named), "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -85,6 +85,15 @@ def counted(ids: DataFrame, name: str) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` as the side of a join that is never broadcast.
+
+    Files of ids are small on disk and large as hashed relations, which the driver builds: a side that grows
+    with the input is sorted and merged by the tasks, so that the driver's memory does not grow with it.
+    """
+    return df.hint("merge")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bbit_minhash import Joined, _dealt, _meeting, _named, _runs, _spanning, components
-from .common import materialize, release, slices
+from .common import materialize, release, shuffled, slices
 
 WORDS, SEED = 4, 42
 #: Bits that linked fingerprints may differ in.
@@ -162,17 +162,17 @@ def linked(nodes: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """(node, root) of nodes within DISTANCE bits of any other, with the edges of `also` (a, b): the smallest node reachable."""
     entries = keyed(nodes)
     crowded = materialize(entries.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1"), "crowded")
-    shared = materialize(entries.join(crowded, "band"), "shared")
+    shared = materialize(entries.join(shuffled(crowded), "band"), "shared")
     links = shared.filter("node <> centre").filter(chained(F.col("node"), F.col("centre"), F.col("start"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     roots = materialize(components(links if also is None else links.unionByName(also), "first"), "roots")
     further = materialize(crossing_links(shared, roots), "crossing")
     # What the second step found lies between components: their roots are the nodes now.
-    name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    name = lambda c: shuffled(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")))
     between = further.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     joined = materialize(components(between, "second"), "joined")
     release(crowded, shared, further)
     up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(joined.join(roots, "node", "left_anti"))
+    return roots.join(shuffled(up), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(joined.join(shuffled(roots), "node", "left_anti"))
 
 
 def near_fingerprints(docs: DataFrame) -> DataFrame:
@@ -182,13 +182,13 @@ def near_fingerprints(docs: DataFrame) -> DataFrame:
     nodes = materialize(with_id.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
     # A doc_id with several texts connects their fingerprints, as one document.
     several = with_id.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).filter("b <> high")
-    same = with_id.join(several, "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+    same = with_id.join(shuffled(several), "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
     roots = materialize(linked(nodes.select("node"), same), "linked")
     # Only nodes with a link or with several rows have to meet their rows again.
-    named = nodes.join(roots, "node", "left")
+    named = nodes.join(shuffled(roots), "node", "left")
     least = named.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.join(least, "root", "left").filter("root is not null or rows > 1").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    known = named.join(shuffled(least), "root", "left").filter("root is not null or rows > 1").select("node", F.coalesce("component_id", "least").alias("component_id"))
     known = materialize(known, "known")
-    out = marked.join(known, "node", "left")
+    out = marked.join(shuffled(known), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), component.alias("component_id"))

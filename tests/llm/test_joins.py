@@ -14,6 +14,7 @@ from quarrymill.llm import bbit_minhash as mh
 from quarrymill.llm import credential_linking as cred
 from quarrymill.llm import prefix_forest as pf
 from quarrymill.llm import spaced_seed as seeds
+from quarrymill.llm.pigeonring import near_fingerprints
 
 SF = "/root/testdata/sf0.001"
 
@@ -322,3 +323,10 @@ def test_forest_recall_and_the_share_it_scores(n, clustered):
     best = np.argsort(-near, axis=1)[:, : min(5, n - 1)]
     assert np.mean([len(got[i] & set(b.tolist())) / len(b) for i, b in enumerate(best)]) >= 0.9
     assert not clustered or n < 1000 or np.mean(seen) < 0.1 * n
+
+
+@pytest.mark.parametrize("query", [mh.near_duplicates, near_fingerprints])
+def test_tables_that_grow_are_not_gathered_by_the_driver(spark, query):
+    docs = spark.createDataFrame([(i, f"one two three four five {i % 3}") for i in range(9)], "doc_id long, text string")
+    plan = query(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # files of ids are small, their hashed relations are not
