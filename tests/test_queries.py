@@ -7,6 +7,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from quarrymill.operators import ranking as R
 from quarrymill.plans import registry
 
 
@@ -73,3 +74,21 @@ def test_name_candidates_meet_by_spans(spark, tmp_path):
     n = 4_000  # all name the same: places times fragments were 400,000 rows
     texts = {"doc_id": list(range(n)), "text": ["alpha beta gamma"] * n, "lang": ["en"] * n, "source": [f"s{i % 2}" for i in range(n)], "n_chars": [10] * n}
     assert same(spark, tmp_path, "name_candidates", documents=texts, benchmark={"item_id": [1, 2], "text": ["where is Beta or alpha", "nothing here"]}) == 40
+
+
+def plan_of(spark, folder, name):
+    return registry.queries()[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_late_interaction_writes_no_pairs(spark, tmp_path):
+    ids = [*range(0, 900, 25), 1000, 1001, 1100]
+    vectors = {"vec_id": ids, "embedding": pa.array([[float(i % 7 + 1), float(i % 3), 1.0 - i % 5] for i in ids], pa.list_(pa.float32())), "label": [i % 4 for i in ids]}
+    assert same(spark, tmp_path, "maxsim", embeddings=vectors) == 8
+    assert "Join" not in plan_of(spark, tmp_path, "maxsim")
+
+
+def test_late_interaction_of_odd_vectors(spark):
+    tokens = spark.createDataFrame([("q", 1, [3.0, 4.0]), ("q", 2, [0.0, 0.0]), ("q", 3, None), ("q", 4, [1.0]), ("n", 5, None)], "query_id string, token int, vector array<double>")
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 2.0]), (None, [-3.0, -4.0]), ("b", None), ("c", [2.0]), ("c", [1.0, None])], "node_id string, vector array<double>")
+    want = {("q", "c"): 1.0, ("q", "a"): 0.8, ("q", None): -1.0, ("q", "b"): None, **{("n", x): None for x in ("a", "b", "c", None)}}
+    assert {(r.query_id, r.node_id): r.score for r in R.max_similarity(tokens, items).collect()} == want
