@@ -93,7 +93,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 def sparse_topk(s, d):
     q = _terms(read(s, d, "benchmark"), "item_id").withColumnRenamed("node_id", "query_id")
     docs = read(s, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    return R.sparse_topk(q, R.postings(docs, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)), q), 10).withColumn("rank", F.col("rank").cast("long"))
+    return R.sparse_topk_of(q, docs, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("rrf_three_lists", """WITH l AS (SELECT o_custkey AS query_id, o_orderkey AS node_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, 0 AS list FROM orders

@@ -92,3 +92,15 @@ def test_late_interaction_of_odd_vectors(spark):
     items = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 2.0]), (None, [-3.0, -4.0]), ("b", None), ("c", [2.0]), ("c", [1.0, None])], "node_id string, vector array<double>")
     want = {("q", "c"): 1.0, ("q", "a"): 0.8, ("q", None): -1.0, ("q", "b"): None, **{("n", x): None for x in ("a", "b", "c", None)}}
     assert {(r.query_id, r.node_id): r.score for r in R.max_similarity(tokens, items).collect()} == want
+
+
+#: One id on three rows, one null text.
+REPEATED = {"doc_id": [*range(1, 40), 7, 7, 41], "text": [f"alpha alpha {'beta ' * (i % 5)}gamma{i % 3} their" for i in range(40)] + ["beta beta alpha gamma1", None]}
+
+
+def test_terms_are_counted_within_rows(spark, tmp_path):
+    benchmark = {"item_id": [1, 2, 3, 4], "text": ["Alpha beta beta", "gamma1 x gamma1", "nothing", None]}
+    assert same(spark, tmp_path, "sparse_topk", documents=REPEATED, benchmark=benchmark) == 20
+    (tmp_path / "unique").mkdir()
+    assert same(spark, tmp_path / "unique", "sparse_topk", documents={k: v[-12:-3] for k, v in REPEATED.items()}, benchmark=benchmark) == 12
+    assert "Generate" not in plan_of(spark, tmp_path / "unique", "sparse_topk").split("MapInArrow")[1]
