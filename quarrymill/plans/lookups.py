@@ -242,15 +242,14 @@ def corrective_search(s, d):
     """A question's first words are sought as they are written, capitals losing theirs; rewritten, in lower case."""
     docs = read(s, d, "documents").filter("text is not null")
     terms = lambda c, p, i=0: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(i)))
-    index = docs.select(F.col("doc_id").alias("node_id"), F.explode(terms(F.lower("text"), "[a-z]{5,}")).alias("w"))
+    texts = docs.select(F.col("doc_id").alias("node_id"), "text")
 
     def search(asked):
-        t = asked.select("query_id", F.explode(terms(F.col("text"), "[a-z]{5,}")).alias("w"))
-        n = index.join(t, "w").groupBy("query_id", "node_id").agg(F.count("*").alias("n"))
-        return R.rank_by(n, ["query_id"], [F.desc("n"), F.asc("node_id")]).filter("rank <= 3")
+        t = asked.select("query_id", F.explode(terms(F.col("text"), "[a-z]{5,}")).alias("term"))
+        return R.shared_terms_topk(t, texts, terms(F.lower("text"), "[a-z]{5,}"), 3)
 
     def relevance(pairs):
-        both = pairs.join(docs.select(F.col("doc_id").alias("node_id"), "text"), "node_id")
+        both = pairs.join(texts, "node_id")
         mine, theirs = terms(F.lower("question"), "[a-z]{4,}"), terms(F.lower("text"), "[a-z]{4,}")
         return both.withColumn("relevance", F.round(F.size(F.array_intersect(mine, theirs)) / F.greatest(F.size(mine), F.lit(1)) - 0.35, 6))
 
