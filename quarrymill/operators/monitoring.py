@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_folder
+from ..sources.sinks import written
 
 #: Canary questions (fixed values): definitions of classes, methods and functions, calls, notebooks, their sections, sections of documents, phrases.
 TEMPLATES = {
@@ -21,6 +22,8 @@ TEMPLATES = {
     "text": "Где в моих файлах написано «%s»?",
 }
 PHRASE_WORD = r"(?U)[\w.,%=-]+"
+#: A text's first fourteen words, all that a phrase needs; the rest is not read.
+PHRASE_START = r"(?U)^(?:[^\w.,%=-]*[\w.,%=-]+){1,14}"
 
 
 def signals(rank: Column) -> tuple[Column, Column]:
@@ -69,10 +72,10 @@ def build_canaries(symbols: DataFrame, calls: DataFrame, nodes: DataFrame, least
     title = F.element_at(F.split("section", " > "), -1)
     titled = rest.filter(F.col("file_path").rlike(r"\.(pdf|docx)$") & (F.coalesce("section", F.lit("")) != "")).select("file_path", title.alias("title")).filter(F.length("title") >= 4).distinct()
     documents = put(titled, text("sec:", c("file_path"), ":", c("title")), F.lit("doc"), F.format_string(TEMPLATES["section"], "title"), F.array(_target(section=c("title"))))
-    words = F.regexp_extract_all("text", F.lit(PHRASE_WORD), F.lit(0))
+    words = F.regexp_extract_all(F.regexp_extract("text", PHRASE_START, 0), F.lit(PHRASE_WORD), F.lit(0))
     phrased = rest.filter(F.col("file_path").rlike(r"\.(txt|log|md)$")).withColumn("_w", words).filter(F.size("_w") >= 12)
     phrases = put(phrased, text("text:", c("node_id").cast("string")), F.lit("text"), F.format_string(TEMPLATES["text"], F.array_join(F.slice("_w", 5, 10), " ")), F.array(_target(node_id=c("node_id").cast("string"))))
-    every = defs.unionByName(called).unionByName(noted).unionByName(sections).unionByName(documents).unionByName(phrases)
+    every = written(defs.unionByName(called).unionByName(noted).unionByName(sections).unionByName(documents).unionByName(phrases), "canaries")
     sizes = every.groupBy("segment").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     return every.join(sizes, "segment", "left_semi").select("id", "segment", "question", "targets")
 

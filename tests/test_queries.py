@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from quarrymill.operators import ranking as R
-from quarrymill.plans import registry
+from quarrymill.plans import judging, registry
 
 
 def same(spark, folder, name, **tables):
@@ -136,3 +136,12 @@ def test_corrective_search_joins_no_words(spark, tmp_path):
     n = 3_000  # every question shares its words with every document: 450,000 pairs of them
     texts = {"doc_id": [*range(n), 5], "text": [f"Alpha bravo charlie {'delta ' * (i % 2)}{i}" for i in range(n)] + ["alpha bravo charlie delta"]}
     assert same(spark, tmp_path, "corrective_search", documents=texts) == 450
+
+
+def test_canaries_read_the_first_words_only(spark, tmp_path):
+    words = [" ".join(f"w{j}x{i}," for j in range(i)) for i in range(8, 24)] * 3 + ["ab 1", "_one", "a bc def9 -- x_y", "  .. ; name;other;name"] * 4
+    n = len(words)
+    documents = {"doc_id": list(range(n)), "text": words, "lang": ["en"] * n, "source": [f"s{i % 3}" for i in range(n)], "n_chars": [100] * n}
+    assert same(spark, tmp_path, "canaries", documents=documents) > 50
+    for part in (judging.symbols, judging.calls):
+        assert "regexp_extract_all" not in part(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
