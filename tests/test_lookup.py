@@ -224,3 +224,11 @@ def test_hints_of_a_word_with_many_values(spark):
     values = spark.createDataFrame([("t", "c", f"alpha v{i:03d}") for i in range(100)], "table string, column string, value string")
     asked = spark.createDataFrame([(1, "about alpha")], "query_id long, text string")
     assert sorted(r.value for r in L.value_hints(asked, values).collect()) == [f"alpha v{i:03d}" for i in range(L.HINTS)]
+
+
+def test_intents_by_first_letters_are_those_of_the_whole_pattern(spark):
+    texts = ["RUN it", "prerun", "ſave this", "поищи в сети", "ПОИЩИ В ИНТЕРНЕТЕ", "в сети", "ᲀ сети", "расскажи", "что в файле", "ЧЁрно-белый", "main  idea", "look it up online", "image to image", "I2I", "фоном", "телефоном", "oVerview", "раз", "anımate", "video клип", "", "напиши мне бот", "turn me into", "Kлип", "séarch web", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = lambda k: F.coalesce(F.col("text").rlike("(?iU)" + S.INTENTS[k]), F.lit(False))
+    assert df.select(*(S.wants(F.col("text"), k).alias(k) for k in S.INTENTS)).collect() == df.select(*(whole(k).alias(k) for k in S.INTENTS)).collect()
+    assert all(len(S._first_letters(a)) for p in S.INTENTS.values() for a in S._alternatives(p))
