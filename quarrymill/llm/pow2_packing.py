@@ -13,10 +13,11 @@ columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,14 @@ from .common import cut, kept_by_worker, slices
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words, and pre-tokens of letters, whose ids a worker remembers in a generation; where packing runs alone; longest kept, in bytes.
+#: Pre-tokens, and words that are no plain ones, whose ids a worker remembers in a generation; where packing runs alone; longest kept, in bytes.
 CACHE, CACHE_ALONE, CACHED_BYTES = 120_000, 300_000, 48
+#: New pre-tokens that the library's BPE is given at once.
+AT_ONCE = 100
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: The pre-token pattern of the tokenizer's file, for plain characters in lower case (fixed value).
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -40,68 +43,97 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Bounded(dict):
-    """Two generations of at most `most` entries each; what is asked for again outlives a change."""
+    """Ids of strings, in two generations of at most `most` entries each; what is asked for again outlives a change."""
 
     def __init__(self, most: int = CACHE):
         super().__init__()
         self.most, self.old = most, {}
 
-    def put(self, key: bytes | str, value: bytes) -> bytes:
-        if len(key) <= CACHED_BYTES:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
-class PretokenIds(_Bounded):
-    """Ids of single pre-tokens, from the library's own BPE."""
-
-    def __init__(self, tokenizer, most: int = CACHE):
-        super().__init__(most)
-        self.tokenize, self.alphabet = tokenizer.model.tokenize, byte_alphabet()
-
-    def __missing__(self, token: str) -> bytes:
-        if (ids := self.old.get(token)) is not None:
-            return self.put(token, ids)
-        mapped = token if token.isascii() else "".join(map(self.alphabet.__getitem__, token.encode()))
-        return self.put(token, np.array([x.id for x in self.tokenize(mapped)], dtype="<u4").tobytes())
-
-
-class WordIds(_Bounded):
-    """Ids of words between white space, as little-endian 32-bit integers, from a `tokenizers` file.
-
-    The tokenizer drops white space and never joins what it parts, so that a text's ids are
-    those of its words in turn. A word of plain characters is parted into pre-tokens here, as
-    few of them are new; other words go through the whole tokenizer.
+    def of(self, keys: pa.Array, make) -> pa.Array:
+        """The ids of different keys; `make` gets those that are new, all at once."""
+        keys = keys.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, keys))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        for i in unknown if self.old else ():
+            found[i] = self.old.get(keys[i])
+        new = [i for i in unknown if found[i] is None]
+        for i, ids in zip(new, make([keys[i] for i in new]), strict=True):
+            found[i] = ids
+        for i in unknown:
+            if len(keys[i]) <= CACHED_BYTES:
+                if len(self) >= self.most:
+                    self.old = dict(self)
+                    self.clear()
+                self[keys[i]] = found[i]
+        return pa.array(found, pa.binary())
+
+
+class WordIds:
+    """Ids of texts, as little-endian 32-bit integers, from a `tokenizers` file.
+
+    The tokenizer drops white space and never joins what it parts, so that a text's ids are those
+    of its words in turn. Of the words of many texts each different one is looked at once; those of
+    plain characters are parted into pre-tokens here, of which again each different one is looked
+    up once and new ones go through the library's own BPE; other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = CACHE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__(most)
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = PretokenIds(self.tokenizer, most)
+        self.bpe = Tokenizer(self.tokenizer.model)
+        self.bpe.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.alphabet = byte_alphabet()
+        self.parts, self.others = _Bounded(most), _Bounded(most)
         # The short way holds for files of this kind only: lower-cased, with that pattern.
-        probe = "It's THE (Ünïté) of 42.5 a_b!? «no»"
-        self.plain = self._whole(probe) == b"".join(map(self._short, probe.replace("«no»", "").split())) + self._whole("«no»")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        probe = "It's THE (Ünïté) of 42.5 a_b!?".split()
+        self.plain = self._short(pa.array(probe)).to_pylist() == self._whole([w.encode() for w in probe])
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+
+    def _merged(self, tokens: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(tokens), AT_ONCE):
+            some = [t if t.isascii() else "".join(map(self.alphabet.__getitem__, t.encode())) for t in tokens[at : at + AT_ONCE]]
+            merged = self.bpe.encode(" ".join(some), add_special_tokens=False)
+            ids, ends = np.array(merged.ids, dtype="<u4").tobytes(), 4 * np.searchsorted(np.array(merged.word_ids, dtype=np.int64), np.arange(len(some) + 1))
+            out += [ids[i:j] for i, j in itertools.pairwise(ends.tolist())]
+        return out
+
+    def _short(self, words: pa.Array) -> pa.Array:
+        """Ids of plain words."""
+        tokens = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(pc.utf8_lower(words), _SPLIT, r"\0 ")))
+        coded = tokens.values.dictionary_encode()
+        return _regrouped(self.parts.of(coded.dictionary, self._merged).take(coded.indices), tokens.offsets.to_numpy())
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of different words."""
+        if not self.plain:
+            return self.others.of(words.cast(pa.binary()), self._whole)
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        other = pc.invert(plain)
+        ids = pa.concat_arrays([self._short(words.filter(plain)), self.others.of(words.filter(other).cast(pa.binary()), self._whole)])
+        return ids.take(pa.array(np.argsort(np.argsort(other.to_numpy(zero_copy_only=False), kind="stable"))))  # back to the order of `words`
+
+    def texts(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text, with those of `end` behind them."""
+        words = pc.ascii_split_whitespace(texts)
+        coded, ends = words.values.dictionary_encode(), words.offsets.to_numpy()
+        ids = pa.concat_arrays([self._words(coded.dictionary), pa.array([end], pa.binary())])
+        order = np.insert(coded.indices.to_numpy(), ends[1:], len(ids) - 1)
+        return _regrouped(ids.take(pa.array(order)), ends + np.arange(len(ends), dtype=ends.dtype))
 
-    def _short(self, word: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, _SPLIT.findall(word.lower())))
+    def text(self, text: str) -> bytes:
+        """The ids of one text, however long."""
+        return b"".join(self.texts(pa.array([part.encode("utf-8", "replace")]).cast(pa.string()))[0].as_py() for part in cut(text))
 
-    def __missing__(self, word: bytes) -> bytes:
-        if (ids := self.old.get(word)) is not None:
-            return self.put(word, ids)
-        text = word.decode("utf-8", "replace")
-        short = self.plain and "<|" not in text and _PLAIN.fullmatch(text)
-        return self.put(word, self._short(text) if short else self._whole(text))
 
-    def text(self, text: str) -> bytes:
-        return b"".join(b"".join(map(self.__getitem__, part.encode("utf-8", "replace").split())) for part in cut(text))
+def _regrouped(ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Consecutive entries joined, those from ends[i] to ends[i + 1] into entry i."""
+    _, offsets, data = ids.buffers()
+    ends = np.frombuffer(offsets, dtype="<i4")[: len(ids) + 1][ends]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), data])
 
 
 def piece_lengths(n: int, sequence: int = SEQUENCE) -> list[int]:
@@ -120,29 +152,31 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
 
     def run(batches):
         ids_of, end = kept_by_worker(f"ids:{cache}:{tokenizer_path}", lambda: WordIds(tokenizer_path, cache)), np.array([end_id], dtype="<u4").tobytes()
-        for b in slices(batches, "text"):
-            out: tuple[list, ...] = ([], [], [], [], [])
-            held = 0
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = (ids_of.text(text) if text else b"") + end
-                n, start = len(ids) // 4, 0
-                for length in piece_lengths(n, sequence):
-                    for column, x in zip(out, (doc, start, length, ids[4 * start : 4 * (start + length)], n), strict=True):
-                        column.append(x)
-                    start += length
-                held += len(ids)
-                if held > 4 << 20:
-                    yield _pieces(out)
-                    out, held = ([], [], [], [], []), 0
-            yield _pieces(out)
+
+        def pieces():
+            for b in slices(batches, "text"):
+                texts = b.column("text").cast(pa.string()).fill_null("")
+                if len(texts) == 1:  # it may be longer than a slice
+                    ids = pa.array([ids_of.text(texts.cast(pa.binary())[0].as_py().decode("utf-8", "replace")) + end], pa.binary())
+                else:
+                    ids = ids_of.texts(texts, end)
+                yield _pieces(b.column("doc_id"), ids, sequence)
+
+        yield from slices(pieces(), "ids")
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
-def _pieces(out: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens"])
+def _pieces(doc_ids: pa.Array, ids: pa.Array, sequence: int) -> pa.RecordBatch:
+    """The pieces of documents, whose ids lie one behind the other: pieces are cuts of the same bytes."""
+    counts = pc.binary_length(ids).to_numpy().astype(np.int64) // 4
+    cuts = [piece_lengths(n, sequence) for n in counts.tolist()]
+    doc, lengths = np.repeat(np.arange(len(cuts)), [len(x) for x in cuts]), np.fromiter(itertools.chain.from_iterable(cuts), np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    starts = ends[:-1] - (np.cumsum(counts) - counts)[doc]
+    cut_ids = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((4 * ends).astype("<i4")), ids.buffers()[2]])
+    return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), pa.array(starts), pa.array(lengths), cut_ids, pa.array(counts[doc])], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -227,6 +227,30 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.piece_lengths(5000) == [2048, 2048, 512, 256, 128, 8]
 
 
+def test_packing_looks_words_up_in_bulk():
+    """CPU time was spent on each word: many different words of few pre-tokens cost hardly a Python call each."""
+    import cProfile
+    import itertools
+
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    words = ["-".join(x) for x in itertools.product(("Red", "blue", "été", "don't", "7th", "''s"), repeat=5)]
+    ids_of, text, profile = packing.WordIds(path), " ".join(words), cProfile.Profile()
+    ids = profile.runcall(ids_of.text, text)
+    assert ids_of.plain and sum(x.callcount for x in profile.getstats()) < len(words) // 2
+    tokenizer = Tokenizer.from_file(path)
+    assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    # Caches that change generations all the time, words that are no plain ones, empty texts and bytes that are no text.
+    small, some = packing.WordIds(path, 3), ["It's  THE\tend", "", "日本 <|endoftext|> x² W\u030a", " \n", "a b c d e f a b"]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in small.texts(pa.array(some)).to_pylist()] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    broken = pa.array([b"one \xff\xfetwo", b"three"]).cast(pa.binary()).view(pa.string())
+    assert np.frombuffer(small.texts(broken)[0].as_py(), dtype="<u4").tolist() == tokenizer.encode("one \ufffd\ufffdtwo", add_special_tokens=False).ids
+    assert max(len(small.parts), len(small.parts.old), len(small.others), len(small.others.old)) <= 3
+
+
 def _base_sha(text):
     found = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
